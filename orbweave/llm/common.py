@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,8 +40,28 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, whose Python workers need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    top = Path(__file__).resolve().parents[1]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent).as_posix())
+    path = Path(tempfile.mkdtemp(prefix="orbweave-code-")) / f"{top.name}.zip"
+    path.write_bytes(out.getvalue())
+    context.addPyFile(str(path))
+    _shipped.add(context.applicationId)
+
+
 def small_batches(spark: SparkSession, rows: int = 4096, mb: int = 8) -> None:
-    """Bound what a Python worker holds of a partition at once."""
+    """Bound what a Python worker holds of a partition at once; the workers get this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
