@@ -14,7 +14,10 @@ from orbweave.llm.bytetext import LOWER, SPACED, U, Words, buffers, mixed, slice
 
 
 def word_grams(w: Words, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of all words and pairs of words of a row, each once a row; sorted by row."""
+    """(row, feature) of all words and pairs of words of a row, each once a row; sorted by row.
+
+    Pairs of a word with itself are also features of their own, one for each share of the row's pairs that they pass.
+    """
     h = w.hashes()
     pair = windows(h, 2)
     n = np.diff(w.first)
@@ -23,6 +26,10 @@ def word_grams(w: Words, bits: int) -> tuple[np.ndarray, np.ndarray]:
     inside[w.first[1:-1][(w.first[1:-1] > 0) & (w.first[1:-1] <= len(pair))] - 1] = False
     key = np.concatenate([mixed(h, 1), mixed(pair[inside], 2)]) >> U(64 - bits)
     key |= np.concatenate([row, row[:-1][inside] if len(row) else row]).astype(U) << U(bits)
+    twice = np.bincount(row[:-1][inside & (h[1:] == h[:-1])], minlength=len(n)) if len(row) else n
+    for j, share in enumerate((0, 1 / 64, 1 / 16, 1 / 4)):
+        over = np.flatnonzero(twice > share * np.maximum(n - 1, 0)).astype(U)
+        key = np.append(key, over << U(bits) | mixed(np.full(1, 1000 + j, U), 3) >> U(64 - bits))
     key = np.unique(key)
     return (key >> U(bits)).astype(np.int64), (key & U((1 << bits) - 1)).astype(np.int64)
 
