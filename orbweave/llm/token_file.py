@@ -66,7 +66,7 @@ class Writer:
         self.fs.create_dir(self.root, recursive=True)
         self.final = f"{self.root}/{name}"
         self.temporary = f"{self.root}/_{name}.{os.getpid()}-{os.urandom(4).hex()}"
-        self.out = self.fs.open_output_stream(self.temporary)
+        self.out = self.fs.open_output_stream(self.temporary, compression=None)
         self.compress = zstandard.ZstdCompressor(level=3)
         self.frames: list[tuple[int, int, int]] = []
         self.open = bytearray()
