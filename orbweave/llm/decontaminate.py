@@ -158,8 +158,8 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, size: int = 10, bl
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """docs without the rows that hold an occurrence; a doc_id that repeats goes if any of its rows does."""
-    bad = contaminated_spans(docs, benchmark, size).where("n_hit > 0").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    bad = contaminated_spans(docs, benchmark, size).where("n_hit > 0").select(F.col("doc_id").alias("_orb_bad")).distinct()
+    return docs.join(bad.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_orb_bad")), "left_anti")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

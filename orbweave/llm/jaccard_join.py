@@ -333,11 +333,11 @@ def first_of_each(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Da
     Rows without a doc_id stay where nothing that has one links with them.
     """
     found = jaccard_components(docs, k, num, den)
-    gone = found.where("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(F.col("doc_id").alias("gone_id")).distinct()
-    twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice_id"))
-    left = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
-    once = left.join(twice, F.col("doc_id") == F.col("twice_id"), "left_anti")
-    return once.unionByName(left.join(twice, F.col("doc_id") == F.col("twice_id"), "left_semi").dropDuplicates(["doc_id"]))
+    gone = found.where("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(F.col("doc_id").alias("_orb_gone")).distinct()
+    twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_orb_twice"))
+    left = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_orb_gone")), "left_anti")
+    once = left.join(twice, F.col("doc_id") == F.col("_orb_twice"), "left_anti")
+    return once.unionByName(left.join(twice, F.col("doc_id") == F.col("_orb_twice"), "left_semi").dropDuplicates(["doc_id"]))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

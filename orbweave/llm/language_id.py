@@ -128,8 +128,8 @@ def learnt(docs: DataFrame) -> Model:
 
 def known_language(docs: DataFrame) -> DataFrame:
     """docs without the rows whose language can't be told; a doc_id that repeats goes if any of its rows does."""
-    bad = identified(docs, learnt(docs)).where("lang_pred = 'und'").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    bad = identified(docs, learnt(docs)).where("lang_pred = 'und'").select(F.col("doc_id").alias("_orb_bad")).distinct()
+    return docs.join(bad.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_orb_bad")), "left_anti")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
