@@ -16,6 +16,7 @@ special token are encoded as ordinary text.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -40,7 +41,8 @@ SKIPPABLE, SEEK_TABLE, SEEKABLE_MAGIC, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F9
 #: Bytes of ids in a frame, about, and at most.
 FRAME, FRAME_MOST = 1 << 18, 1 << 20
 END = 2
-SPACE = re.compile(r"\s")
+#: Chunks without white space but for a blank in front and single line ends inside.
+PLAIN = re.compile(r" ?\S+(?:\n\S+)*")
 #: Encoders of this worker process, by path; its later tasks find their memory filled.
 _encoders: dict[str, Encoder] = {}
 
@@ -82,9 +84,9 @@ class Writer:
             self.size += len(packed)
             self.frames.append((len(packed), len(part), xxhash.xxh64_intdigest(part) & 0xFFFFFFFF))
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.open += ids.astype("<u4", copy=False).tobytes()
-        self.docs.append((doc_id or 0, doc_id is None, len(ids)))
+    def add(self, doc_id: int | None, ids: np.ndarray, end: int) -> None:
+        self.open += ids.astype("<u4", copy=False).tobytes() + struct.pack("<I", end)
+        self.docs.append((doc_id or 0, doc_id is None, len(ids) + 1))
         if len(self.open) >= FRAME:
             self.flush()
 
@@ -154,7 +156,7 @@ class Encoder:
     again are carried over.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -170,15 +172,17 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, chunks: list[str]) -> None:
-        """Encode new chunks; those of one blank and no other white space go many to a call, a line end between them."""
-        plain = [c for c in chunks if c[0:1] == " " and len(c) > 1 and not SPACE.search(c, 1)] if self.line is not None else []
+        """Encode new chunks; those that PLAIN describes go many to a call, a line end between them."""
+        plain = [c for c in chunks if PLAIN.fullmatch(c)] if self.line is not None else []
         done: set[str] = set()
         texts = [plain[i : i + 256] for i in range(0, len(plain), 256)]
         for part, ids in zip(texts, self.whole(["\n".join(t) for t in texts]), strict=True):
             flat = np.array(ids, "<u4")
-            cut = np.flatnonzero(flat == self.line).tolist()
-            if len(cut) == len(part) - 1:
+            lines = np.flatnonzero(flat == self.line)
+            own = np.cumsum([c.count("\n") + 1 for c in part])
+            if len(lines) == own[-1] - 1:
                 raw = flat.tobytes()
+                cut = lines[own[:-1] - 1].tolist()
                 self.known.update(zip(part, (raw[4 * a : 4 * b] for a, b in zip([0, *(c + 1 for c in cut)], [*cut, len(flat)], strict=True)), strict=True))
                 done.update(part)
         rest = [c for c in chunks if c not in done]
@@ -188,14 +192,21 @@ class Encoder:
         if len(self.known) > self.most:
             self.known, self.old = {}, self.known
         known, old = self.known, self.old
-        new = [v for v in values if v not in known]
-        if old:
-            again = {v: old[v] for v in new if v in old}
-            known.update(again)
-            new = [v for v in new if v not in again]
+        found = list(map(known.get, values))
+        missed = [i for i, x in enumerate(found) if x is None]
+        new = []
+        gc.disable()  # many small objects and no cycles
+        for i in missed:
+            if (x := old.get(values[i])) is not None:
+                found[i] = known[values[i]] = x
+            else:
+                new.append(i)
         if new:
-            self.learn(new)
-        return [known[v] for v in values]
+            self.learn([values[i] for i in new])
+            for i in new:
+                found[i] = known[values[i]]
+        gc.enable()
+        return found
 
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of every row."""
@@ -209,14 +220,14 @@ class Encoder:
         first[at[:-1][at[:-1] < len(words)]] = True
         # The first chunk of a text has no blank before it.
         chunks = pc.if_else(pa.array(first), words, pc.binary_join_element_wise("", words, " ")).dictionary_encode()
-        found = self.look_up(chunks.dictionary.to_pylist())
+        found = self.look_up(chunks.dictionary.to_numpy(zero_copy_only=False).tolist())
         place = chunks.indices.to_numpy()
-        lengths = np.array([len(x) // 4 for x in found], np.int64)
-        ends = np.cumsum(lengths)
+        lengths = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        ends = np.cumsum(lengths, dtype=np.int32)
         ids = np.frombuffer(b"".join(found), "<u4")
         size = lengths[place]
-        total = np.concatenate([[0], np.cumsum(size)])
-        flat = ids[np.repeat((ends - lengths)[place] - total[:-1], size) + np.arange(total[-1])]
+        total = np.concatenate([[0], np.cumsum(size, dtype=np.int32)]).astype(np.int32)
+        flat = ids[np.repeat((ends - lengths)[place] - total[:-1], size) + np.arange(total[-1], dtype=np.int32)]
         for r in range(len(column)):
             yield np.array(self.whole([column[r].as_py()])[0], np.uint32) if odd[r] else flat[total[at[r]] : total[at[r + 1]]]
 
@@ -234,12 +245,11 @@ def bounded(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
 
 def write_shard(batches: Iterator[pa.RecordBatch], uri: str, path: str, end: int) -> Iterator[pa.RecordBatch]:
     shard, writer, n = TaskContext.get().partitionId(), None, 0
-    tail = np.array([end], np.uint32)
     for batch in batches:
         for b in bounded(batch, 4 << 20):
             writer = writer or Writer(uri, f"shard-{shard:06d}.zst")
             for doc_id, ids in zip(b["doc_id"].to_pylist(), encoder_of(path).encode(b["text"]), strict=True):
-                writer.add(doc_id, np.append(ids, tail))
+                writer.add(doc_id, ids, end)
                 n += len(ids) + 1
     if writer:
         writer.close()
