@@ -7,7 +7,7 @@ renamed when whole, and listed in a manifest; readers open what the manifest lis
 
 Cases: null html is an empty payload; a null url leaves the header out, and characters that can't stand in a header are
 percent-encoded; null page_ids come first and are written without the page header; of rows that repeat the largest
-page_id of a payload the last is the response and the others are revisits; an empty table gives no files and no rows;
+page_id of a payload the first by url is the response and the others are revisits; an empty table gives no files and no rows;
 other columns are ignored.
 """
 
@@ -100,13 +100,19 @@ class Files:
 
 
 def write_shard(batches: Iterator[pa.RecordBatch], uri: str, roll: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (page_id, digest, kind); a row of kind 0 names the response of the pages that follow it."""
     files = Files(uri, TaskContext.get().partitionId(), roll)
-    turn = 0
+    role, of, turn = None, None, 0
     for batch in batches:
-        columns = [batch[c].to_pylist() for c in ("page_id", "url", "html", "digest", "n_bytes", "refers", "revisit")]
-        for row in zip(*columns, strict=True):
-            files.add(row[0], record(*row, turn=turn))
-            turn += 1
+        columns = [batch[c].to_pylist() for c in ("page_id", "digest", "kind", "url", "html", "n_bytes", "main")]
+        for page_id, digest, kind, url, html, n_bytes, main in zip(*columns, strict=True):
+            if kind == 0:
+                role, of, turn = (page_id, digest), main, 0
+                continue
+            known = role == (page_id, digest)
+            revisit = known and (of != page_id or turn > 0)
+            files.add(page_id, record(page_id, url, html, digest, n_bytes, of if revisit else None, revisit, turn))
+            turn += known
     files.close()
     if files.done:
         kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
@@ -173,13 +179,16 @@ def warc_written(pages: DataFrame, uri: str | None = None, least: int = 1000, ro
     small_batches(spark, 1024, 8)
     uri = uri or fresh_dir(spark, "warc")
     body = F.coalesce("html", F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long"), "url", "html", F.sha1(body).alias("digest"), F.octet_length(body).cast("long").alias("n_bytes"), F.monotonically_increasing_id().alias("place"))
-    # Digests that repeat, aggregated before the shuffle; a hot one is split by AQE in the join.
-    main = rows.where(F.col("n_bytes") >= least).groupBy(F.col("digest").alias("of")).agg(F.max(F.struct("page_id", "place")).alias("main"), F.count("*").alias("n")).where("n > 1").select("of", "main")
-    rows = rows.join(main, F.col("digest") == F.col("of"), "left").withColumn("revisit", F.coalesce(F.col("n_bytes") >= least, F.lit(False)) & F.coalesce(F.col("main.place") != F.col("place"), F.lit(False)))
-    rows = rows.select("page_id", "url", F.when(~F.col("revisit"), F.col("html")).alias("html"), "digest", "n_bytes", F.when(F.col("revisit"), F.col("main.page_id")).alias("refers"), "revisit", "place")
+    rows = pages.select(F.col("page_id").cast("long"), F.sha1(body).alias("digest"), F.octet_length(body).cast("long").alias("n_bytes"), "url", "html")
+    # Digests that repeat, aggregated before the shuffle; only these narrow rows are joined, a hot digest is split by AQE.
+    narrow = stored(rows.where(F.col("n_bytes") >= least).select("page_id", "digest"), "digests")
+    main = narrow.groupBy("digest").agg(F.max("page_id").alias("main"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("of"), "main")
+    roles = stored(narrow.join(main, F.col("digest") == F.col("of")).select("page_id", "digest", "main").distinct(), "roles")
+    # Roles travel to their pages by the range sort, the only shuffle of payloads.
+    pages_ = rows.select("page_id", "digest", F.lit(1).alias("kind"), "url", "html", "n_bytes", F.lit(None).cast("long").alias("main"))
+    roles = roles.select("page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), F.lit(None).cast("long").alias("n_bytes"), "main")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, "page_id", "place").sortWithinPartitions("page_id", "place").drop("place")
+    rows = pages_.unionByName(roles).repartitionByRange(n, "page_id", "digest").sortWithinPartitions("page_id", "digest", "kind", "url")
     return stored(rows.mapInArrow(partial(write_shard, uri=uri, roll=roll), FILES), "manifest")
 
 
