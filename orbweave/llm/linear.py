@@ -65,18 +65,20 @@ def byte_grams(column: pa.Array, bits: int, k: int, most: int = 3 << 20) -> Iter
         yield lo, hi, h[keep].astype(np.int64), count[np.minimum(first, m)]
 
 
-def sample(labelled: DataFrame, label: str, most: int, extract: Callable[[pa.Array], list[np.ndarray]]) -> tuple[list[str], list[np.ndarray]]:
-    """About `most` rows of each label of labelled(doc_id, text, label), with their features, on the driver.
+def sample(docs: DataFrame, labelled: DataFrame, label: str, most: int, extract: Callable[[pa.Array], list[np.ndarray]]) -> tuple[list[str], list[np.ndarray]]:
+    """About `most` rows of each label of labelled(doc_id, label), with the features of their texts in docs, on the driver.
 
-    A row is in if the hash of its doc_id is below the label's share, so that reruns agree and the size is bounded;
-    null texts and labels are left out.
+    A row is in if the hash of its doc_id is below the label's share, so that reruns agree and the sample is bounded;
+    only its ids meet the texts. Null texts and labels are left out.
     """
-    rows = labelled.where(F.col("text").isNotNull() & F.col(label).isNotNull()).select("doc_id", "text", F.col(label).cast("string").alias("label"))
+    rows = labelled.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("string").alias("label"))
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if not counts:
         return [], []
     share = F.create_map(*[F.lit(v) for k, n in sorted(counts.items()) for v in (k, int(min(1.0, most / n) * 2**31))])
-    rows = rows.withColumn("o", F.xxhash64("doc_id", F.lit(5))).where(F.pmod("o", F.lit(2**31)) < share[F.col("label")])
+    rows = rows.withColumn("o", F.xxhash64("doc_id", F.lit(5))).where(F.pmod("o", F.lit(2**31)) < share[F.col("label")]).distinct()
+    texts = docs.select(F.col("doc_id").alias("id"), "text").where("text IS NOT NULL")
+    rows = texts.join(F.broadcast(rows), F.col("id") == F.col("doc_id"))  # about `most` ids a label
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -55,10 +55,10 @@ def grams(column: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def fit(labelled: DataFrame, label: str, most: int = SAMPLE, c: float = 1.0, smooth: float = 1.0, beta: float = 0.25) -> Model:
-    """labelled(doc_id, text, label 0/1); at most about `most` rows of each class are used."""
+def fit(docs: DataFrame, labelled: DataFrame, label: str, most: int = SAMPLE, c: float = 1.0, smooth: float = 1.0, beta: float = 0.25) -> Model:
+    """docs(doc_id, text) and labelled(doc_id, label 0/1); at most about `most` rows of each class are used."""
     size = 1 << BITS
-    labels, x = sample(labelled, label, most, grams)
+    labels, x = sample(docs, labelled, label, most, grams)
     y = np.array([1 if v == "1" else -1 for v in labels])
     if len(set(y)) < 2:
         share = np.clip((y > 0).mean(), 0.01, 0.99) if len(y) else 0.5
@@ -91,8 +91,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     small_batches(spark)
-    learn = docs.select("doc_id", "text").where(fold(F.col("doc_id")) != 0).join(labels.select("doc_id", "quality"), "doc_id")
-    found = scored(docs, fit(learn, "quality"))
+    learn = labels.select("doc_id", "quality").where(fold(F.col("doc_id")) != 0)
+    found = scored(docs, fit(docs, learn, "quality"))
     return found.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
