@@ -38,14 +38,16 @@ def graph(m: int = 20) -> str:
     )
 
 
-def query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+def query(sql: str, ranks: str | None = None) -> Callable[[SparkSession, str], DataFrame]:
+    """The query of a text; `ranks` is a column of ranks, which Spark counts in 32 bits and the oracle in 64."""
     text = written(sql, _SPARK)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         for t in TABLES:
             if re.search(rf"\b{t}\b", text):
                 spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-        return spark.sql(text)
+        out = spark.sql(text)
+        return out.withColumn(ranks, out[ranks].cast("bigint")) if ranks else out
 
     return run
 

@@ -20,5 +20,6 @@ SQL = {
     "v14_squared_error": f"WITH {X} SELECT x.label, round(avg((x.x - c.m) * (x.x - c.m)), 6) AS mse FROM x JOIN c ON c.label = x.label AND c.k = x.k GROUP BY x.label",
     "e08_sign_sketch": f"WITH {X}, b AS (SELECT 0 AS bit UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7) SELECT vec_id, bit, (sign(y) * least(floor(abs(y)), 1) + 1) / 2.0 AS value FROM (SELECT vec_id, bit, sum(CASE WHEN @u(concat('bit:', bit, ':', k))@ < 0.5 THEN -x ELSE x END) AS y FROM x CROSS JOIN b GROUP BY vec_id, bit) t",
 }
-QUERIES = {k: query(v) for k, v in SQL.items()}
+RANKS = {"v11_purity": "k"}
+QUERIES = {k: query(v, RANKS.get(k)) for k, v in SQL.items()}
 ORACLES = {k: oracle(v) for k, v in SQL.items()}

@@ -45,5 +45,6 @@ FROM x JOIN m ON m.u = x.u GROUP BY x.u""",
     "s07_temporal_bounds": "SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM events GROUP BY user_id",
     "w10_temporal_neighbours": "SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events",
 }
-QUERIES = {k: query(v) for k, v in SQL.items()}
+RANKS = {"r18_neighbours_by_degree": "pos", "r19_top_k_per_group": "k", "r26_weighted_sample": "pos", "r27_uniform_neighbours": "k", "s18_dense_ids": "new_id", "w10_temporal_neighbours": "pos"}
+QUERIES = {k: query(v, RANKS.get(k)) for k, v in SQL.items()}
 ORACLES = {k: oracle(v) for k, v in SQL.items()}

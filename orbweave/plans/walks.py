@@ -37,5 +37,6 @@ SQL = {
     "w19_cooccurrence": f"{G}, {W5}, {LONG} SELECT least(a.node, b.node) AS x, greatest(a.node, b.node) AS y, count(*) AS n FROM pos a JOIN pos b ON b.walk = a.walk AND b.k > a.k AND b.k <= a.k + 5 GROUP BY 1, 2",
     "f22_edge_visits": f"{G}, {W5}, v AS (" + " UNION ALL ".join(f"SELECT c0 AS id, least(c{k}, c{k + 1}) AS x, greatest(c{k}, c{k + 1}) AS y FROM s5" for k in range(5)) + ") SELECT id, x, y, count(*) AS visits FROM v GROUP BY id, x, y",
 }
-QUERIES = {k: query(v) for k, v in SQL.items()}
+RANKS = {"w06_walk_batch": "turn", "w11_anonymous_walks": "a"}
+QUERIES = {k: query(v, RANKS.get(k)) for k, v in SQL.items()}
 ORACLES = {k: oracle(v) for k, v in SQL.items()}
