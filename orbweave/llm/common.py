@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import tempfile
 import uuid
@@ -35,11 +36,26 @@ def fresh_dir(spark: SparkSession, what: str) -> str:
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back; lost executors then cost a re-read only."""
-    path = fresh_dir(df.sparkSession, what)
+    return stored_at(df, fresh_dir(df.sparkSession, what))
+
+
+def stored_at(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver drop what no plan refers to any more, so that executors delete its shuffle files."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table that stored() wrote and that all users of are written."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 _shipped: set[str] = set()
 
 

@@ -25,15 +25,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm.bytetext import SPACED, U, mixed, windows, words
-from orbweave.llm.common import small_batches, stored, table
+from orbweave.llm.common import fresh_dir, release, removed, small_batches, stored, stored_at, table
 from orbweave.llm.components import connected_components
 
 FEATURES = "rid long, doc_id long, n_shingles long, sh1 long, sh2 long, bits binary, sigs array<long>"
 #: Members of a bucket, and sets of a cluster, that are compared in one block.
-BUCKET, BLOCK = 2048, 256
+BUCKET, BLOCK = 2048, 1024
+#: Elements of the sets of a block, about.
+ELEMENTS = 1 << 20
 
 
-def allocation(n_docs: int, num: int, den: int, shared: float = 0.05, verify: float = 0.5) -> dict[int, tuple[int, int]]:
+def allocation(n_docs: int, num: int, den: int, shared: float = 0.01, verify: float = 0.5) -> dict[int, tuple[int, int]]:
     """Per size band: (segments, how many of the first use one-deletion neighbourhoods), of least expected cost.
 
     shared: chance that a shingle is also in an unrelated set; verify: cost of a false candidate in index rows.
@@ -84,7 +86,7 @@ def signatures(s: np.ndarray, plan: dict, num: int, den: int) -> np.ndarray:
 
 
 def parity(s: np.ndarray) -> bytes:
-    bits = 1 << min(max(len(s).bit_length() - 1, 8), 16)
+    bits = 1 << min(max(len(s).bit_length(), 8), 17)
     return np.packbits((np.bincount((s & U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
 
 
@@ -291,14 +293,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     small_batches(spark)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), "text")
     plan = allocation(max(1, docs.count()), num, den)
-    feat = stored(rows.mapInArrow(partial(features, k=k, plan=plan, num=num, den=den), FEATURES), "features")
-    reps = stored(
-        feat.where("n_shingles > 0").groupBy("sh1", "sh2").agg(F.min("rid").alias("rep"), F.min_by("doc_id", "rid").alias("rep_doc"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("sigs").alias("sigs")),
-        "classes",
-    )
+    full = stored_at(rows.mapInArrow(partial(features, k=k, plan=plan, num=num, den=den), FEATURES), path := fresh_dir(spark, "features"))
+    feat = stored(full.drop("sigs", "bits"), "rows")
+    of_class = full.where("n_shingles > 0").groupBy("sh1", "sh2")
+    reps = stored(of_class.agg(F.min("rid").alias("rep"), F.min_by("doc_id", "rid").alias("rep_doc"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits")), "classes")
     # Buckets of equal signatures; those of the same members once.
-    index = reps.select("rep", F.explode("sigs").alias("sig")).repartition("sig").sortWithinPartitions("sig", "rep")
+    index = of_class.agg(F.min("rid").alias("rep"), F.first("sigs").alias("sigs")).select("rep", F.explode("sigs").alias("sig")).repartition("sig").sortWithinPartitions("sig", "rep")
     found = stored(index.mapInArrow(buckets, "sig long, block int, members array<long>, same long"), "buckets")
+    removed(spark, path)
+    del full, of_class, index
+    release(spark)
     split = found.where("block > 0").select("sig").distinct().withColumn("split", F.lit(True))
     found = found.join(split, "sig", "left")
     single = found.where("split IS NULL").groupBy("same").agg(F.first("members").alias("members"))
@@ -311,7 +315,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     tested = single.union(crossed).join(reps.select("rep", "n", "bits"), "rep").repartition("bid").sortWithinPartitions("bid", "side", "rep")
     weak = connected_components(tested.mapInArrow(partial(weak_edges, num=num, den=den), "a long, b long"))
     # Sets of each weak cluster, in blocks, every two of which meet once.
-    size = weak.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    size = weak.join(reps.select("rep", "n"), F.col("node") == F.col("rep")).groupBy("label").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / ELEMENTS)).cast("int").alias("nb"))
     cluster = weak.join(size, "label").select(F.col("label").alias("cid"), F.col("node").alias("rep"), "nb", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("block"))
     wanted = stored(cluster.join(reps.select("rep", "rep_doc", "sh1", "sh2"), "rep"), "wanted")
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep_doc")))
@@ -319,6 +323,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     dealt = sets.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumns({"b1": F.least("block", "o"), "b2": F.greatest("block", "o")})
     dealt = dealt.select("cid", "b1", "b2", "block", "rep", "elements").repartition("cid", "b1", "b2").sortWithinPartitions("cid", "b1", "b2", "rep")
     label = connected_components(dealt.mapInArrow(partial(exact_edges, num=num, den=den), "a long, b long"))
+    release(spark)
     # Back to rows, by class.
     named = reps.select("sh1", "sh2", "rep", "least").join(label, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("label", "rep"))
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
@@ -332,12 +337,15 @@ def first_of_each(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Da
 
     Rows without a doc_id stay where nothing that has one links with them.
     """
-    found = jaccard_components(docs, k, num, den)
+    found = stored(jaccard_components(docs, k, num, den), "found")
+    release(docs.sparkSession)
     gone = found.where("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(F.col("doc_id").alias("_orb_gone")).distinct()
-    twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_orb_twice"))
     left = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_orb_gone")), "left_anti")
-    once = left.join(twice, F.col("doc_id") == F.col("_orb_twice"), "left_anti")
-    return once.unionByName(left.join(twice, F.col("doc_id") == F.col("_orb_twice"), "left_semi").dropDuplicates(["doc_id"]))
+    twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_orb_twice"))
+    if twice.isEmpty():
+        return left
+    same = F.col("doc_id") == F.col("_orb_twice")
+    return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
