@@ -259,6 +259,7 @@ def write_shard(batches: Iterator[pa.RecordBatch], uri: str, path: str, end: int
 
 
 def read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _encoders.clear()  # a worker that writes no more needs no chunks
     for batch in batches:
         for path, start in zip(batch["path"].to_pylist(), batch["start"].to_pylist(), strict=True):
             r = Reader(path)
