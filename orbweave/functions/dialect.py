@@ -30,10 +30,10 @@ def written(sql: str, words: dict[str, str]) -> str:
     return re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1e0", sql)
 
 
-def graph(m: int = 20) -> str:
-    """The co-purchase graph as common table expressions: e(src < dst), adj(u, v), n(id, deg)."""
+def graph() -> str:
+    """Parts of one order on neighbouring lines, over all of lineitem, as common table expressions: e(src < dst), adj(u, v), n(id, deg)."""
     return (
-        f"WITH e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE a.l_partkey < b.l_partkey AND a.l_orderkey % {m} = 0), "
+        "WITH e AS (SELECT DISTINCT least(a.l_partkey, b.l_partkey) AS src, greatest(a.l_partkey, b.l_partkey) AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey), "
         "adj AS (SELECT src AS u, dst AS v FROM e UNION ALL SELECT dst AS u, src AS v FROM e), n AS (SELECT u AS id, count(*) AS deg FROM adj GROUP BY u)"
     )
 

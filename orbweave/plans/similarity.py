@@ -5,7 +5,7 @@ from __future__ import annotations
 from orbweave.functions.dialect import graph, oracle, query
 from orbweave.plans.features import BFS, WL0, wl
 
-G, S = graph(20), graph(100)
+G = graph()
 #: Candidate pairs: each node with its next nodes in the order of degrees.
 CAND = "o AS (SELECT id, deg, row_number() OVER (ORDER BY deg, id) AS r FROM n), cand AS (SELECT a.id AS x, b.id AS y, a.deg AS dx, b.deg AS dy FROM o a JOIN o b ON b.r > a.r AND b.r <= a.r + 8)"
 LAYER = f"{BFS}, lay AS (SELECT root, d, avg(deg) AS m FROM hop JOIN n ON n.id = node GROUP BY root, d), g AS (SELECT x, y, p.d, greatest(p.m, q.m) / least(p.m, q.m) - 1 AS c FROM cand JOIN lay p ON p.root = x JOIN lay q ON q.root = y AND q.d = p.d), f AS (SELECT x, y, d, sum(c) OVER (PARTITION BY x, y ORDER BY d) AS f FROM g), w AS (SELECT x AS u, y AS v, d, exp(-f) AS w FROM f UNION ALL SELECT y, x, d, exp(-f) FROM f)"
@@ -14,7 +14,7 @@ SQL = {
     "m02_binary_init": f"{G}, {CAND} SELECT x, y, CASE WHEN dx = dy THEN 1.0 ELSE 0.0 END AS s FROM cand",
     "m05_iceberg_candidates": f"{G}, {CAND} SELECT x, y, round(0.5 * least(dx, dy) / cast(greatest(dx, dy) AS DOUBLE), 6) AS estimate FROM cand WHERE least(dx, dy) >= 0.8 * greatest(dx, dy)",
     "m06_l1_change": f"{G}, {CAND} SELECT round(avg(abs(least(dx, dy) / cast(greatest(dx, dy) AS DOUBLE) - CASE WHEN dx = dy THEN 1.0 ELSE 0.0 END)), 6) AS change FROM cand",
-    "m07_simrank_round": f"{S} SELECT a.v AS x, b.v AS y, round(sum(0.9 / (p.deg * q.deg)) + 1e-9, 5) AS s FROM adj a JOIN adj b ON a.u = b.u JOIN n p ON p.id = a.v JOIN n q ON q.id = b.v WHERE a.v < b.v GROUP BY a.v, b.v",
+    "m07_simrank_round": f"{G} SELECT a.v AS x, b.v AS y, round(sum(0.9 / (p.deg * q.deg)) + 1e-9, 5) AS s FROM adj a JOIN adj b ON a.u = b.u JOIN n p ON p.id = a.v JOIN n q ON q.id = b.v WHERE a.v < b.v GROUP BY a.v, b.v",
     "m08_sampled_pairs": f"{G}, {CAND}, s AS (SELECT x, y, least(dx, dy) / cast(greatest(dx, dy) AS DOUBLE) AS s FROM cand), r AS (SELECT x, y, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS hi, row_number() OVER (PARTITION BY x ORDER BY md5(concat(x, '-', y))) AS k FROM s) SELECT p.x AS i, p.y AS pos, q.y AS neg FROM r p JOIN r q ON q.x = p.x AND q.hi > 4 AND q.k = p.hi WHERE p.hi BETWEEN 2 AND 4",
     "m09_ranked_pairs": f"{G}, {CAND}, s AS (SELECT x, y, least(dx, dy) / cast(greatest(dx, dy) AS DOUBLE) AS s FROM cand), r AS (SELECT x, y, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS hi, row_number() OVER (PARTITION BY x ORDER BY s, y) AS lo FROM s) SELECT p.x AS i, p.y AS pos, q.y AS neg FROM r p JOIN r q ON q.x = p.x AND q.lo = p.hi WHERE p.hi <= 3",
     "m12_degree_candidates": f"{G}, {CAND} SELECT x, y FROM cand",
@@ -23,10 +23,10 @@ SQL = {
     "m15_layer_gamma": f"{G}, {CAND}, {LAYER}, a AS (SELECT d, avg(w) AS m FROM w GROUP BY d) SELECT w.d, w.u, count(CASE WHEN w.w > a.m + 1e-9 THEN 1 END) AS gamma FROM w JOIN a ON a.d = w.d GROUP BY w.d, w.u",
     "m17_shortest_path_kernel": f"{G}, {CAND}, {BFS}, h AS (SELECT root, d, count(*) AS c FROM hop GROUP BY root, d), k AS (SELECT x, y, sum(p.c * q.c) AS xy FROM cand JOIN h p ON p.root = x JOIN h q ON q.root = y AND q.d = p.d GROUP BY x, y), s AS (SELECT root, sum(c * c) AS k FROM h GROUP BY root) SELECT x, y, round(xy / sqrt(cast(a.k AS DOUBLE) * b.k), 6) AS kernel FROM k JOIN s a ON a.root = x JOIN s b ON b.root = y",
     "m18_wl_kernel": f"{G}, {CAND}, {WL0}, {wl(1)}, l AS (SELECT adj.u AS root, w1.l, count(*) AS c FROM adj JOIN w1 ON w1.id = adj.v GROUP BY adj.u, w1.l) SELECT x, y, cast(sum(p.c * q.c) AS BIGINT) AS kernel FROM cand JOIN l p ON p.root = x JOIN l q ON q.root = y AND q.l = p.l GROUP BY x, y",
-    "m20_normalised_kernel": f"{S}, c AS (SELECT a.v AS x, b.v AS y, count(*) AS c FROM adj a JOIN adj b ON a.u = b.u GROUP BY a.v, b.v) SELECT c.x, c.y, round(coalesce(c.c / nullif(sqrt(cast(p.deg AS DOUBLE) * q.deg), 0), 0), 6) AS k FROM c JOIN n p ON p.id = c.x JOIN n q ON q.id = c.y WHERE c.x < c.y",
-    "m21_vector_distance": "SELECT a.vec_id AS x, b.vec_id AS y, round(sqrt(@sq_dist(a.embedding, b.embedding)@), 4) AS d FROM embeddings a JOIN embeddings b ON b.vec_id > a.vec_id AND b.vec_id <= a.vec_id + 5",
+    "m20_normalised_kernel": f"{G}, c AS (SELECT a.v AS x, b.v AS y, count(*) AS c FROM adj a JOIN adj b ON a.u = b.u GROUP BY a.v, b.v) SELECT c.x, c.y, round(coalesce(c.c / nullif(sqrt(cast(p.deg AS DOUBLE) * q.deg), 0), 0), 6) AS k FROM c JOIN n p ON p.id = c.x JOIN n q ON q.id = c.y WHERE c.x < c.y",
+    "m21_vector_distance": "SELECT a.vec_id AS x, b.vec_id AS y, round(sqrt(@sq_dist(a.embedding, b.embedding)@), 4) AS d FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id",
     "f17_second_order_similarity": f"{G}, c AS (SELECT a.v AS x, b.v AS y, count(*) AS c FROM adj a JOIN adj b ON a.u = b.u WHERE a.v < b.v GROUP BY a.v, b.v) SELECT x, y, round(c / cast(p.deg + q.deg - c AS DOUBLE), 6) AS s FROM c JOIN n p ON p.id = x JOIN n q ON q.id = y WHERE c >= 2",
-    "f20_feature_gram": f"{S}, c AS (SELECT a.v AS x, b.v AS y, count(*) AS c FROM adj a JOIN adj b ON a.u = b.u GROUP BY a.v, b.v) SELECT x, y, c FROM c WHERE x <= y",
+    "f20_feature_gram": f"{G}, c AS (SELECT a.v AS x, b.v AS y, count(*) AS c FROM adj a JOIN adj b ON a.u = b.u GROUP BY a.v, b.v) SELECT x, y, c FROM c WHERE x <= y",
     "f27_pyramid_match": f"{G}, {CAND}, h AS (SELECT adj.u AS id, l.l, cast(floor(n.deg / power(2, l.l)) AS BIGINT) AS b, count(*) AS c FROM adj JOIN n ON n.id = adj.v CROSS JOIN (SELECT 0 AS l UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) l GROUP BY 1, 2, 3) SELECT x, y, cast(sum(CASE WHEN p.l = 3 THEN least(p.c, q.c) ELSE 0 END) AS BIGINT) AS coarse, cast(sum(CASE WHEN p.l = 0 THEN least(p.c, q.c) ELSE 0 END) AS BIGINT) AS fine FROM cand JOIN h p ON p.id = x JOIN h q ON q.id = y AND q.l = p.l AND q.b = p.b GROUP BY x, y",
 }
 QUERIES = {k: query(v) for k, v in SQL.items()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from orbweave.functions.dialect import graph, oracle, query
 
-G = graph(20)
+G = graph()
 NB = "nb AS (SELECT adj.u, adj.v, row_number() OVER (PARTITION BY adj.u ORDER BY adj.v) - 1 AS i, n.deg FROM adj JOIN n ON n.id = adj.u)"
 
 
@@ -30,7 +30,7 @@ SQL = {
     "w08_temporal_walk_step": f"WITH {TIMED} SELECT x.event_id, y.event_id AS following, y.event_type FROM f x JOIN f y ON y.user_id = x.user_id AND y.r = x.r + 1",
     "w09_edge_starts": f"WITH {TIMED}, m AS (SELECT max(t) AS hi, min(t) AS lo FROM f) SELECT event_id FROM f CROSS JOIN m WHERE t >= lo + 0.9 * (hi - lo) AND @u(concat('late:', event_id))@ < 0.25",
     "w11_anonymous_walks": f"{G}, {W5}, {LONG}, fst AS (SELECT walk, node, min(k) AS k0 FROM pos GROUP BY walk, node), rk AS (SELECT walk, node, row_number() OVER (PARTITION BY walk ORDER BY k0) - 1 AS a FROM fst) SELECT pos.walk, pos.k, rk.a FROM pos JOIN rk ON rk.walk = pos.walk AND rk.node = pos.node",
-    "w13_walk_type_scores": f"{G}, {W5}, x AS (SELECT c0 AS id, CASE WHEN c2 = c0 THEN 1.0 ELSE 0.0 END AS back, CASE WHEN c3 = c0 THEN 1.0 ELSE 0.0 END AS loop FROM s5) SELECT id, round((back - avg(back) OVER ()) / greatest(stddev_pop(back) OVER (), 0.001), 5) AS z_back, round((loop - avg(loop) OVER ()) / greatest(stddev_pop(loop) OVER (), 0.001), 5) AS z_loop FROM x",
+    "w13_walk_type_scores": f"{G}, {W5}, x AS (SELECT c0 AS id, CASE WHEN c2 = c0 THEN 1.0 ELSE 0.0 END AS back, CASE WHEN c3 = c0 THEN 1.0 ELSE 0.0 END AS loop FROM s5), m AS (SELECT avg(back) AS mb, greatest(stddev_pop(back), 0.001) AS sb, avg(loop) AS ml, greatest(stddev_pop(loop), 0.001) AS sl FROM x) SELECT id, round((back - mb) / sb, 5) AS z_back, round((loop - ml) / sl, 5) AS z_loop FROM x CROSS JOIN m",
     "w14_walk_radius": f"{G}, {W5}, {LONG} SELECT walk, cast(floor(2 * 6 / cast(count(DISTINCT node) AS DOUBLE)) AS BIGINT) AS radius FROM pos GROUP BY walk",
     "w15_negative_samples": f"{G}, o AS (SELECT id, sum(ceil(power(deg, 0.75))) OVER (ORDER BY id) AS upto, sum(ceil(power(deg, 0.75))) OVER () AS total, ceil(power(deg, 0.75)) AS w FROM n), d AS (SELECT id AS i, @u(concat('neg:', id))@ AS x FROM n) SELECT d.i, o.id AS neg FROM d JOIN o ON o.upto > d.x * o.total AND o.upto - o.w <= d.x * o.total WHERE NOT EXISTS (SELECT 1 FROM adj WHERE adj.u = d.i AND adj.v = o.id)",
     "w17_fixed_size_neighbours": f"{G}, {NB} SELECT n.id, k.k, nb.v FROM n CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) k JOIN nb ON nb.u = n.id AND nb.i = cast(floor(@u(concat('fix:', n.id, ':', k.k))@ * n.deg) AS BIGINT)",
