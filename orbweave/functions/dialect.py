@@ -19,7 +19,7 @@ _SPARK = {
 _ORACLE = {
     "u": "(('0x' || substr(md5({0}), 1, 8))::BIGINT / 4294967296.0)",
     "list": "array_to_string(list_sort(list({0})), '_')",
-    "epoch": "epoch({0})::BIGINT",
+    "epoch": "floor(epoch({0}))::BIGINT",
     "sq_dist": "list_sum(list_transform(list_zip({0}), lambda z: (z[1]::DOUBLE - z[2]) * (z[1]::DOUBLE - z[2])))",
     "range": "(SELECT range AS id FROM range({0}))",
     "dims": "unnest(range(0, len({0})))::INTEGER AS k, unnest({0}) AS x",

@@ -44,7 +44,7 @@ def temporal_edges(spark: SparkSession, path: str) -> DataFrame:
 
 def adjacency_list(spark: SparkSession, path: str) -> DataFrame:
     """(u, v) of lines `u v1 v2 ...`; repeated neighbours count once."""
-    return _tokens(spark, path).select(F.col("t")[0].cast("bigint").alias("u"), F.explode(F.array_distinct(F.expr("slice(t, 2, greatest(size(t) - 1, 0))"))).cast("bigint").alias("v"))
+    return _tokens(spark, path).select(F.col("t")[0].cast("bigint").alias("u"), F.explode(F.expr("transform(array_distinct(slice(t, 2, greatest(size(t) - 1, 0))), v -> cast(v AS BIGINT))")).alias("v"))
 
 
 def categories(spark: SparkSession, path: str) -> DataFrame:
@@ -55,7 +55,7 @@ def categories(spark: SparkSession, path: str) -> DataFrame:
 
 def labels(spark: SparkSession, path: str) -> DataFrame:
     """(id, label), a row for each label of a line."""
-    return _tokens(spark, path).select(F.col("t")[0].cast("bigint").alias("id"), F.explode(F.expr("slice(t, 2, greatest(size(t) - 1, 0))")).cast("int").alias("label"))
+    return _tokens(spark, path).select(F.col("t")[0].cast("bigint").alias("id"), F.explode(F.expr("transform(slice(t, 2, greatest(size(t) - 1, 0)), v -> cast(v AS INT))")).alias("label"))
 
 
 def vectors(spark: SparkSession, path: str) -> DataFrame:

@@ -6,10 +6,12 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from orbweave.plans import diffusion, evaluation, features, relational, similarity, walks
+from orbweave.plans import diffusion, embedding, evaluation, features, iterative, relational, similarity, sources, streams, walks
+from orbweave.sources import generators
 
 SF = "/root/testdata/sf0.001"
-PLANS = {n: (q, m.ORACLES[n]) for m in (relational, features, similarity, diffusion, walks, evaluation) for n, q in m.QUERIES.items()}
+MODULES = (relational, features, similarity, diffusion, walks, embedding, evaluation, sources, streams, generators, iterative)
+PLANS = {n: (q, m.ORACLES[n]) for m in MODULES for n, q in m.QUERIES.items() if n in m.ORACLES}
 
 
 def rows(columns, values):
@@ -34,3 +36,17 @@ def test_plan_equals_oracle(spark, duck, name):
     a, b = rows(got.columns, got.collect()), rows(names, want.fetchall())
     assert sorted(got.columns) == sorted(names) and len(a) == len(b)
     assert all(x == y or all(p == q or (isinstance(p, float) and math.isclose(p, q, abs_tol=2e-4)) for p, q in zip(x, y, strict=True)) for x, y in zip(a, b, strict=True))
+
+
+def test_learners(spark):
+    """Properties of results that have no SQL: they cover every row, and beat chance on labelled vectors."""
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
+    classes = vectors.select("label").distinct().count()
+    for name in ("v01_one_versus_rest", "v13_multinomial"):
+        score = embedding.QUERIES[name](spark, SF).head()
+        assert 0 < score.n < vectors.count() and 1 / (2 * classes) <= score.f1_micro <= 1 and 0 <= score.f1_macro <= 1
+    assert embedding.QUERIES["v02_kmeans"](spark, SF).count() == embedding.QUERIES["v06_projection"](spark, SF).count() == vectors.count()
+    nodes = features.QUERIES["f01_degree"](spark, SF).count()
+    roles = embedding.QUERIES["e01_role_factors"](spark, SF)
+    assert roles.count() == nodes and roles.where("least(role_0, role_1, role_2, role_3) < 0").isEmpty()
+    assert embedding.QUERIES["e05_walk_vectors"](spark, SF).count() == nodes
