@@ -11,6 +11,7 @@ template (ties: the first key); repeated rows are kept; other columns are ignore
 from __future__ import annotations
 
 import re
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,8 +44,15 @@ def bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
 
 
+def bounds(size: int, threshold: float) -> tuple[int, int]:
+    """Least and most size of a unit that reaches the threshold with a template of that size, in integers."""
+    t = Fraction(str(threshold))
+    num, den = t.numerator, 2 * t.denominator - t.numerator
+    return -(-size * num // den), size * den // num
+
+
 def template_rows(templates: dict[str, str], threshold: float) -> list[tuple[str, str, int, int, int]]:
-    """(key, bigram, size, least and most size of a unit)."""
+    """(key, bigram, size, least and most size of a unit) as the oracle has them: in floating point, narrower than bounds()."""
     out = []
     for key, text in sorted(templates.items()):
         own = bigrams(text)
@@ -62,7 +70,7 @@ def matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: f
 
     unit counts lines from 0; -1 is the whole text.
     """
-    rows = template_rows(templates, threshold)
+    rows = [(key, g, n, *bounds(n, threshold)) for key, g, n, _, _ in template_rows(templates, threshold)]
     most = max(r[4] for r in rows)
     none = ("", "", 1, 0, 1)
     wanted = F.broadcast(docs.sparkSession.createDataFrame([*rows, none], "license string, gram string, size int, least int, most int"))

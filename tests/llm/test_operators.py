@@ -180,6 +180,15 @@ def test_licenses(spark):
     assert got == [(1, ["cc-by-nc-4.0"] * 2), (2, []), (3, []), (4, []), (5, []), (5, ["mit"])]
 
 
+def test_license_bounds_keep_what_reaches_the_threshold(spark):
+    for size in range(1, 60):
+        lo, hi = license_scan.bounds(size, 0.8)
+        assert [n for n in range(1, 120) if 10 * min(n, size) >= 4 * (n + size)] == list(range(lo, hi + 1))
+    rows = [(1, "All rights reserved worldwide."), (2, "Released under the MIT License by us.")]
+    got = {r.doc_id: [(u.license, u.dice) for u in r.units] for r in license_scan.matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [("all-rights-reserved", 0.8)], 2: [("mit", 0.8)]}
+
+
 def test_urls(spark):
     entries = spark.sql("SELECT * FROM VALUES ('a.org', 'block', timestamp '2024-01-01'), ('a.org', 'allow', timestamp '2024-03-01'), ('x.a.org/p/', 'block', timestamp '2024-02-01'), (null, 'block', timestamp '2024-01-01') AS t(pattern, action, since)")
     pages = spark.sql("SELECT * FROM VALUES (1, 'http://x.a.org/q', timestamp '2024-02-10'), (2, 'http://x.a.org/q', timestamp '2024-03-01'), (3, 'https://X.A.org:80/p/z', timestamp '2024-05-01'), (4, null, timestamp '2024-05-01'), (5, 'http://a.org', null), (6, 'http://ba.org/', timestamp '2024-02-10'), (7, 'http://a.org', timestamp '2023-12-31') AS t(page_id, url, fetched)")
