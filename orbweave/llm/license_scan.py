@@ -1,8 +1,12 @@
-"""Licence scan: word bigrams of normalised lines and texts against templates, by Dice coefficient.
+"""Licence scan: word bigrams of normalised lines, texts and windows of words against templates, by Dice coefficient.
 
-A unit is a line, or the whole of a text of several lines. Its distinct bigrams meet those of the templates in one hash
-join (the templates are fixed, so their broadcast is bounded); a pair is tried only while the sizes allow the threshold:
-the smaller of two sets must hold t / (2 - t) of the larger. Counts are aggregated before the only shuffles.
+A unit is a line, the whole of a text of several lines, or a window of the text's words across line ends, in any size
+and at any start. To reach the threshold t, a unit must hold t / (2 - t) of a template's bigrams; texts without a word
+that this needs, and then texts with too few of the bigrams, are left out before anything is exploded, which loses none.
+Of the windows that start at one bigram the best is tried; it ends at bigrams of its template, as trimming others never
+lowers Dice. Windows that share words with a line or text that matches a template of at least their template's size, or
+with a window that holds more of its template, are the same notice and not counted again. A line that is itself of a template's size is judged for it as a
+line, not by a part of it.
 
 Cases: null and empty texts, and units of fewer than two words, match nothing; a unit counts once, for its best
 template (ties: the first key); repeated rows are kept; other columns are ignored.
@@ -13,10 +17,11 @@ from __future__ import annotations
 import re
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import table
+from orbweave.llm.common import stored, table
+from orbweave.llm.license_texts import TEXTS
 
 # Notices by which works are licensed.
 TEMPLATES = {
@@ -60,35 +65,120 @@ def template_rows(templates: dict[str, str], threshold: float) -> list[tuple[str
     return out
 
 
+def markers(own: list[str], least: int) -> set[str]:
+    """Words of which a text has at least one if it has `least` of the bigrams: all but least - 1 of them have a marker."""
+    out: set[str] = set()
+    for w in sorted({w for g in own for w in g.split()}, key=lambda w: (-len(w), w)):
+        if sum(any(x in out for x in g.split()) for g in own) > len(own) - least:
+            break
+        out.add(w)
+    return out
+
+
+def literals(values: list[str]) -> Column:
+    """A constant array of words or bigrams, as one literal."""
+    return F.split(F.lit("\n".join(values)), "\n")
+
+
+def unit_words(unit: Column) -> Column:
+    return F.filter(F.split(F.lower(unit), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+
+
+def pairs(w: Column) -> Column:
+    """Neighbours (a, b) in an array."""
+    rest = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(w, 1, rest).alias("a"), F.slice(w, 2, rest).alias("b"))
+
+
 def unit_bigrams(unit: Column) -> Column:
-    w = F.filter(F.split(F.lower(unit), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    return F.array_distinct(F.transform(F.arrays_zip(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))).alias("a"), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))).alias("b")), lambda p: F.concat_ws(" ", p["a"], p["b"])))
+    return F.array_distinct(F.transform(pairs(unit_words(unit)), lambda p: F.concat_ws(" ", p["a"], p["b"])))
 
 
-def matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def windows(base: DataFrame, best: DataFrame, own: dict[str, list[str]], threshold: float) -> DataFrame:
+    """rid, unit, license and dice of the windows of base(rid, t, lines) that are not part of a unit of best."""
+    t = Fraction(str(threshold))
+    keys = sorted(own)
+    mask: dict[str, int] = {}
+    for i, k in enumerate(keys):
+        for g in own[k]:
+            mask[g] = mask.get(g, 0) | 1 << i
+    masks = F.broadcast(base.sparkSession.createDataFrame(sorted(mask.items()), "gram string, mask long"))
+    names = F.array(*[F.struct(F.lit(1 << i).cast("long").alias("bit"), F.lit(k).alias("license"), F.lit(len(own[k])).alias("size"), F.lit(bounds(len(own[k]), threshold)[0]).alias("least"), F.lit(bounds(len(own[k]), threshold)[1]).alias("most")) for i, k in enumerate(keys)])
+    done = best.groupBy("rid").agg(F.collect_list(F.struct("unit", "size")).alias("done"))
+    words = F.flatten(F.transform("lines", lambda x, i: F.transform(unit_words(x), lambda w: F.struct(w.alias("w"), i.alias("line")))))
+    own_size = F.transform("lines", lambda x: F.size(unit_bigrams(x)))
+    pos = base.join(done, "rid", "left").select("rid", F.coalesce("done", F.array().cast("array<struct<unit:int,size:int>>")).alias("done"), words.alias("w"), own_size.alias("sizes"))
+    pos = pos.select("rid", "done", "sizes", F.posexplode(pairs(F.col("w"))).alias("p", "g"))
+    taken = F.coalesce(F.array_max(F.transform(F.filter("done", lambda d: d["unit"].isin(-1) | (d["unit"] == F.col("g.a.line")) | (d["unit"] == F.col("g.b.line"))), lambda d: d["size"])), F.lit(0))
+    pos = pos.select("rid", "p", F.concat_ws(" ", "g.a.w", "g.b.w").alias("gram"), F.col("g.a.line").alias("a"), F.col("g.b.line").alias("b"), F.get("sizes", F.col("g.a.line")).alias("n"), taken.alias("taken"))
+    pos = pos.join(masks, "gram", "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long"))).repartition("rid")
+    # Of each bigram of a text: the place before where it stood, and how many different ones the text has up to here.
+    pos = pos.withColumn("prev", F.lag("p", 1, -1).over(Window.partitionBy("rid", "gram").orderBy("p")))
+    pos = pos.withColumn("upto", F.sum(F.when(F.col("prev") < 0, 1).otherwise(0)).over(Window.partitionBy("rid").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    texts = pos.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("p", "prev", "mask", "upto", "a", "b", "n", "taken"))).alias("arr"))
+
+    def has(x: Column, k: Column) -> Column:
+        return x["mask"].bitwiseAND(k["bit"]) != 0
+
+    texts = texts.withColumn("k", F.explode(F.filter(names, lambda k: F.size(F.filter("arr", lambda x: (x["prev"] < 0) & has(x, k))) >= k["least"])))
+    k = F.col("k")
+    texts = texts.select("rid", "arr", "k", F.transform(F.filter("arr", lambda x: x["prev"] < 0), lambda x: x["p"]).alias("firsts"), F.filter("arr", lambda x: has(x, k) & (x["taken"] < k["size"])).alias("starts")).where("size(starts) > 0").repartition("rid")
+    state = F.struct(F.lit(0).alias("n"), F.lit(0).alias("c"), F.lit(0).alias("bc"), F.lit(1).alias("bd"), F.lit(-1).alias("to"), F.lit(False).alias("shut"))
+
+    def window(s: Column) -> Column:
+        """The best window that starts at s: (c, n + size, last bigram); it ends before its size is past the most."""
+        end = F.coalesce(F.get("firsts", s["upto"] + k["most"] - 1), F.element_at("starts", -1)["p"] + 1)
+        span = F.greatest(F.least(end, F.element_at("starts", -1)["p"] + 1) - s["p"], F.lit(1))
+
+        def step(z: Column, x: Column) -> Column:
+            new = x["prev"] < s["p"]
+            hit = new & has(x, k)
+            shut = z["shut"] | (x["taken"] >= k["size"])
+            n, c = z["n"] + new.cast("int"), z["c"] + hit.cast("int")
+            d = n + k["size"]
+            inside = (s["a"] == x["b"]) & (s["n"] >= k["least"]) & (s["n"] <= k["most"])
+            good = ~shut & hit & ~inside & (2 * c * t.denominator >= d * t.numerator) & (c.cast("long") * z["bd"] > z["bc"].cast("long") * d)
+            return F.struct(n.alias("n"), c.alias("c"), F.when(good, c).otherwise(z["bc"]).alias("bc"), F.when(good, d).otherwise(z["bd"]).alias("bd"), F.when(good, x["p"]).otherwise(z["to"]).alias("to"), shut.alias("shut"))
+
+        z = F.aggregate(F.slice("arr", s["p"] + 1, span), state, step)
+        return F.transform(F.array(z), lambda z: F.struct((-z["bc"]).alias("less"), (-2.0 * z["bc"] / z["bd"]).alias("d"), k["license"].alias("license"), s["p"].alias("p"), z["to"].alias("to")))[0]
+
+    found = texts.select("rid", F.explode(F.filter(F.transform("starts", window), lambda x: x["to"] >= 0)).alias("x"))
+    listed = found.groupBy("rid").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    kept = F.aggregate("x", F.filter("x", lambda x: F.lit(False)), lambda z, x: F.when(F.exists(z, lambda y: (x["p"] <= y["to"] + 1) & (y["p"] <= x["to"] + 1)), z).otherwise(F.concat(z, F.array(x))))
+    listed = listed.select("rid", F.explode(kept).alias("x"))
+    return listed.select("rid", (-2 - F.col("x.p")).alias("unit"), "x.license", (-F.col("x.d")).alias("dice"))
+
+
+def matches(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: doc_id and units, an array of (unit, license, dice) of the units that match.
 
-    unit counts lines from 0; -1 is the whole text.
+    unit counts lines from 0; -1 is the whole text; -2 - w is a window whose first word is word w of the text.
     """
-    rows = [(key, g, n, *bounds(n, threshold)) for key, g, n, _, _ in template_rows(templates, threshold)]
-    most = max(r[4] for r in rows)
-    none = ("", "", 1, 0, 1)
-    wanted = F.broadcast(docs.sparkSession.createDataFrame([*rows, none], "license string, gram string, size int, least int, most int"))
-    text = F.coalesce("text", F.lit(""))
-    units = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.split(text, "\n").alias("lines"), text.alias("t"))
-    # The text as a whole only where its length leaves it a chance; a row without any match keeps its dummy unit.
-    whole = F.when((F.size("lines") > 1) & (F.size(F.split("t", r"\s+", 2 * most + 3)) <= 2 * most + 2), F.array(F.struct(F.lit(-1).alias("unit"), F.col("t").alias("s"))))
-    units = units.select("rid", "doc_id", F.explode(F.concat(F.transform("lines", lambda x, i: F.struct(i.alias("unit"), x.alias("s"))), F.coalesce(whole, F.array().cast("array<struct<unit:int,s:string>>")), F.array(F.struct(F.lit(-2).alias("unit"), F.lit("").alias("s"))))).alias("u"))
-    units = units.select("rid", "doc_id", "u.unit", unit_bigrams(F.col("u.s")).alias("grams"))
-    units = units.select("rid", "doc_id", "unit", F.size("grams").alias("n"), F.explode(F.when(F.col("unit") == -2, F.array(F.lit(""))).otherwise(F.col("grams"))).alias("gram"))
+    own = {key: bigrams(text) for key, text in sorted((TEMPLATES | TEXTS if templates is None else templates).items())}
+    t = Fraction(str(threshold))
+    rows = [(key, g, len(gs), *bounds(len(gs), threshold)) for key, gs in own.items() for g in gs]
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(rows, "license string, gram string, size int, least int, most int"))
+    some = literals(sorted({w for gs in own.values() for w in markers(gs, bounds(len(gs), threshold)[0])}))
+    enough = F.lit(False)
+    for gs in own.values():
+        enough |= F.size(F.array_intersect("grams", literals(gs))) >= bounds(len(gs), threshold)[0]
+    # Written once, so that every later step sees the same rid; texts stay only where a unit can match.
+    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.when(F.arrays_overlap(unit_words(F.coalesce("text", F.lit(""))), some), F.col("text")).alias("t"))
+    base = stored(base, "licence-words")
+    likely = base.where("t IS NOT NULL").select("rid", "t", unit_bigrams(F.col("t")).alias("grams")).where(enough)
+    likely = stored(likely.select("rid", "t", F.split("t", "\n").alias("lines")), "licence-texts").repartition("rid")
+    whole = F.when(F.size("lines") > 1, F.array(F.struct(F.lit(-1).alias("unit"), F.col("t").alias("s"))))
+    units = likely.select("rid", F.explode(F.concat(F.transform("lines", lambda x, i: F.struct(i.alias("unit"), x.alias("s"))), F.coalesce(whole, F.array().cast("array<struct<unit:int,s:string>>")))).alias("u"))
+    units = units.select("rid", "u.unit", unit_bigrams(F.col("u.s")).alias("grams"))
+    units = units.select("rid", "unit", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
     common = units.join(wanted, (units["gram"] == wanted["gram"]) & (units["n"] >= wanted["least"]) & (units["n"] <= wanted["most"]))
-    common = common.groupBy("rid", "doc_id", "unit", "license", "n", "size").agg(F.count("*").alias("c"))
-    dice = 2 * F.col("c") / (F.col("n") + F.col("size"))
+    common = common.groupBy("rid", "unit", "license", "n", "size").agg(F.count("*").alias("c"))
     # Of each unit the best template; hot groups are lines of one text, aggregated by (row, unit).
-    best = common.select("rid", "doc_id", "unit", F.when((F.col("unit") > -2) & (dice >= threshold), F.struct((-dice).alias("d"), "license")).alias("m"))
-    best = best.groupBy("rid", "doc_id", "unit").agg(F.min("m").alias("m"))
-    listed = F.sort_array(F.collect_list(F.when(F.col("m").isNotNull(), F.struct("unit", F.col("m.license").alias("license"), (-F.col("m.d")).alias("dice")))))
-    return best.groupBy("rid", "doc_id").agg(listed.alias("units")).drop("rid")
+    best = common.where(2 * F.col("c") * t.denominator >= (F.col("n") + F.col("size")) * t.numerator).groupBy("rid", "unit").agg(F.min(F.struct((-2 * F.col("c") / (F.col("n") + F.col("size"))).alias("d"), "license", "size")).alias("m"))
+    best = stored(best.select("rid", "unit", "m.license", "m.size", (-F.col("m.d")).alias("dice")), "licence-units")
+    found = best.drop("size").unionByName(windows(likely, best, own, threshold)).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("unit", "license", "dice"))).alias("units"))
+    return base.select("rid", "doc_id").join(found, "rid", "left").select("doc_id", F.coalesce("units", F.array().cast("array<struct<unit:int,license:string,dice:double>>")).alias("units"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
