@@ -44,6 +44,11 @@ def stored_at(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_row_id(docs: DataFrame, name: str) -> DataFrame:
+    """docs written once with a column that tells its rows apart, so that a verdict on a row meets that row only."""
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver drop what no plan refers to any more, so that executors delete its shuffle files."""
     gc.collect()

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm.bytetext import ALNUM, U, Words, mixed, windows, words
-from orbweave.llm.common import small_batches, stored, table
+from orbweave.llm.common import small_batches, stored, table, with_row_id
 
 HITS = "rid long, doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>"
 
@@ -157,9 +157,10 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, size: int = 10, bl
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """docs without the rows that hold an occurrence; a doc_id that repeats goes if any of its rows does."""
-    bad = contaminated_spans(docs, benchmark, size).where("n_hit > 0").select(F.col("doc_id").alias("_orb_bad")).distinct()
-    return docs.join(bad.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_orb_bad")), "left_anti")
+    """docs without the rows that hold an occurrence."""
+    rows = with_row_id(docs, "_orb_row")
+    bad = contaminated_spans(rows.select(F.col("_orb_row").alias("doc_id"), "text"), benchmark, size).where("n_hit > 0").select(F.col("doc_id").alias("_orb_row"))
+    return rows.join(bad.hint("shuffle_hash"), "_orb_row", "left_anti").select(*docs.columns)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

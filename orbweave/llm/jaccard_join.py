@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm.bytetext import SPACED, U, mixed, windows, words
-from orbweave.llm.common import fresh_dir, release, removed, small_batches, stored, stored_at, table
+from orbweave.llm.common import fresh_dir, release, removed, small_batches, stored, stored_at, table, with_row_id
 from orbweave.llm.components import connected_components
 
 FEATURES = "rid long, doc_id long, n_shingles long, sh1 long, sh2 long, bits binary, sigs array<long>"
@@ -333,19 +333,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
 
 
 def first_of_each(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """docs without all but the smallest doc_id of each component; of rows that repeat that doc_id and link, one.
-
-    Rows without a doc_id stay where nothing that has one links with them.
-    """
-    found = stored(jaccard_components(docs, k, num, den), "found")
+    """The first row of each component by doc_id (null last) and row; rows without a shingle link with none and stay."""
+    rows = with_row_id(docs, "_orb_row")
+    found = stored(jaccard_components(rows.select(F.col("_orb_row").alias("doc_id"), "text"), k, num, den).select(F.col("doc_id").alias("_orb_row"), "n_shingles", "component_id"), "found")
     release(docs.sparkSession)
-    gone = found.where("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(F.col("doc_id").alias("_orb_gone")).distinct()
-    left = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_orb_gone")), "left_anti")
-    twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_orb_twice"))
-    if twice.isEmpty():
-        return left
-    same = F.col("doc_id") == F.col("_orb_twice")
-    return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
+    linked = found.where("n_shingles > 0").join(rows.select("_orb_row", F.col("doc_id").cast("long").alias("_orb_doc")), "_orb_row")
+    # A component is named by one of its rows; only rows of components of several can go.
+    first = linked.groupBy("component_id").agg(F.min(F.struct(F.col("_orb_doc").isNull(), "_orb_doc", "_orb_row")).alias("first"), F.count("*").alias("size")).where("size > 1").select("component_id", F.col("first._orb_row").alias("_orb_first"))
+    gone = found.where("n_shingles > 0").join(first, "component_id").where("_orb_row <> _orb_first").select("_orb_row")
+    return rows.join(gone.hint("shuffle_hash"), "_orb_row", "left_anti").select(*docs.columns)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import fold, small_batches, table
+from orbweave.llm.common import fold, small_batches, table, with_row_id
 from orbweave.llm.linear import byte_grams, dual_descent, sample
 
 #: Rows of each language that the bits are fitted on, about.
@@ -101,7 +101,7 @@ def fit(docs: DataFrame, labelled: DataFrame, label: str = "lang", most: int = S
 
 
 def identified(docs: DataFrame, model: Model, lead: float = 0.2) -> DataFrame:
-    """doc_id, lang_pred, score and ambiguous of every row of docs."""
+    """doc_id, lang_pred, score and ambiguous of every row of docs; doc_id is any column of long."""
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS numbers a bit
 
@@ -127,9 +127,10 @@ def learnt(docs: DataFrame) -> Model:
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose language can't be told; a doc_id that repeats goes if any of its rows does."""
-    bad = identified(docs, learnt(docs)).where("lang_pred = 'und'").select(F.col("doc_id").alias("_orb_bad")).distinct()
-    return docs.join(bad.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_orb_bad")), "left_anti")
+    """docs without the rows whose language can't be told."""
+    rows = with_row_id(docs, "_orb_row")
+    bad = identified(rows.select(F.col("_orb_row").alias("doc_id"), "text"), learnt(docs)).where("lang_pred = 'und'").select(F.col("doc_id").alias("_orb_row"))
+    return rows.join(bad.hint("shuffle_hash"), "_orb_row", "left_anti").select(*docs.columns)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

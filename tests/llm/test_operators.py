@@ -7,6 +7,7 @@ from collections import Counter
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from orbweave.llm import decontaminate, jaccard_join, language_id, license_scan, mixing, quality_classifier, quality_rules, token_file, url_filter, warc
 
@@ -181,6 +182,20 @@ def test_licenses(spark):
     assert got == [(1, ["cc-by-nc-4.0"] * 2), (2, []), (3, []), (4, []), (5, []), (5, ["mit"])]
 
 
+def test_stages_decide_by_row(spark):
+    a, b, c, d = ([f"{x}{i}" for i in range(60)] for x in "abcd")
+    rows = [(1, a, "1"), (None, a, "n-a"), (None, b, "n-b"), (None, b, "n-b2"), (2, c, "2-c"), (2, a, "2-a"), (3, d, "3-d"), (3, d, "3-d2"), (4, b[::-1], "4-b"), (4, c[::-1], "4-c"), (5, [], "5"), (None, [], "n"), (None, [], "n2")]
+    docs = spark.createDataFrame([(i, " ".join(t), None, s) for i, t, s in rows], "doc_id long, text string, lang string, source string").repartition(3)
+    got = [r.source for r in jaccard_join.first_of_each(docs).collect()]
+    kept = sorted(s for s in got if s[:3] not in ("n-b", "3-d"))
+    assert kept == ["1", "2-c", "4-b", "4-c", "5", "n", "n2"] and len(got) == 9 and {s[:3] for s in got} >= {"n-b", "3-d"}
+    items = spark.createDataFrame([("x", " ".join(a[5:20]))], "item_id string, text string")
+    assert sorted(r.source for r in decontaminate.decontaminated(docs, items).collect()) == sorted(s for _, t, s in rows if t != a)
+    docs = docs.unionByName(spark.createDataFrame([(i, " ".join(t), "en", f"l{i}") for i, t in enumerate((a, b, c, d), 100)], docs.schema)).drop("lang").withColumn("lang", F.when(F.col("doc_id") >= 100, "en"))
+    out = language_id.known_language(docs)
+    assert out.columns == docs.columns and sorted(r.source for r in out.collect()) == sorted([s for _, t, s in rows if t] + ["l100", "l101", "l102", "l103"])
+
+
 def test_license_bounds_keep_what_reaches_the_threshold(spark):
     for size in range(1, 60):
         lo, hi = license_scan.bounds(size, 0.8)
