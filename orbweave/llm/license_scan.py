@@ -1,20 +1,25 @@
-"""Licence scan: word bigrams of normalised lines, texts and windows of words against templates, by Dice coefficient.
-
-A unit is a line, the whole of a text of several lines, or a window of the text's words across line ends, in any size
-and at any start. To reach the threshold t, a unit must hold t / (2 - t) of a template's bigrams; texts without a word
-that this needs, and then texts with too few of the bigrams, are left out before anything is exploded, which loses none.
-Of the windows that start at one bigram the best is tried; it ends at bigrams of its template, as trimming others never
-lowers Dice. Windows that share words with a line or text that matches a template of at least their template's size, or
-with a window that holds more of its template, are the same notice and not counted again. A line that is itself of a template's size is judged for it as a
-line, not by a part of it.
-
-Cases: null and empty texts, and units of fewer than two words, match nothing; a unit counts once, for its best
-template (ties: the first key); repeated rows are kept; other columns are ignored.
+"""Licence scan: windows of a text's words against licence templates, by Dice coefficient over sets of word bigrams.
+
+Every run of consecutive words is a unit, across line ends, at any start and in any size; a template's score in a text
+is the best Dice coefficient of any such window, and the template is found if that reaches the threshold t. Notices and
+whole licence texts are templates alike; one inside another is found by itself.
+
+Size bounds prune: a window that reaches t holds at least t / (2 - t) of the template's bigrams, and at most
+(2 - t) / t times as many as it. So a text is left out before its words are taken apart if it lacks all marker words of
+all templates that it is long enough for, and a template is left out for a text that holds too few of its bigrams in all.
+For the pairs that stay, windows begin where a run of the template's bigrams begins: growing a window to the left by one
+of the template's bigrams never lowers its Dice coefficient, so that other starts can't be better.
+
+Cases: null and empty texts, and texts of fewer than two words, match nothing; of equally good windows the one with most
+of the template counts, then the first, then the shortest; repeated rows are kept; other columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+from collections.abc import Callable
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -56,150 +61,158 @@ def bounds(size: int, threshold: float) -> tuple[int, int]:
     return -(-size * num // den), size * den // num
 
 
-def template_rows(templates: dict[str, str], threshold: float) -> list[tuple[str, str, int, int, int]]:
-    """(key, bigram, size, least and most size of a unit) as the oracle has them: in floating point, narrower than bounds()."""
-    out = []
-    for key, text in sorted(templates.items()):
-        own = bigrams(text)
-        out += [(key, g, len(own), int(-(-len(own) * threshold // (2 - threshold))), int(len(own) * (2 - threshold) // threshold)) for g in own]
-    return out
-
-
 def markers(own: list[str], least: int) -> set[str]:
     """Words of which a text has at least one if it has `least` of the bigrams: all but least - 1 of them have a marker."""
+    of: dict[str, set[int]] = {}
+    for i, g in enumerate(own):
+        for w in g.split():
+            of.setdefault(w, set()).add(i)
     out: set[str] = set()
-    for w in sorted({w for g in own for w in g.split()}, key=lambda w: (-len(w), w)):
-        if sum(any(x in out for x in g.split()) for g in own) > len(own) - least:
+    marked: set[int] = set()
+    for w in sorted(of, key=lambda w: (-len(w), w)):
+        if len(marked) > len(own) - least:
             break
         out.add(w)
+        marked |= of[w]
     return out
 
 
 def literals(values: list[str]) -> Column:
-    """A constant array of words or bigrams, as one literal."""
+    """A constant array of words, as one literal."""
     return F.split(F.lit("\n".join(values)), "\n")
 
 
-def unit_words(unit: Column) -> Column:
-    return F.filter(F.split(F.lower(unit), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+def first_words(own: list[str], least: int) -> tuple[list[str], int]:
+    """The words that bigrams begin with, and how many of them `least` of the bigrams have at the least."""
+    of: dict[str, int] = {}
+    for g in own:
+        of[g.split()[0]] = of.get(g.split()[0], 0) + 1
+    n = 0
+    for need, k in enumerate(sorted(of.values(), reverse=True), 1):
+        n += k
+        if n >= least:
+            break
+    return sorted(of), need
 
 
-def pairs(w: Column) -> Column:
-    """Neighbours (a, b) in an array."""
-    rest = F.greatest(F.size(w) - 1, F.lit(0))
-    return F.arrays_zip(F.slice(w, 1, rest).alias("a"), F.slice(w, 2, rest).alias("b"))
+def likely(own: dict[str, list[str]], threshold: float) -> Callable[[Column], Column]:
+    """Whether a text of some words can hold a template: it has a marker, and enough of the words that its bigrams begin with.
+
+    Templates are grouped by size, each group with its markers; arrays_overlap stops at the first one.
+    """
+    least = {k: bounds(len(gs), threshold)[0] for k, gs in own.items()}
+    groups: dict[int, list[str]] = {}
+    for k, n in least.items():
+        groups.setdefault(n.bit_length() // 3, []).append(k)
+    tests = []
+    for keys in groups.values():
+        firsts = [first_words(own[k], least[k]) for k in keys]
+        known = literals(sorted({w for ws, _ in firsts for w in ws}))
+        some = literals(sorted({w for k in keys for w in markers(own[k], least[k])}))
+        tests.append((min(least[k] for k in keys), some, known, firsts))
+    either = functools.partial(functools.reduce, lambda a, b: a | b)
 
+    def held(firsts: list[tuple[list[str], int]]) -> Callable[[Column], Column]:
+        return lambda ws: either([F.size(F.array_intersect(ws, literals(first))) >= n for first, n in firsts])
 
-def unit_bigrams(unit: Column) -> Column:
-    return F.array_distinct(F.transform(pairs(unit_words(unit)), lambda p: F.concat_ws(" ", p["a"], p["b"])))
+    return lambda words: either([(F.size(words) > n) & F.arrays_overlap(words, some) & F.exists(F.array(F.array_intersect(words, known)), held(firsts)) for n, some, known, firsts in tests], F.lit(False))
 
 
-def windows(base: DataFrame, best: DataFrame, own: dict[str, list[str]], threshold: float) -> DataFrame:
-    """rid, unit, license and dice of the windows of base(rid, t, lines) that are not part of a unit of best."""
-    t = Fraction(str(threshold))
-    keys = sorted(own)
-    mask: dict[str, int] = {}
-    for i, k in enumerate(keys):
-        for g in own[k]:
-            mask[g] = mask.get(g, 0) | 1 << i
-    masks = F.broadcast(base.sparkSession.createDataFrame(sorted(mask.items()), "gram string, mask long"))
-    names = F.array(*[F.struct(F.lit(1 << i).cast("long").alias("bit"), F.lit(k).alias("license"), F.lit(len(own[k])).alias("size"), F.lit(bounds(len(own[k]), threshold)[0]).alias("least"), F.lit(bounds(len(own[k]), threshold)[1]).alias("most")) for i, k in enumerate(keys)])
-    done = best.groupBy("rid").agg(F.collect_list(F.struct("unit", "size")).alias("done"))
-    words = F.flatten(F.transform("lines", lambda x, i: F.transform(unit_words(x), lambda w: F.struct(w.alias("w"), i.alias("line")))))
-    own_size = F.transform("lines", lambda x: F.size(unit_bigrams(x)))
-    pos = base.join(done, "rid", "left").select("rid", F.coalesce("done", F.array().cast("array<struct<unit:int,size:int>>")).alias("done"), words.alias("w"), own_size.alias("sizes"))
-    pos = pos.select("rid", "done", "sizes", F.posexplode(pairs(F.col("w"))).alias("p", "g"))
-    taken = F.coalesce(F.array_max(F.transform(F.filter("done", lambda d: d["unit"].isin(-1) | (d["unit"] == F.col("g.a.line")) | (d["unit"] == F.col("g.b.line"))), lambda d: d["size"])), F.lit(0))
-    pos = pos.select("rid", "p", F.concat_ws(" ", "g.a.w", "g.b.w").alias("gram"), F.col("g.a.line").alias("a"), F.col("g.b.line").alias("b"), F.get("sizes", F.col("g.a.line")).alias("n"), taken.alias("taken"))
-    pos = pos.join(masks, "gram", "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long"))).repartition("rid")
-    # Of each bigram of a text: the place before where it stood, and how many different ones the text has up to here.
-    pos = pos.withColumn("prev", F.lag("p", 1, -1).over(Window.partitionBy("rid", "gram").orderBy("p")))
-    pos = pos.withColumn("upto", F.sum(F.when(F.col("prev") < 0, 1).otherwise(0)).over(Window.partitionBy("rid").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    texts = pos.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("p", "prev", "mask", "upto", "a", "b", "n", "taken"))).alias("arr"))
+def pairs(w: Column) -> Column:
+    """The bigrams of an array of words, in order."""
+    rest = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.zip_with(F.slice(w, 1, rest), F.slice(w, 2, rest), lambda a, b: F.concat(a, F.lit(" "), b))
 
-    def has(x: Column, k: Column) -> Column:
-        return x["mask"].bitwiseAND(k["bit"]) != 0
 
-    texts = texts.withColumn("k", F.explode(F.filter(names, lambda k: F.size(F.filter("arr", lambda x: (x["prev"] < 0) & has(x, k))) >= k["least"])))
-    k = F.col("k")
-    texts = texts.select("rid", "arr", "k", F.transform(F.filter("arr", lambda x: x["prev"] < 0), lambda x: x["p"]).alias("firsts"), F.filter("arr", lambda x: has(x, k) & (x["taken"] < k["size"])).alias("starts")).where("size(starts) > 0").repartition("rid")
-    state = F.struct(F.lit(0).alias("n"), F.lit(0).alias("c"), F.lit(0).alias("bc"), F.lit(1).alias("bd"), F.lit(-1).alias("to"), F.lit(False).alias("shut"))
+def best_window(k: Column, t: Fraction) -> Column:
+    """(dice, shared, minus first, minus last) of the best window of `arr` for template k; places are of bigrams.
 
-    def window(s: Column) -> Column:
-        """The best window that starts at s: (c, n + size, last bigram); it ends before its size is past the most."""
-        end = F.coalesce(F.get("firsts", s["upto"] + k["most"] - 1), F.element_at("starts", -1)["p"] + 1)
-        span = F.greatest(F.least(end, F.element_at("starts", -1)["p"] + 1) - s["p"], F.lit(1))
+    arr holds (p, prev, upto, hit) of every bigram of the text: its place, the place where it stood before, how many
+    different ones the text has up to here, and whether it is the template's. `firsts` are the places of first ones,
+    `starts` the elements that runs begin with, `last` is the last place of one of the template's.
+    """
+    state = F.struct(F.lit(0).alias("n"), F.lit(0).alias("c"), F.lit(0).alias("bc"), F.lit(1).alias("bd"), F.lit(-1).alias("to"))
+
+    def sweep(s: Column) -> Column:
+        # Beyond `most` first ones the window has too many different bigrams.
+        end = F.least(F.coalesce(F.get("firsts", s["upto"] + k["most"]) - 1, F.col("last")), F.col("last"))
 
         def step(z: Column, x: Column) -> Column:
             new = x["prev"] < s["p"]
-            hit = new & has(x, k)
-            shut = z["shut"] | (x["taken"] >= k["size"])
-            n, c = z["n"] + new.cast("int"), z["c"] + hit.cast("int")
+            n, c = z["n"] + new.cast("int"), z["c"] + (new & x["hit"]).cast("int")
             d = n + k["size"]
-            inside = (s["a"] == x["b"]) & (s["n"] >= k["least"]) & (s["n"] <= k["most"])
-            good = ~shut & hit & ~inside & (2 * c * t.denominator >= d * t.numerator) & (c.cast("long") * z["bd"] > z["bc"].cast("long") * d)
-            return F.struct(n.alias("n"), c.alias("c"), F.when(good, c).otherwise(z["bc"]).alias("bc"), F.when(good, d).otherwise(z["bd"]).alias("bd"), F.when(good, x["p"]).otherwise(z["to"]).alias("to"), shut.alias("shut"))
+            good = new & x["hit"] & (2 * c.cast("long") * t.denominator >= d * F.lit(t.numerator).cast("long")) & (c.cast("long") * z["bd"] > z["bc"].cast("long") * d)
+            return F.struct(n.alias("n"), c.alias("c"), F.when(good, c).otherwise(z["bc"]).alias("bc"), F.when(good, d).otherwise(z["bd"]).alias("bd"), F.when(good, x["p"]).otherwise(z["to"]).alias("to"))
 
-        z = F.aggregate(F.slice("arr", s["p"] + 1, span), state, step)
-        return F.transform(F.array(z), lambda z: F.struct((-z["bc"]).alias("less"), (-2.0 * z["bc"] / z["bd"]).alias("d"), k["license"].alias("license"), s["p"].alias("p"), z["to"].alias("to")))[0]
+        return F.aggregate(F.slice("arr", s["p"] + 1, F.greatest(end - s["p"] + 1, F.lit(1))), state, step, lambda z: F.struct((F.lit(2.0) * z["bc"] / z["bd"]).alias("dice"), z["bc"].alias("shared"), (-s["p"]).alias("first"), (-z["to"]).alias("last")))
 
-    found = texts.select("rid", F.explode(F.filter(F.transform("starts", window), lambda x: x["to"] >= 0)).alias("x"))
-    listed = found.groupBy("rid").agg(F.sort_array(F.collect_list("x")).alias("x"))
-    kept = F.aggregate("x", F.filter("x", lambda x: F.lit(False)), lambda z, x: F.when(F.exists(z, lambda y: (x["p"] <= y["to"] + 1) & (y["p"] <= x["to"] + 1)), z).otherwise(F.concat(z, F.array(x))))
-    listed = listed.select("rid", F.explode(kept).alias("x"))
-    return listed.select("rid", (-2 - F.col("x.p")).alias("unit"), "x.license", (-F.col("x.d")).alias("dice"))
+    return F.array_max(F.transform("starts", sweep))
 
 
 def matches(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of docs: doc_id and units, an array of (unit, license, dice) of the units that match.
+    """One row per row of docs: doc_id and notices, an array of (license, dice, first, last, shared) in order of license.
 
-    unit counts lines from 0; -1 is the whole text; -2 - w is a window whose first word is word w of the text.
+    Words first..last (from 0) of the text are the template's best window; shared is its number of the template's bigrams.
     """
-    own = {key: bigrams(text) for key, text in sorted((TEMPLATES | TEXTS if templates is None else templates).items())}
+    spark = docs.sparkSession
     t = Fraction(str(threshold))
-    rows = [(key, g, len(gs), *bounds(len(gs), threshold)) for key, gs in own.items() for g in gs]
-    wanted = F.broadcast(docs.sparkSession.createDataFrame(rows, "license string, gram string, size int, least int, most int"))
-    some = literals(sorted({w for gs in own.values() for w in markers(gs, bounds(len(gs), threshold)[0])}))
-    enough = F.lit(False)
-    for gs in own.values():
-        enough |= F.size(F.array_intersect("grams", literals(gs))) >= bounds(len(gs), threshold)[0]
-    # Written once, so that every later step sees the same rid; texts stay only where a unit can match.
-    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.when(F.arrays_overlap(unit_words(F.coalesce("text", F.lit(""))), some), F.col("text")).alias("t"))
-    base = stored(base, "licence-words")
-    likely = base.where("t IS NOT NULL").select("rid", "t", unit_bigrams(F.col("t")).alias("grams")).where(enough)
-    likely = stored(likely.select("rid", "t", F.split("t", "\n").alias("lines")), "licence-texts").repartition("rid")
-    whole = F.when(F.size("lines") > 1, F.array(F.struct(F.lit(-1).alias("unit"), F.col("t").alias("s"))))
-    units = likely.select("rid", F.explode(F.concat(F.transform("lines", lambda x, i: F.struct(i.alias("unit"), x.alias("s"))), F.coalesce(whole, F.array().cast("array<struct<unit:int,s:string>>")))).alias("u"))
-    units = units.select("rid", "u.unit", unit_bigrams(F.col("u.s")).alias("grams"))
-    units = units.select("rid", "unit", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    common = units.join(wanted, (units["gram"] == wanted["gram"]) & (units["n"] >= wanted["least"]) & (units["n"] <= wanted["most"]))
-    common = common.groupBy("rid", "unit", "license", "n", "size").agg(F.count("*").alias("c"))
-    # Of each unit the best template; hot groups are lines of one text, aggregated by (row, unit).
-    best = common.where(2 * F.col("c") * t.denominator >= (F.col("n") + F.col("size")) * t.numerator).groupBy("rid", "unit").agg(F.min(F.struct((-2 * F.col("c") / (F.col("n") + F.col("size"))).alias("d"), "license", "size")).alias("m"))
-    best = stored(best.select("rid", "unit", "m.license", "m.size", (-F.col("m.d")).alias("dice")), "licence-units")
-    found = best.drop("size").unionByName(windows(likely, best, own, threshold)).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("unit", "license", "dice"))).alias("units"))
-    return base.select("rid", "doc_id").join(found, "rid", "left").select("doc_id", F.coalesce("units", F.array().cast("array<struct<unit:int,license:string,dice:double>>")).alias("units"))
+    own = {key: bigrams(text) for key, text in sorted((TEMPLATES | TEXTS if templates is None else templates).items())}
+    own = {k: gs for k, gs in own.items() if gs}
+    sizes = [(k, len(gs), *bounds(len(gs), threshold)) for k, gs in own.items()]
+    # Bounded by the templates, which are constants of this module or an argument held by the driver.
+    grams = F.broadcast(spark.createDataFrame([(k, g) for k, gs in own.items() for g in gs], "license string, gram string"))
+    size = F.broadcast(spark.createDataFrame(sizes, "license string, size int, least int, most int"))
+    words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+")
+    # Written once, so that every later step sees the same rid; texts stay only where a template is possible.
+    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.when(F.exists(F.array(words), likely(own, threshold)), F.col("text")).alias("text"))
+    base = stored(base, "licence-rows")
+    some = base.where("text IS NOT NULL").select("rid", F.filter(words, lambda w: w != "").alias("w"))
+    # Bigrams of templates in a text, each once: what a template needs is counted before any window is looked at.
+    held = some.select("rid", F.posexplode(pairs(F.col("w"))).alias("p", "gram")).join(grams, "gram").groupBy("rid", "license").agg(F.count_distinct("gram").alias("c"), F.min("p").alias("lo"), F.max("p").alias("hi"))
+    held = stored(held.join(size, "license").where("c >= least").select("rid", "license", "size", "most", "lo", "hi"), "licence-pairs")
+    # The bigrams of the texts that stay, from the first to the last of a template's; windows of these hold one text's rows.
+    spans = held.groupBy("rid").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    part = some.join(spans.hint("shuffle_hash"), "rid").select("rid", F.slice("w", F.col("lo") + 1, F.col("hi") - F.col("lo") + 2).alias("w"))
+    pos = part.select("rid", F.posexplode(pairs(F.col("w"))).alias("p", "gram"))
+    licenses = grams.groupBy("gram").agg(F.collect_set("license").alias("of"))
+    pos = pos.join(F.broadcast(licenses), "gram", "left")
+    pos = pos.withColumn("prev", F.lag("p", 1, -1).over(Window.partitionBy("rid", "gram").orderBy("p")))
+    pos = pos.withColumn("upto", F.sum((F.col("prev") < 0).cast("int")).over(Window.partitionBy("rid").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    texts = pos.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("p", "prev", "upto", "of"))).alias("all"))
+    begins = F.min("lo").over(Window.partitionBy("rid")).alias("from")
+    texts = texts.join(held.select("*", begins), "rid").select("rid", F.struct("license", "size", "most", "from").alias("k"), F.transform(F.filter("all", lambda x: x["prev"] < 0), lambda x: x["p"]).alias("firsts"), F.transform("all", lambda x: F.struct(x["p"], x["prev"], x["upto"], F.coalesce(F.array_contains(x["of"], F.col("license")), F.lit(False)).alias("hit"))).alias("arr"))
+    hits = F.filter("arr", lambda x: x["hit"])
+    texts = texts.select("*", F.filter("arr", lambda x: x["hit"] & ~F.coalesce(F.get("arr", x["p"] - 1)["hit"], F.lit(False))).alias("starts"), F.element_at(hits, -1)["p"].alias("last"))
+    best = texts.select("rid", "k.license", "k.from", best_window(F.col("k"), t).alias("b"))
+    listed = F.sort_array(F.collect_list(F.struct("license", F.col("b.dice").alias("dice"), (F.col("from") - F.col("b.first")).alias("first"), (F.col("from") + 1 - F.col("b.last")).alias("last"), F.col("b.shared").alias("shared"))))
+    found = best.groupBy("rid").agg(F.filter(listed, lambda x: x["shared"] > 0).alias("notices"))
+    return base.select("rid", "doc_id").join(found, "rid", "left").select("doc_id", F.coalesce("notices", F.array().cast("array<struct<license:string,dice:double,first:int,last:int,shared:int>>")).alias("notices"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = matches(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.size("units").cast("long").alias("n_matches"), F.array_join(F.array_sort(F.array_distinct(F.col("units.license"))), ",").alias("licenses"), F.round(F.coalesce(F.array_max("units.dice"), F.lit(0.0)), 6).alias("best_dice"))
+    return found.select("doc_id", F.size("notices").cast("long").alias("n_licenses"), F.array_join("notices.license", ",").alias("licenses"), F.round(F.coalesce(F.array_max("notices.dice"), F.lit(0.0)), 6).alias("best_dice"))
 
 
 def _sql() -> str:
-    values = ", ".join(f"('{k}', '{g}', {n}, {lo}, {hi})" for k, g, n, lo, hi in template_rows(TEMPLATES, THRESHOLD))
-    most = max(r[4] for r in template_rows(TEMPLATES, THRESHOLD))
-    return rf"""
-WITH t(license, gram, size, least, most) AS (VALUES {values}),
-l AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-u AS (SELECT doc_id, i AS unit, lines[i] AS s FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM l)
-  UNION ALL SELECT doc_id, -1, t FROM l WHERE len(lines) > 1 AND len(regexp_split_to_array(t, '\s+')) <= {2 * most + 2}),
-w AS (SELECT doc_id, unit, regexp_extract_all(lower(s), '[\p{{L}}\p{{N}}]+') AS w FROM u),
-g AS (SELECT doc_id, unit, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS g FROM w),
-c AS (SELECT doc_id, unit, license, 2 * count(*) / (n + size) AS dice FROM (SELECT doc_id, unit, len(g) AS n, unnest(g) AS gram FROM g) JOIN t USING (gram) WHERE n BETWEEN least AND most GROUP BY doc_id, unit, license, n, size),
-b AS (SELECT doc_id, unit, max(dice) AS dice, min_by(license, (-dice, license)) AS license FROM c WHERE dice >= {THRESHOLD} GROUP BY 1, 2),
-r AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, max(dice) AS dice FROM b GROUP BY 1)
-SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_matches, coalesce(licenses, '') AS licenses, round(coalesce(dice, 0.0), 6)::DOUBLE AS best_dice FROM documents d LEFT JOIN r USING (doc_id)"""
+    """All windows that begin with a bigram of the template, without markers, runs or bounds of sizes."""
+    values = ", ".join("('{}', '{}')".format(k, " ".join(v.split()).replace("'", " ")) for k, v in sorted((TEMPLATES | TEXTS).items()))
+    word = r"[\p{L}\p{N}]+"
+    return f"""
+WITH t(license, text) AS (VALUES {values}),
+tw AS (SELECT license, regexp_extract_all(lower(text), '{word}') AS w FROM t),
+tg AS (SELECT DISTINCT license, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT license, w, unnest(range(1, len(w))) AS i FROM tw)),
+ts AS (SELECT license, count(*) AS size FROM tg GROUP BY 1),
+d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{word}') AS w FROM documents),
+p AS (SELECT doc_id, i AS p, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d)),
+k AS (SELECT doc_id, license, count(DISTINCT gram) AS c FROM p JOIN tg USING (gram) GROUP BY 1, 2),
+q AS (SELECT doc_id, license, size FROM k JOIN ts USING (license) WHERE 2 * c >= {THRESHOLD} * (c + size)),
+h AS (SELECT q.doc_id, q.license, size, p.p, p.gram, tg.gram IS NOT NULL AS hit FROM q JOIN p USING (doc_id) LEFT JOIN tg ON tg.license = q.license AND tg.gram = p.gram),
+f AS (SELECT s.doc_id, s.license, s.size, s.p AS s, h.gram, min(h.p) AS p, bool_or(h.hit) AS hit FROM h s JOIN h ON h.doc_id = s.doc_id AND h.license = s.license AND h.p >= s.p WHERE s.hit GROUP BY 1, 2, 3, 4, 5),
+g AS (SELECT doc_id, license, hit, 2 * sum(hit::INTEGER) OVER x / (count(*) OVER x + size) AS dice FROM f WINDOW x AS (PARTITION BY doc_id, license, s ORDER BY p)),
+b AS (SELECT doc_id, license, max(dice) AS dice FROM g GROUP BY 1, 2 HAVING max(dice) >= {THRESHOLD}),
+r AS (SELECT doc_id, count(*) AS n, string_agg(license, ',' ORDER BY license) AS licenses, max(dice) AS dice FROM b GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_licenses, coalesce(licenses, '') AS licenses, round(coalesce(dice, 0.0), 6)::DOUBLE AS best_dice FROM documents d LEFT JOIN r USING (doc_id)"""
 
 
 QUERIES = {"op3_license_scan": op3}

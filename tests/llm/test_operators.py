@@ -176,12 +176,6 @@ def test_held_out_accuracy(spark):
     assert sum(r.predicted == labels[r.doc_id] for r in got) >= 0.9 * len(got)
 
 
-def test_licenses(spark):
-    rows = [(1, "x\nLicensed under CC BY-NC 4.0.\ny"), (2, "RELEASED under the MIT licence."), (3, None), (4, ""), (5, "Released under the MIT License!"), (5, "word")]
-    got = sorted((r.doc_id, [u.license for u in r.units]) for r in license_scan.matches(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert got == [(1, ["cc-by-nc-4.0"] * 2), (2, []), (3, []), (4, []), (5, []), (5, ["mit"])]
-
-
 def test_stages_decide_by_row(spark):
     a, b, c, d = ([f"{x}{i}" for i in range(60)] for x in "abcd")
     rows = [(1, a, "1"), (None, a, "n-a"), (None, b, "n-b"), (None, b, "n-b2"), (2, c, "2-c"), (2, a, "2-a"), (3, d, "3-d"), (3, d, "3-d2"), (4, b[::-1], "4-b"), (4, c[::-1], "4-c"), (5, [], "5"), (None, [], "n"), (None, [], "n2")]
@@ -196,54 +190,6 @@ def test_stages_decide_by_row(spark):
     assert out.columns == docs.columns and sorted(r.source for r in out.collect()) == sorted([s for _, t, s in rows if t] + ["l100", "l101", "l102", "l103"])
 
 
-def test_license_bounds_keep_what_reaches_the_threshold(spark):
-    for size in range(1, 60):
-        lo, hi = license_scan.bounds(size, 0.8)
-        assert [n for n in range(1, 120) if 10 * min(n, size) >= 4 * (n + size)] == list(range(lo, hi + 1))
-    rows = [(1, "All rights reserved worldwide."), (2, "Released under the MIT License by us.")]
-    got = {r.doc_id: [(u.license, u.dice) for u in r.units] for r in license_scan.matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: [("all-rights-reserved", 0.8)], 2: [("mit", 0.8)]}
-
-
-def license_windows(text, key, template):
-    """Whether some window of the text's words reaches Dice 0.8 with the template, by every start and end."""
-    w = re.findall(r"[^\W_]+", text.lower())
-    own = set(license_scan.bigrams(template))
-    grams = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
-    return any(10 * len(own & set(grams[i:j])) >= 4 * (len(own) + len(set(grams[i:j]))) for i in range(len(grams)) for j in range(i + 1, len(grams) + 1))
-
-
-def test_license_windows(spark):
-    long = " ".join(f"z{i}" for i in range(80))
-    wrapped = "Licensed under the Apache\nLicense, Version 2.0."
-    rows = [
-        (1, f"{long}\n{wrapped}\n{long}", ["apache-2.0"]),
-        (2, f"{long} Copyright 2024 Foo. All rights reserved. {long}", ["all-rights-reserved"]),
-        (3, "\n".join([long, wrapped] * 3), ["apache-2.0"] * 3),
-        (4, f"{long}\nReleased under the\nMIT License.\n{long}\nLicensed under CC BY-NC 4.0.\n{long}", ["cc-by-nc-4.0", "mit"]),
-        (5, f"{long} all reserved rights {long} under the license {long}", []),
-        (6, license_scan.TEXTS["mit-text"].replace(" ", "\n") + "\n".join([long] * 9), ["mit-text"]),
-        (9, license_scan.TEXTS["mit-text"] + "\n".join([long] * 9), ["mit-grant", "mit-text"]),
-        (7, license_scan.TEMPLATES["apache-2.0-header"].replace(" ", "\n") + f"\n{long}", ["apache-2.0-header"]),
-        (8, "word\n" + "All rights\nreserved.\n" * 40, ["all-rights-reserved"] * 40),
-        (8, long, []),
-        (None, f"{long}\n{wrapped}", ["apache-2.0"]),
-    ]
-    got = license_scan.matches(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)).collect()
-    assert sorted((str(r.doc_id), sorted(u.license for u in r.units)) for r in got) == sorted((str(d), want) for d, _, want in rows)
-
-
-def test_license_windows_equal_all_starts_and_ends(spark):
-    rng = random.Random(11)
-    key, template = "mit", license_scan.TEMPLATES["mit"]
-    pool = ["released", "under", "the", "mit", "license", "x", "y"]
-    texts = [" ".join(["q"] * 9 + [rng.choice(pool) + rng.choice([" ", "\n"]) for _ in range(14)] + ["q"] * 9) for _ in range(150)]
-    texts += [" ".join(["q w e r t z u i o p"] + rng.sample(["released under the", "the mit", "mit license", "under the mit license", "released under"], 3)) for _ in range(60)]
-    got = {r.doc_id: r.units for r in license_scan.matches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), {key: template}).collect()}
-    want = {i for i, t in enumerate(texts) if license_windows(t, key, template)}
-    assert {i for i, u in got.items() if u} == want and 5 < len(want) < len(texts)
-
-
 def test_urls(spark):
     entries = spark.sql("SELECT * FROM VALUES ('a.org', 'block', timestamp '2024-01-01'), ('a.org', 'allow', timestamp '2024-03-01'), ('x.a.org/p/', 'block', timestamp '2024-02-01'), (null, 'block', timestamp '2024-01-01') AS t(pattern, action, since)")
     pages = spark.sql("SELECT * FROM VALUES (1, 'http://x.a.org/q', timestamp '2024-02-10'), (2, 'http://x.a.org/q', timestamp '2024-03-01'), (3, 'https://X.A.org:80/p/z', timestamp '2024-05-01'), (4, null, timestamp '2024-05-01'), (5, 'http://a.org', null), (6, 'http://ba.org/', timestamp '2024-02-10'), (7, 'http://a.org', timestamp '2023-12-31') AS t(page_id, url, fetched)")
