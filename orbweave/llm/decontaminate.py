@@ -7,61 +7,103 @@ it, and comparison of the bytes confirms every occurrence. Texts are scanned sid
 pattern less one word, so that a long text is no longer chain than others.
 
 Cases: null texts, empty texts and items without words have no words; repeated rows are kept; items that repeat an
-item_id count once; null item_ids are left out; other columns of the documents are ignored. An item table larger than
-`block_bytes` is searched in blocks, whose hits are merged by document.
+item_id count once; null item_ids are left out; other columns of the documents are ignored. The tables of shifts and
+suffixes are built once, on the driver, and broadcast; an item table larger than `block_bytes` is searched in blocks, one
+pass over the documents each, whose hits are merged by document.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm.bytetext import ALNUM, U, Words, mixed, windows, words
+from orbweave.llm.bytetext import ALNUM, U, Words, windows, words
 from orbweave.llm.common import small_batches, stored, table, with_row_id
 
 HITS = "rid long, doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>"
 
 
+@dataclass
+class Table:
+    """The patterns of one length m: shifts by block, and patterns by the block that they end with.
+
+    Pattern i is bytes lo[i]..hi[i] of Patterns.data, for items of[at[i]] .. of[at[i + 1]]; patterns are in order of suffix.
+    """
+
+    m: int
+    block: int
+    keys: np.ndarray
+    shift: np.ndarray
+    suffix: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    at: np.ndarray
+    of: np.ndarray
+
+
 class Patterns:
-    """Tables of one block of items, by pattern length."""
+    """Tables of one block of items, by pattern length; flat arrays, so that a broadcast holds some 40 bytes a window."""
 
     def __init__(self, items: list[tuple[str, str]], size: int):
-        self.by_length: dict[int, tuple] = {}
-        texts: dict[int, dict[bytes, set[str]]] = defaultdict(lambda: defaultdict(set))
-        lists = pa.array([t for _, t in items], pa.string())
-        row = 0
-        for w in words(lists, ALNUM, True, 1 << 62):
-            for r in range(w.hi - w.lo):
-                own = [w.data[w.start[i] : w.end[i]].tobytes() for i in range(w.first[r], w.first[r + 1])]
-                m = min(size, len(own))
-                for i in range(len(own) - m + 1 if m else 0):
-                    texts[m][b" ".join(own[i : i + m])].add(items[row][0])
-                row += 1
-        for m, found in texts.items():
-            block = min(m, 3)
-            shift: dict[int, int] = {}
-            suffix: dict[int, list[tuple[bytes, set[str]]]] = defaultdict(list)
-            for text, ids in found.items():
-                one = next(words(pa.array([text.decode()]), ALNUM, False))
-                h = windows(one.hashes(), block)
-                for i, x in enumerate(h.tolist()):
-                    shift[x] = min(shift.get(x, m), len(h) - 1 - i)
-                suffix[int(h[-1])].append((text, ids))
-            keys = np.array(sorted(shift), U)
-            self.by_length[m] = (block, keys, np.array([shift[int(x)] for x in keys], np.int64), m - block + 1, dict(suffix))
+        self.ids = [i for i, _ in items]
+        self.size = size
+        # Items as their words with one blank between: a window is a slice of these bytes.
+        parts, hashes, begin, end, item = [], [], [], [], []
+        used = 0
+        for w in words(pa.array([t for _, t in items], pa.string()), ALNUM, True):
+            n = w.end - w.start
+            to = np.cumsum(n + 1)
+            own = np.full(int(to[-1]) if len(to) else 0, 0x20, np.uint8)
+            put = np.ones(len(own), bool)
+            put[to - 1] = False
+            own[put] = w.data[np.repeat(w.start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            parts.append(own)
+            hashes.append(w.hashes())
+            begin.append(used + to - 1 - n)
+            end.append(used + to - 1)
+            item.append(w.lo + np.repeat(np.arange(w.hi - w.lo), np.diff(w.first)))
+            used += len(own)
+        flat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
+        self.data = flat(parts, np.uint8).tobytes()
+        h, begin, end, item = flat(hashes, U), flat(begin, np.int64), flat(end, np.int64), flat(item, np.int64)
+        count = np.bincount(item, minlength=len(items))
+        first = np.cumsum(count) - count
+        length = np.minimum(size, count)
+        self.tables = [self.table(int(m), h, begin, end, item, first, count, length == m) for m in np.unique(length[length > 0])]
+
+    def table(self, m: int, h: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarray, first: np.ndarray, count: np.ndarray, mine: np.ndarray) -> Table:
+        block = min(m, 3)
+        n = np.where(mine, count - m + 1, 0)
+        start = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        b, whole = windows(h, block), windows(h, m)[start]
+        # Equal windows once, with all their items; equality is that of bytes within a hash.
+        lo, hi = begin[start], end[start + m - 1]
+        same: dict[tuple[int, bytes], int] = {}
+        which = np.fromiter((same.setdefault((int(x), self.data[p:q]), len(same)) for x, p, q in zip(whole.tolist(), lo.tolist(), hi.tolist(), strict=True)), np.int64, len(start))
+        one = np.unique(which, return_index=True)[1]
+        suffix = b[start[one] + m - block]
+        order = np.argsort(suffix, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        pairs = np.unique(np.stack([place[which], item[start]]), axis=1)
+        keys, inverse = np.unique(np.concatenate([b[start[one] + o] for o in range(m - block + 1)]), return_inverse=True)
+        shift = np.full(len(keys), m, np.int64)
+        np.minimum.at(shift, inverse, np.repeat(np.arange(m - block, -1, -1), len(one)))
+        return Table(m, block, keys, shift, suffix[order], lo[one][order], hi[one][order], np.searchsorted(pairs[0], np.arange(len(order) + 1)), pairs[1].astype(np.int32))
 
     def search(self, w: Words, h: np.ndarray) -> tuple[list[list[tuple[int, int]]], list[set[str]]]:
         """Occurrences (first word, word after) and items of every row."""
         spans: list = [[] for _ in range(w.hi - w.lo)]
         items: list = [set() for _ in range(w.hi - w.lo)]
-        for m, (block, keys, shift, far, suffix) in self.by_length.items():
+        for t in self.tables:
+            m, block, far = t.m, t.block, t.m - t.block + 1
             blocks = windows(h, block)
             # Pieces of a row: the places where a pattern may end, 512 at a time.
             first, last = w.first[:-1] + m - 1, w.first[1:]
@@ -72,29 +114,25 @@ class Patterns:
             stop = np.minimum(at + 512, last[row])
             while len(at):
                 b = blocks[at - block + 1]
-                i = np.searchsorted(keys, b)
-                i[i == len(keys)] = 0
-                known = keys[i] == b
-                move = np.where(known, shift[i], far)
-                for j in np.flatnonzero(move == 0):
+                i = np.searchsorted(t.keys, b)
+                i[i == len(t.keys)] = 0
+                known = t.keys[i] == b
+                move = np.where(known, t.shift[i], far)
+                now = np.flatnonzero(move == 0)
+                low, high = np.searchsorted(t.suffix, b[now]), np.searchsorted(t.suffix, b[now], "right")
+                for j, x, y in zip(now, low, high, strict=True):
                     end, r = int(at[j]), int(row[j])
                     begin = end - m + 1
-                    for text, ids in suffix.get(int(b[j]), ()):
-                        if self.same(w, begin, end, text):
+                    text = b" ".join(w.data[p:q].tobytes() for p, q in zip(w.start[begin : end + 1], w.end[begin : end + 1], strict=True)) if y > x else b""
+                    for z in range(x, y):
+                        if t.hi[z] - t.lo[z] == len(text) and self.data[t.lo[z] : t.hi[z]] == text:
                             spans[r].append((begin - int(w.first[r]), end + 1 - int(w.first[r])))
-                            items[r] |= ids
+                            items[r].update(self.ids[q] for q in t.of[t.at[z] : t.at[z + 1]])
                 at = at + np.maximum(move, 1)
                 go = at < stop
                 at, stop, row = at[go], stop[go], row[go]
         return spans, items
 
-    @staticmethod
-    def same(w: Words, begin: int, end: int, text: bytes) -> bool:
-        a, b = int(w.start[begin]), int(w.end[end])
-        if b - a < len(text):
-            return False
-        return text == b" ".join(w.data[x:y].tobytes() for x, y in zip(w.start[begin : end + 1], w.end[begin : end + 1], strict=True))
-
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
@@ -106,8 +144,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def scan(batches: Iterator[pa.RecordBatch], items: list[tuple[str, str]], size: int) -> Iterator[pa.RecordBatch]:
-    patterns = Patterns(items, size)
+def scan(batches: Iterator[pa.RecordBatch], held: Broadcast) -> Iterator[pa.RecordBatch]:
+    patterns: Patterns = held.value
     for batch in batches:
         n, starts, ends, ids = [], [], [], []
         for w in words(batch["text"], ALNUM, True):
@@ -125,7 +163,7 @@ def scan(batches: Iterator[pa.RecordBatch], items: list[tuple[str, str]], size:
 
 
 def item_blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, str]]]:
-    """The stated set of items, in blocks of about `most` bytes, each a job's closure."""
+    """The stated set of items, in blocks of about `most` bytes: what the driver holds and a broadcast carries is bounded."""
     block, used = [], 0
     for x in benchmark.select(F.col("item_id").cast("string").alias("id"), "text").where("id IS NOT NULL AND text IS NOT NULL").toLocalIterator():
         block.append((x["id"], x["text"]))
@@ -137,19 +175,19 @@ def item_blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, str
         yield block
 
 
-def contaminated_spans(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
+def contaminated_spans(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, spans (first word, word after) and item_ids, sorted as strings."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), "text")
-    parts = [rows.mapInArrow(partial(scan, items=b, size=size), HITS) for b in item_blocks(benchmark, block_bytes)]
-    parts = parts or [rows.mapInArrow(partial(scan, items=[], size=size), HITS)]
-    if len(parts) == 1:
-        found = parts[0]
-    else:
+    searched = lambda b: rows.mapInArrow(partial(scan, held=docs.sparkSession.sparkContext.broadcast(Patterns(b, size))), HITS)
+    blocks = item_blocks(benchmark, block_bytes)
+    found, block = searched(next(blocks, [])), next(blocks, None)
+    if block is not None:
         # Rows meet by document only; hits of each block are bounded by the document itself.
-        found = stored(parts[0], "hits")
-        for p in parts[1:]:
-            found = found.unionByName(stored(p, "hits"))
+        found = stored(found, "hits")
+        while block is not None:
+            found = found.unionByName(stored(searched(block), "hits"))
+            block = next(blocks, None)
         found = found.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     spans = F.sort_array(F.arrays_zip("starts", "ends"))
     hit = F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to")), lambda s, x: F.struct((s.n + F.greatest(x.ends - F.greatest(x.starts, s.to), F.lit(0))).alias("n"), F.greatest(s.to, x.ends).alias("to")), lambda s: s.n)

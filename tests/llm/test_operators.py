@@ -105,26 +105,50 @@ def test_spans_are_an_exact_schedule(docs):
         assert max(sizes) - min(sizes) <= 2
 
 
-def test_decontamination(spark, docs):
-    items = spark.createDataFrame([("a", " ".join(BASE[10:24])), ("b", "TWO"), ("c", None), ("d", ""), ("a", "one, two"), (None, "w1")], "item_id string, text string")
-    got = {r.doc_id: r for r in decontaminate.contaminated_spans(docs, items).collect()}
-    blocks = {r.doc_id: r for r in decontaminate.contaminated_spans(docs, items, block_bytes=1).collect()}
-    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    windows = {}
-    for i, t in [("a", " ".join(BASE[10:24])), ("b", "two"), ("a", "one, two")]:
-        w = word.findall(t)
+ALNUM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def hits(text, items):
+    """Words, hit words and items of a text, window by window; items are (id, text)."""
+    grams = {}
+    for i, t in items:
+        w = ALNUM_WORD.findall((t or "").lower())
         m = min(10, len(w))
+        for k in range(len(w) - m + 1 if m and i is not None else 0):
+            grams.setdefault(tuple(w[k : k + m]), set()).add(i)
+    w, hit, ids = ALNUM_WORD.findall((text or "").lower()), set(), set()
+    for m in {len(g) for g in grams}:
         for k in range(len(w) - m + 1):
-            windows.setdefault(tuple(w[k : k + m]), set()).add(i)
-    for d, t in texts():
-        w, hit, ids = word.findall((t or "").lower()), set(), set()
-        for k in range(len(w)):
-            for g, own in windows.items():
-                if tuple(w[k : k + len(g)]) == g:
-                    hit |= set(range(k, k + len(g)))
-                    ids |= own
-        for r in (got[d], blocks[d]):
-            assert (r.n_words, r.n_hit, list(r.item_ids)) == (len(w), len(hit), sorted(ids))
+            if own := grams.get(tuple(w[k : k + m])):
+                hit |= set(range(k, k + m))
+                ids |= own
+    return len(w), len(hit), sorted(ids)
+
+
+def test_decontamination(spark, docs, none):
+    items = [("a", " ".join(BASE[10:24])), ("b", "TWO"), ("c", None), ("d", ""), ("a", "one, two"), (None, "w1"), ("e", " ".join(BASE[12:40])), ("f", " ".join(f"x{i}" for i in range(900, 977)))]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    for size in (4 << 20, 1):
+        got = {r.doc_id: r for r in decontaminate.contaminated_spans(docs, bench, block_bytes=size).collect()}
+        assert {d: (r.n_words, r.n_hit, list(r.item_ids)) for d, r in got.items()} == {d: hits(t, items) for d, t in texts()}
+    assert decontaminate.contaminated_spans(none, bench).count() == 0
+    assert {r.n_hit for r in decontaminate.contaminated_spans(docs, bench.limit(0)).collect()} == {0}
+    assert decontaminate.contaminated_spans(docs.union(docs), bench).count() == 2 * len(texts())
+
+
+def test_patterns_of_random_items_are_found():
+    rng = random.Random(5)
+    pool = [rng.choice("abc") * rng.randint(1, 3) for _ in range(6)]
+    items = [(str(i), " ".join(rng.choice(pool) for _ in range(rng.randint(1, 14)))) for i in range(60)]
+    rows = [" ".join(rng.choice(pool) for _ in range(700)) for _ in range(20)]
+    import pyarrow as pa
+
+    patterns = decontaminate.Patterns(items, 10)
+    for w in decontaminate.words(pa.array(rows), decontaminate.ALNUM, True):
+        spans, found = patterns.search(w, w.hashes())
+        for r, s, x in zip(range(w.lo, w.hi), spans, found, strict=True):
+            hit = {i for a, b in s for i in range(a, b)}
+            assert (700, len(hit), sorted(x)) == hits(rows[r], items)
 
 
 def test_token_files(spark, docs, none):
