@@ -6,19 +6,19 @@ compressed size, size and the low half of XXH64 of each frame, then the number o
 number. The index holds doc_id, a null flag, and the count of ids of each document, so that readers decompress only
 the frames of the documents they ask for.
 
-Shards are written under temporary names and renamed, so that a task that runs again leaves the same file. A shard's
-name is its range partition; `start` of its first document is the sum of the ids of the shards before it.
+Shards are ranges of doc_id cut by bytes of text, so that the same table gives the same files under any partitioning.
+They are written under temporary names and renamed to names of their attempt; the manifest lists those of the attempts
+that counted. `start` of a shard's first document is the sum of the ids of the shards before it.
 
 Cases: null and empty texts have the end id only; a null doc_id comes first; rows that repeat a doc_id are kept, in
-input order; an empty table gives no file and no rows; other columns are ignored. Texts that hold the string of a
-special token are encoded as ordinary text.
+order of their texts, null first; an empty table gives no file and no rows; other columns are ignored. Strings of special
+tokens are those tokens, wherever they stand, as the library has it.
 """
 
 from __future__ import annotations
 
 import gc
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,14 +35,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm.common import fresh_dir, small_batches, stored, table
+from orbweave.llm.shards import boundaries, dealt
 
 # Fixed values of the public zstd seekable format.
 SKIPPABLE, SEEK_TABLE, SEEKABLE_MAGIC, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 #: Bytes of ids in a frame, about, and at most.
 FRAME, FRAME_MOST = 1 << 18, 1 << 20
 END = 2
-#: Chunks without white space but for a blank in front and single line ends inside.
-PLAIN = re.compile(r" ?\S+(?:\n\S+)*")
+#: White space of the tokenizer; chunks without it but for a blank in front and single line ends inside.
+SPACE = r"\s\v\x{1c}-\x{1f}\x{85}\p{Z}"
+PLAIN = rf"\A ?[^{SPACE}]+(\n[^{SPACE}]+)*\z"
 #: Encoders of this worker process, by path; its later tasks find their memory filled.
 _encoders: dict[str, Encoder] = {}
 
@@ -66,7 +68,7 @@ class Writer:
     def __init__(self, uri: str, name: str):
         self.fs, self.root = file_system(uri)
         self.fs.create_dir(self.root, recursive=True)
-        self.final = f"{self.root}/{name}"
+        self.name, self.final = name, f"{self.root}/{name}"
         self.temporary = f"{self.root}/_{name}.{os.getpid()}-{os.urandom(4).hex()}"
         self.out = self.fs.open_output_stream(self.temporary, compression=None)
         self.compress = zstandard.ZstdCompressor(level=3)
@@ -151,7 +153,8 @@ class Encoder:
     """The tokenizer behind a bounded memory of blank-separated chunks.
 
     A blank that follows a non-blank, or that precedes one, begins a new piece of the tokenizer's own splitting, so that
-    such chunks are encoded alone to the same ids; texts where a blank stands inside a run of white space go whole.
+    such chunks are encoded alone to the same ids; texts where a blank stands inside a run of white space, and texts that
+    hold the string of an added token, go whole.
     The memory has two generations of at most `most` chunks: a full one becomes the old one, of which chunks that are met
     again are carried over.
     """
@@ -161,7 +164,7 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.most = most
         line = self.whole(["\n"])[0]
         self.line = line[0] if len(line) == 1 else None
@@ -171,47 +174,54 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, chunks: list[str]) -> None:
-        """Encode new chunks; those that PLAIN describes go many to a call, a line end between them."""
-        plain = [c for c in chunks if PLAIN.fullmatch(c)] if self.line is not None else []
-        done: set[str] = set()
-        texts = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        for part, ids in zip(texts, self.whole(["\n".join(t) for t in texts]), strict=True):
+    def learn(self, chunks: list[str], plain: np.ndarray, lines: np.ndarray) -> list[bytes]:
+        """Encode new chunks; plain ones go many to a call, a line end between them."""
+        out: list[bytes | None] = [None] * len(chunks)
+        at = np.flatnonzero(plain) if self.line is not None else np.zeros(0, np.int64)
+        parts = [at[i : i + 256] for i in range(0, len(at), 256)]
+        for part, ids in zip(parts, self.whole(["\n".join([chunks[i] for i in p.tolist()]) for p in parts]), strict=True):
             flat = np.array(ids, "<u4")
-            lines = np.flatnonzero(flat == self.line)
-            own = np.cumsum([c.count("\n") + 1 for c in part])
-            if len(lines) == own[-1] - 1:
-                raw = flat.tobytes()
-                cut = lines[own[:-1] - 1].tolist()
-                self.known.update(zip(part, (raw[4 * a : 4 * b] for a, b in zip([0, *(c + 1 for c in cut)], [*cut, len(flat)], strict=True)), strict=True))
-                done.update(part)
-        rest = [c for c in chunks if c not in done]
-        self.known.update(zip(rest, (np.array(x, "<u4").tobytes() for x in self.whole(rest)), strict=True))
-
-    def look_up(self, values: list[str]) -> list[bytes]:
+            found = np.flatnonzero(flat == self.line)
+            own = np.cumsum(lines[part] + 1)
+            if len(found) == own[-1] - 1:
+                raw, cut = flat.tobytes(), found[own[:-1] - 1]
+                begin, end = np.concatenate([[0], 4 * cut + 4]).tolist(), np.append(4 * cut, len(raw)).tolist()
+                for i, a, b in zip(part.tolist(), begin, end, strict=True):
+                    out[i] = raw[a:b]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, self.whole([chunks[i] for i in rest]), strict=True):
+            out[i] = np.array(x, "<u4").tobytes()
+        return out
+
+    def look_up(self, values: list[str], plain: np.ndarray, lines: np.ndarray) -> list[bytes]:
         if len(self.known) > self.most:
             self.known, self.old = {}, self.known
         known, old = self.known, self.old
+        gc.disable()  # many small objects and no cycles
         found = list(map(known.get, values))
         missed = [i for i, x in enumerate(found) if x is None]
-        new = []
-        gc.disable()  # many small objects and no cycles
-        for i in missed:
-            if (x := old.get(values[i])) is not None:
-                found[i] = known[values[i]] = x
-            else:
-                new.append(i)
-        if new:
-            self.learn([values[i] for i in new])
-            for i in new:
-                found[i] = known[values[i]]
+        if missed and old:
+            own = [values[i] for i in missed]
+            again = [(i, v, x) for i, v, x in zip(missed, own, map(old.get, own), strict=True) if x is not None]
+            for i, v, x in again:
+                found[i] = known[v] = x
+            if again:
+                missed = [i for i in missed if found[i] is None]
+        if missed:
+            own = [values[i] for i in missed]
+            new = self.learn(own, plain[missed], lines[missed])
+            known.update(zip(own, new, strict=True))
+            for i, x in zip(missed, new, strict=True):
+                found[i] = x
         gc.enable()
         return found
 
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of every row."""
         column = pc.fill_null(column, "")
-        odd = pc.match_substring_regex(column, r"[\s\v\x{1c}-\x{1f}\x{85}\p{Z}] ([\s\v\x{1c}-\x{1f}\x{85}\p{Z}]|$)").to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(column, rf"[{SPACE}] ([{SPACE}]|$)").to_numpy(zero_copy_only=False)
+        for x in self.special:
+            odd = odd | pc.match_substring(column, x).to_numpy(zero_copy_only=False)
         parts = pc.split_pattern(pc.if_else(pa.array(odd), "", column), " ")
         at = parts.offsets.to_numpy().astype(np.int64)
         words = parts.values.slice(at[0], at[-1] - at[0])
@@ -220,7 +230,9 @@ class Encoder:
         first[at[:-1][at[:-1] < len(words)]] = True
         # The first chunk of a text has no blank before it.
         chunks = pc.if_else(pa.array(first), words, pc.binary_join_element_wise("", words, " ")).dictionary_encode()
-        found = self.look_up(chunks.dictionary.to_numpy(zero_copy_only=False).tolist())
+        different = chunks.dictionary
+        plain = pc.match_substring_regex(different, PLAIN).to_numpy(zero_copy_only=False)
+        found = self.look_up(different.to_numpy(zero_copy_only=False).tolist(), plain, pc.count_substring(different, "\n").to_numpy())
         place = chunks.indices.to_numpy()
         lengths = np.fromiter(map(len, found), np.int32, len(found)) // 4
         ends = np.cumsum(lengths, dtype=np.int32)
@@ -243,19 +255,28 @@ def bounded(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
         lo = hi
 
 
-def write_shard(batches: Iterator[pa.RecordBatch], uri: str, path: str, end: int) -> Iterator[pa.RecordBatch]:
-    shard, writer, n = TaskContext.get().partitionId(), None, 0
+def write_shards(batches: Iterator[pa.RecordBatch], uri: str, path: str, end: int) -> Iterator[pa.RecordBatch]:
+    """Rows in order of shard and doc_id; a shard's file has the name of this attempt."""
+    writer, n, shard = None, 0, -1
+    kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+
+    def closed() -> pa.RecordBatch:
+        writer.close()
+        row = [[shard], [f"{uri}/{writer.name}"], [len(writer.docs)], [n], [writer.size]]
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["shard", "path", "n_docs", "n_ids", "n_bytes"])
+
     for batch in batches:
         for b in bounded(batch, 4 << 20):
-            writer = writer or Writer(uri, f"shard-{shard:06d}.zst")
-            for doc_id, ids in zip(b["doc_id"].to_pylist(), encoder_of(path).encode(b["text"]), strict=True):
+            for s, doc_id, ids in zip(b["shard"].to_pylist(), b["doc_id"].to_pylist(), encoder_of(path).encode(b["text"]), strict=True):
+                if s != shard:
+                    if writer:
+                        yield closed()
+                    shard, n = s, 0
+                    writer = Writer(uri, f"shard-{s:06d}.{TaskContext.get().taskAttemptId()}.zst")
                 writer.add(doc_id, ids, end)
                 n += len(ids) + 1
     if writer:
-        writer.close()
-        row = [[shard], [f"{uri}/shard-{shard:06d}.zst"], [len(writer.docs)], [n], [writer.size]]
-        kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["shard", "path", "n_docs", "n_ids", "n_bytes"])
+        yield closed()
 
 
 def read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,10 +299,10 @@ def tokens_written(docs: DataFrame, path: str, uri: str | None = None, end: int
     spark = docs.sparkSession
     small_batches(spark, 2048, 4)
     uri = uri or fresh_dir(spark, "tokens")
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("place"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, "doc_id", "place").sortWithinPartitions("doc_id", "place").select("doc_id", "text")
-    done = stored(rows.mapInArrow(partial(write_shard, uri=uri, path=path, end=end), SHARDS), "manifest")
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    firsts = boundaries(rows.select(F.col("doc_id").alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n")))
+    rows = dealt(rows, "doc_id", firsts, "shard", "doc_id", "text").select("shard", "doc_id", "text")
+    done = stored(rows.mapInArrow(partial(write_shards, uri=uri, path=path, end=end), SHARDS), "manifest")
     # A row a shard: the prefix sum runs over as many rows as there are files.
     before = done.select("shard", "n_ids").orderBy("shard").collect()
     starts, total = [], 0
