@@ -1,9 +1,10 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-sorted by page_id; each range is a shard whose files roll over by compressed size. Every record is a
+Records are range-sorted by page_id; ranges are cut by exact bytes of payload, so that the same pages give the same files
+under any partitioning; a range is a shard whose files roll over by compressed size. Every record is a
 gzip member of its own, with headers and digests made anew. Of equal payloads of at least `least` bytes the one with the
 largest page_id is the response and the others are revisits that name it. Files are written under temporary names,
-renamed when whole, and listed in a manifest; readers open what the manifest lists.
+renamed when whole to names of their attempt, and listed in a manifest; readers open what the manifest lists.
 
 Cases: null html is an empty payload; a null url leaves the header out, and characters that can't stand in a header are
 percent-encoded; null page_ids come first and are written without the page header; of rows that repeat the largest
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm.common import fresh_dir, small_batches, stored, table
+from orbweave.llm.shards import boundaries, dealt
 from orbweave.llm.token_file import file_system
 
 # Fixed values of the public WARC 1.1 format.
@@ -72,15 +74,16 @@ def record(page_id: int | None, url: str | None, html: str | None, digest: str,
 class Files:
     """The files of one shard; one member is held at a time."""
 
-    def __init__(self, uri: str, shard: int, roll: int):
-        self.uri, self.shard, self.roll = uri, shard, roll
+    def __init__(self, uri: str, shard: int, roll: int, attempt: int):
+        self.uri, self.shard, self.roll, self.attempt = uri, shard, roll, attempt
         self.fs, self.root = file_system(uri)
         self.fs.create_dir(self.root, recursive=True)
         self.seq, self.out, self.done = 0, None, []
 
     def add(self, page_id: int | None, data: bytes) -> None:
         if self.out is None:
-            self.temporary = f"{self.root}/_{self.shard:06d}-{self.seq:06d}.{os.getpid()}-{os.urandom(4).hex()}"
+            self.name = f"pages-{self.shard:06d}-{self.seq:06d}.{self.attempt}.warc.gz"
+            self.temporary = f"{self.root}/_{self.name}.{os.getpid()}-{os.urandom(4).hex()}"
             self.out, self.n, self.size, self.first = self.fs.open_output_stream(self.temporary, compression=None), 0, 0, page_id
         pack = zlib.compressobj(6, zlib.DEFLATED, 31)
         packed = pack.compress(data) + pack.flush()
@@ -93,30 +96,36 @@ class Files:
         if self.out is None:
             return
         self.out.close()
-        name = f"pages-{self.shard:06d}-{self.seq:06d}.warc.gz"
-        self.fs.move(self.temporary, f"{self.root}/{name}")
-        self.done.append((self.shard, self.seq, f"{self.uri}/{name}", self.n, self.size, self.first, self.last))
+        self.fs.move(self.temporary, f"{self.root}/{self.name}")
+        self.done.append((self.shard, self.seq, f"{self.uri}/{self.name}", self.n, self.size, self.first, self.last))
         self.seq, self.out = self.seq + 1, None
 
+    def manifest(self) -> pa.RecordBatch:
+        self.close()
+        kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*self.done, strict=True), kinds, strict=True)], names=["shard", "seq", "path", "n_records", "n_bytes", "first_id", "last_id"])
+
 
-def write_shard(batches: Iterator[pa.RecordBatch], uri: str, roll: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (page_id, digest, kind); a row of kind 0 names the response of the pages that follow it."""
-    files = Files(uri, TaskContext.get().partitionId(), roll)
-    role, of, turn = None, None, 0
+def write_shards(batches: Iterator[pa.RecordBatch], uri: str, roll: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (shard, page_id, digest, kind); a row of kind 0 names the response of the pages that follow it."""
+    files = role = of = None
+    turn = 0
     for batch in batches:
-        columns = [batch[c].to_pylist() for c in ("page_id", "digest", "kind", "url", "html", "n_bytes", "main")]
-        for page_id, digest, kind, url, html, n_bytes, main in zip(*columns, strict=True):
+        columns = [batch[c].to_pylist() for c in ("shard", "page_id", "digest", "kind", "url", "html", "n_bytes", "main")]
+        for shard, page_id, digest, kind, url, html, n_bytes, main in zip(*columns, strict=True):
             if kind == 0:
                 role, of, turn = (page_id, digest), main, 0
                 continue
+            if files is None or files.shard != shard:
+                if files:
+                    yield files.manifest()
+                files = Files(uri, shard, roll, TaskContext.get().taskAttemptId())
             known = role == (page_id, digest)
             revisit = known and (of != page_id or turn > 0)
             files.add(page_id, record(page_id, url, html, digest, n_bytes, of if revisit else None, revisit, turn))
             turn += known
-    files.close()
-    if files.done:
-        kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*files.done, strict=True), kinds, strict=True)], names=["shard", "seq", "path", "n_records", "n_bytes", "first_id", "last_id"])
+    if files:
+        yield files.manifest()
 
 
 def members(path: str, step: int = 1 << 20) -> Iterator[bytes]:
@@ -184,12 +193,12 @@ def warc_written(pages: DataFrame, uri: str | None = None, least: int = 1000, ro
     narrow = stored(rows.where(F.col("n_bytes") >= least).select("page_id", "digest"), "digests")
     main = narrow.groupBy("digest").agg(F.max("page_id").alias("main"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("of"), "main")
     roles = stored(narrow.join(main, F.col("digest") == F.col("of")).select("page_id", "digest", "main").distinct(), "roles")
-    # Roles travel to their pages by the range sort, the only shuffle of payloads.
+    # Roles travel to their pages by the deal to shards, the only shuffle of payloads.
     pages_ = rows.select("page_id", "digest", F.lit(1).alias("kind"), "url", "html", "n_bytes", F.lit(None).cast("long").alias("main"))
     roles = roles.select("page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), F.lit(None).cast("long").alias("n_bytes"), "main")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = pages_.unionByName(roles).repartitionByRange(n, "page_id", "digest").sortWithinPartitions("page_id", "digest", "kind", "url")
-    return stored(rows.mapInArrow(partial(write_shard, uri=uri, roll=roll), FILES), "manifest")
+    firsts = boundaries(pages.select(F.col("page_id").cast("long").alias("key"), (F.octet_length(body) + 512).cast("long").alias("n")))
+    rows = dealt(pages_.unionByName(roles), "page_id", firsts, "shard", "page_id", "digest", "kind", "url")
+    return stored(rows.mapInArrow(partial(write_shards, uri=uri, roll=roll), FILES), "manifest")
 
 
 def warc_read(manifest: DataFrame) -> DataFrame:

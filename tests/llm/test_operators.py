@@ -9,7 +9,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from orbweave.llm import decontaminate, jaccard_join, language_id, license_scan, mixing, quality_classifier, quality_rules, token_file, url_filter, warc
+from orbweave.llm import decontaminate, jaccard_join, language_id, mixing, quality_classifier, quality_rules, shards, token_file, url_filter, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BASE = [f"w{i}" for i in range(200)]
@@ -83,26 +83,101 @@ def test_quality_rules(docs):
         assert got[d].base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
 
 
-def test_mixing(docs, none):
-    rows = mixing.mixed(docs, block=64).collect()
-    assert len(rows) == len(texts()) and mixing.mixed(none).count() == 0
-    for s in {r.source for r in rows}:
-        own = [r for r in rows if r.source == s]
-        assert sum(r.size for r in own) == own[0].source_size and abs(sum(r.taken for r in own) - own[0].target) <= 1
-    assert all(r.taken <= 2 * r.size for r in rows)
-    assert sum({r.source: r.target for r in rows}.values()) == pytest.approx(1.5 * sum(r.size for r in rows))
-    assert sorted(map(str, mixing.mixed(docs, block=64).collect())) == sorted(map(str, rows))
-    assert mixing.mixture(docs).columns == docs.columns
-
-
-def test_spans_are_an_exact_schedule(docs):
-    _, spans = mixing.mixed_spans(docs, block=64)
+def shares_of(sizes, weights=(5, 2, 1)):
+    """Targets by filling up, source after source; sizes is {source: tokens}, None last."""
+    order = sorted(sizes, key=lambda x: (x is None, x or ""))
+    w, left, out = {s: weights[i % 3] for i, s in enumerate(order)}, 1.5 * sum(sizes.values()), {}
+    while len(out) < len(order):
+        open_ = [s for s in order if s not in out]
+        level = left / sum(w[s] for s in open_)
+        full = [s for s in open_ if w[s] * level > 2 * sizes[s]]
+        for s in full or open_:
+            out[s] = 2 * sizes[s] if full else w[s] * level
+            left -= out[s]
+    return {s: out[s] for s in order}
+
+
+def slow_mix(rows, slots, gold=mixing.GOLD):
+    """Tokens taken of each (doc_id, text, source), slot by slot along the points, token by token of the streams."""
+    sizes = [len(WORD.findall(t or "")) for _, t, _ in rows]
+    by = {}
+    for (_, _, s), n in zip(rows, sizes, strict=True):
+        by[s] = by.get(s, 0) + n
+    target = shares_of(by)
+    total, upto, ends = sum(target.values()), 0.0, []
+    for s, x in target.items():
+        upto += x
+        ends.append((s, round(upto / total * mixing.UNIT)))
+    import hashlib
+
+    stream = {s: [i for _, i in sorted((int(hashlib.md5(f"mix:{rows[i][0]}".encode()).hexdigest()[:15], 16), i) for i in range(len(rows)) if rows[i][2] == s) for _ in range(sizes[i])] for s in by}
+    wide, used, taken, rank = total / slots, dict.fromkeys(by, 0), [0] * len(rows), dict.fromkeys(by, 0)
+    for i in range(slots):
+        s = next(s for s, e in ends if i * gold % mixing.UNIT < e and target[s] > 0)
+        rank[s] += 1
+        for _ in range(min(int(rank[s] * wide + 0.001), 2 * by[s]) - used[s]):
+            taken[stream[s][used[s] % by[s]]] += 1
+            used[s] += 1
+    for s in by:
+        if not rank[s] and target[s] > 0:
+            for k in range(round(target[s])):
+                taken[stream[s][k % by[s]]] += 1
+    return target, taken
+
+
+def test_mixing(spark, docs, none):
+    rows = [(i, t, None if i % 4 == 0 else f"s{i % 3}") for i, t in texts() if i is not None] + [(99, "lone word here", "tiny")]
+    table = spark.createDataFrame([(i, t, s, None, 1, 2, 3) for i, t, s in rows], SCHEMA).repartition(3)
+    for least, gold in ((500, mixing.GOLD), (46368, mixing.GOLD), (500, 4_000_000)):
+        got = {r.doc_id: r for r in mixing.mixed(table, least=least, block=1 << 20, gold=gold).collect()}
+        target, taken = slow_mix(rows, least, gold)
+        assert [got[i].taken for i, _, _ in rows] == taken
+        assert all(got[i].target == pytest.approx(target[s]) for i, _, s in rows)
+    used = {s: sum(got[i].size for i, _, x in rows if x == s) for s in target}
+    close = mixing.mixed(table, block=1 << 20, least=20_000).collect()
+    for s in used:
+        assert abs(sum(r.taken for r in close if r.source == s) - target[s]) <= 5 * sum(target.values()) / 20_000 + 2
+    assert all(r.taken <= 2 * r.size for r in close) and mixing.mixed(none).count() == 0
+    again = docs.union(docs)
+    out = mixing.mixed(again).collect()
+    assert len(out) == 2 * len(texts()) and all(r.taken <= 2 * r.size for r in out)
+
+
+def test_hot_buckets_are_split(spark, monkeypatch):
+    table = spark.createDataFrame([(7, f"a b c {i}", "s") for i in range(60)] + [(i, "x y", "t") for i in range(30)], "doc_id long, text string, source string").repartition(3)
+    monkeypatch.setattr(mixing, "BUCKET", 2)
+    out = mixing.mixed(table).collect()
+    assert len(out) == 90 and all(r.taken <= 2 * r.size for r in out)
+    for s in "st":
+        own = [r for r in out if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 3
+
+
+def test_mixture_follows_the_schedule(spark, docs):
+    docs = docs.where("doc_id IS NOT NULL")
+    out = mixing.mixture(docs, least=500, block=1 << 20)
+    got = [r.doc_id for r in out.collect()]
+    assert out.columns == docs.columns
+    _, spans, _ = mixing.mixed_spans(docs, F.col("doc_id"), least=500, block=1 << 20)
+    first = {}
+    for r in spans.collect():
+        first[r.rid, r.turn] = min(first.get((r.rid, r.turn), 1 << 40), r.slot)
+    assert Counter(got) == Counter(k[0] for k in first)
+    slots = sorted((s, k[0]) for k, s in first.items())
+    at = {}
+    for s, d in slots:
+        at.setdefault(s, set()).add(d)
+    pos = 0
+    for s in sorted(at):
+        n = sum(x == s for x, _ in slots)
+        assert set(got[pos : pos + n]) == at[s]
+        pos += n
     per = Counter()
     for r in spans.collect():
         per[r.sid, r["rank"]] += r.end - r.begin
     for s in {k[0] for k in per}:
-        sizes = [n for (a, _), n in per.items() if a == s]
-        assert max(sizes) - min(sizes) <= 2
+        sizes = [n for (a, k), n in per.items() if a == s and k < max(k for x, k in per if x == s)]
+        assert not sizes or max(sizes) - min(sizes) <= 1
 
 
 ALNUM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -151,21 +226,64 @@ def test_patterns_of_random_items_are_found():
             assert (700, len(hit), sorted(x)) == hits(rows[r], items)
 
 
+SPECIAL = "<|endoftext|>"
+
+
 def test_token_files(spark, docs, none):
     public = pytest.importorskip("public_tokenizers")
     import numpy as np
     from tokenizers import Tokenizer
 
     path = public.path("byte_bpe_50k.json")
-    got = sorted(token_file.tokens_read(token_file.tokens_written(docs, path)).collect(), key=lambda r: r.start)
+    more = [(60, f"{SPECIAL}alpha beta"), (61, f"alpha {SPECIAL} beta"), (62, f"alpha beta{SPECIAL}"), (63, SPECIAL), (64, "a <|endof text|> b\n\nc  d \n e"), (9, "again"), (9, None), (9, "more"), (65, "two\u00a0 kinds\u2003of \u2003blank\n x")]
+    extra = spark.createDataFrame([(i, t, None, None, 1, 2, 3) for i, t in more], SCHEMA).repartition(2)
+    rows = sorted(texts() + more, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or ""))
+    got = sorted(token_file.tokens_read(token_file.tokens_written(docs.union(extra), path)).collect(), key=lambda r: r.start)
     tokenizer, at = Tokenizer.from_file(path), 0
-    for r, (d, t) in zip(got, sorted(texts(), key=lambda x: (x[0] is not None, x[0] or 0)), strict=True):
+    for r, (d, t) in zip(got, rows, strict=True):
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
         assert tuple(r) == (d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     assert token_file.tokens_read(token_file.tokens_written(none, path)).count() == 0
 
 
+def digests(manifest, key):
+    """Hash of the bytes of every file of a manifest, by its place."""
+    return {key(r): zlib.crc32(open(r.path.removeprefix("file://").removeprefix("file:"), "rb").read()) for r in manifest.collect()}
+
+
+def test_files_are_the_same_under_any_partitioning(spark, monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(shards.boundaries, "__defaults__", (4000, 1 << 16))
+    path = public.path("byte_bpe_50k.json")
+    rows = [(i % 700, f"text {i} " + "w " * (i % 90)) for i in range(900)] + [(None, "null")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = (digests(token_file.tokens_written(docs.repartition(n), path), lambda r: r.shard) for n in (2, 7))
+    assert one == two and len(one) > 10
+    pages = docs.selectExpr("doc_id AS page_id", "concat('http://', doc_id) AS url", "repeat(text, 5 + doc_id % 9) AS html")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    one = digests(warc.warc_written(pages.repartition(3), roll=2000), lambda r: (r.shard, r.seq))
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    two = digests(warc.warc_written(pages.repartition(5), roll=2000), lambda r: (r.shard, r.seq))
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert one == two and len(one) > 20
+
+
+def test_boundaries(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([5, 5, 5, rng.randrange(-50, 50)]), rng.randrange(0, 90)) for _ in range(500)] + [(None, 3)]
+    got = shards.boundaries(spark.createDataFrame(rows, "key long, n long").repartition(4), 700)
+    per = Counter()
+    for k, n in rows:
+        if k is not None:
+            per[k] += n
+    total, want = 0, {}
+    for k in sorted(per):
+        want.setdefault(total // 700, k)
+        total += per[k]
+    assert got == sorted(want.values())[1:] and shards.boundaries(spark.createDataFrame([], "key long, n long")) == []
+
+
 def test_one_document_is_read_alone(docs):
     public = pytest.importorskip("public_tokenizers")
     files = token_file.tokens_written(docs, public.path("byte_bpe_50k.json")).collect()
@@ -175,11 +293,11 @@ def test_one_document_is_read_alone(docs):
 
 def test_warc(spark):
     big = "<p>" + "x" * 2000
-    rows = [(1, "http://a/", big), (2, "http://b/ \r\n", big), (3, None, big), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (None, "u", "é"), (3, None, big)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumnRenamed("digest", "digest")
+    rows = [(1, "http://a/", big), (2, "http://b/ \r\n", big), (3, None, big), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (None, "u", "é"), (3, None, big), (7, "http://l/", "long " * 200_000)]
+    pages = spark.createDataFrame([(*r, "x", 1, 2, "y", 0) for r in rows], "page_id long, url string, html string, digest string, kind int, main long, shard string, n_bytes int")
     got = warc.warc_read(warc.warc_written(pages, roll=500)).collect()
-    assert sorted((r.page_id or 0, r.record_type, r.refers_to or 0) for r in got) == [(0, "response", 0), (1, "revisit", 3), (2, "revisit", 3), (3, "response", 0), (3, "revisit", 3), (4, "response", 0), (5, "response", 0), (6, "response", 0)]
-    assert {r.payload_bytes for r in got if r.page_id == 2} == {2003}
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to or 0) for r in got) == [(0, "response", 0), (1, "revisit", 3), (2, "revisit", 3), (3, "response", 0), (3, "revisit", 3), (4, "response", 0), (5, "response", 0), (6, "response", 0), (7, "response", 0)]
+    assert {r.payload_bytes for r in got if r.page_id == 2} == {2003} and {r.payload_bytes for r in got if r.page_id == 7} == {1_000_000}
     assert warc.warc_read(warc.warc_written(pages.limit(0))).count() == 0
 
 
