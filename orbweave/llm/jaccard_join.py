@@ -8,6 +8,8 @@ reach h + 1: the shorter of two such prefixes already holds an agreeing, non-emp
 how many segments use neighbourhoods. Sets with too few non-empty segments also index single elements (prefix filter).
 Documents of equal segments meet in buckets; parity bitmaps give an exact lower bound of the difference and leave weak
 clusters; inside these, blocks of sets are intersected exactly and give spanning edges, of which components are made.
+Clusters of several blocks first link what meets within a block, then one set of each part so found; only sets outside
+the largest part that is left then meet all blocks, so that a cluster of n near copies costs n sets and not n squared.
 
 Cases: null text, empty text and text without words have no shingles and link with nothing; rows that repeat a text or
 a doc_id are kept, equal texts share a component; a null doc_id counts only where a component has no other; other
@@ -124,25 +126,26 @@ def features(batches: Iterator[pa.RecordBatch], k: int, plan: dict, num: int, de
 
 def buckets(batches: Iterator[pa.RecordBatch], most: int = BUCKET) -> Iterator[pa.RecordBatch]:
     """Runs of two or more reps of one signature, from rows sorted by (sig, rep), as blocks of `most` at the most."""
-    names = ["sig", "block", "members", "same"]
+    names = ["sig", "block", "members", "same", "same2"]
 
     def out(runs: list) -> pa.RecordBatch:
         lists = pa.array([r[2] for r in runs], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int64()), pa.array([r[1] for r in runs], pa.int32()), lists, pa.array([r[3] for r in runs], pa.int64())], names=names)
+        same = np.array([r[3] for r in runs], np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int64()), pa.array([r[1] for r in runs], pa.int32()), lists, pa.array(same[:, 0]), pa.array(same[:, 1])], names=names)
 
-    seen: set[int] = set()
+    seen: set[tuple[int, int, int]] = set()
     sig_open, open_, block = None, np.zeros(0, np.int64), 0
 
     def close(final: bool, runs: list) -> None:
         """Emit the open run; a whole run equal to one emitted before is left out."""
         if len(open_) + (block > 0) < 2 or not len(open_):
             return
-        same = int(mixed(open_.view(U), 7).sum().astype(np.int64))
+        same = two_sums(open_.view(U))
         if final and block == 0:
-            if same in seen:
+            if (*same, len(open_)) in seen:
                 return
             if len(seen) < 1 << 20:
-                seen.add(same)
+                seen.add((*same, len(open_)))
         runs.append((int(sig_open), block, open_, same))
 
     for batch in batches:
@@ -216,7 +219,7 @@ def ends(rep: np.ndarray, edges: list) -> pa.RecordBatch:
 
 def weak_edges(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Per bucket: a forest of the pairs whose parity bitmaps allow a link; side 1 is compared with side 0 and not itself."""
-    for t in groups(batches, ["bid"]):
+    for t in groups(batches, ["bid", "bid2"]):
         rep, side, n = t["rep"].to_numpy(), t["side"].to_numpy(), t["n"].to_numpy()
         raw = t["bits"].to_pylist()
         width = min(map(len, raw))
@@ -241,13 +244,13 @@ def weak_edges(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterato
 
 
 def exact_edges(batches: Iterator[pa.RecordBatch], num: int, den: int, wide: int = 1 << 13) -> Iterator[pa.RecordBatch]:
-    """Per pair of blocks of a cluster: a forest of its links, by exact intersection sizes."""
+    """Per (cid, b1, b2): a forest of links by exact intersection sizes, of side 0 with side 1, or within where all are 0."""
     for t in groups(batches, ["cid", "b1", "b2"]):
-        rep, block = t["rep"].to_numpy(), t["block"].to_numpy()
+        rep, side = t["rep"].to_numpy(), t["side"].to_numpy()
         sets = [np.frombuffer(x, U) for x in t["elements"].to_pylist()]
         size = np.array([len(s) for s in sets])
-        left = np.flatnonzero(block == t["b1"][0].as_py())
-        right = left if t["b1"][0] == t["b2"][0] else np.flatnonzero(block == t["b2"][0].as_py())
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if side.any() else left
         if not len(left) or not len(right):
             continue
         value, ids, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -287,6 +290,42 @@ def sets_of(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([*own.columns, pa.array(elements, pa.binary())], names=[*own.schema.names, "elements"])
 
 
+def blocks_of(sets: DataFrame) -> DataFrame:
+    """sets(cid, rep, elements) with the blocks of their cluster, of about BLOCK sets and ELEMENTS elements: nb, block."""
+    size = sets.groupBy("cid").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("elements")) / (8 * ELEMENTS))).cast("int").alias("nb"))
+    return sets.select("cid", "rep", "elements").join(size, "cid").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+
+
+def met(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges of rows(cid, b1, b2, side, rep, elements)."""
+    rows = rows.select("cid", "b1", "b2", "side", "rep", "elements").repartition("cid", "b1", "b2").sortWithinPartitions("cid", "b1", "b2", "rep")
+    return stored(rows.mapInArrow(partial(exact_edges, num=num, den=den), "a long, b long"), "links")
+
+
+def across(sets: DataFrame, within: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges between the blocks of clusters of several: sets(cid, nb, block, rep, elements), within: the edges inside blocks."""
+    parts = connected_components(within.join(sets.select(F.col("rep").alias("a")), "a", "left_semi"))
+    of = stored(sets.select("cid", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("cid", "rep", F.coalesce("label", "rep").alias("part")), "parts")
+    # One set of each part meets all others, in pairs of blocks.
+    heads = blocks_of(sets.join(of.where("part = rep").select("rep").hint("shuffle_hash"), "rep"))
+    heads = heads.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumns({"b1": F.least("block", "o"), "b2": F.greatest("block", "o")})
+    second = met(heads.withColumn("side", (F.col("block") > F.col("b1")).cast("int")), num, den)
+    joined = connected_components(second).select(F.col("node").alias("part"), "label")
+    of = stored(of.join(joined, "part", "left").select("cid", "rep", F.coalesce("label", "part").alias("part")), "parts")
+    # What is outside a cluster's largest part meets every block.
+    most = of.groupBy("cid", "part").agg(F.count("*").alias("n")).groupBy("cid").agg(F.max_by("part", F.struct("n", "part")).alias("most"))
+    apart = of.join(most, "cid").where("part <> most").select("rep")
+    guests = blocks_of(sets.join(apart.hint("shuffle_hash"), "rep"))
+    halls = guests.groupBy("cid").agg(F.max("nb").alias("halls"))
+    hosts = sets.join(halls.hint("shuffle_hash"), "cid").withColumn("b2", F.explode(F.sequence(F.lit(0), F.col("halls") - 1)))
+    hosts = hosts.select("cid", F.col("block").alias("b1"), "b2", F.lit(0).alias("side"), "rep", "elements")
+    of_cluster = sets.groupBy("cid").agg(F.max("nb").alias("all"))
+    guests = guests.join(of_cluster, "cid").withColumn("b1", F.explode(F.sequence(F.lit(0), F.col("all") - 1)))
+    guests = guests.select("cid", "b1", F.col("block").alias("b2"), F.lit(1).alias("side"), "rep", "elements")
+    # A set that is host and guest in one meeting links with itself, which is no edge between rows.
+    return second.union(met(hosts.union(guests), num, den)).where("a <> b")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id; linked: den * common >= num * united."""
     spark = docs.sparkSession
@@ -299,30 +338,32 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     reps = stored(of_class.agg(F.min("rid").alias("rep"), F.min_by("doc_id", "rid").alias("rep_doc"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits")), "classes")
     # Buckets of equal signatures; those of the same members once.
     index = of_class.agg(F.min("rid").alias("rep"), F.first("sigs").alias("sigs")).select("rep", F.explode("sigs").alias("sig")).repartition("sig").sortWithinPartitions("sig", "rep")
-    found = stored(index.mapInArrow(buckets, "sig long, block int, members array<long>, same long"), "buckets")
+    found = stored(index.mapInArrow(buckets, "sig long, block int, members array<long>, same long, same2 long"), "buckets")
     removed(spark, path)
     del full, of_class, index
     release(spark)
     split = found.where("block > 0").select("sig").distinct().withColumn("split", F.lit(True))
     found = found.join(split, "sig", "left")
-    single = found.where("split IS NULL").groupBy("same").agg(F.first("members").alias("members"))
-    single = single.select(F.col("same").alias("bid"), F.lit(0).alias("side"), F.explode("members").alias("rep"))
+    single = found.where("split IS NULL").groupBy("same", "same2", F.size("members")).agg(F.first("members").alias("members"))
+    single = single.select(F.col("same").alias("bid"), F.col("same2").alias("bid2"), F.lit(0).alias("side"), F.explode("members").alias("rep"))
     parts = found.where("split").select("sig", "block", "members")
     other = parts.select("sig", F.col("block").alias("block2"), F.col("members").alias("members2"))
     crossed = parts.join(other, "sig").where("block <= block2").withColumn("bid", F.xxhash64("sig", "block", "block2"))
-    crossed = crossed.select("bid", F.explode(F.when(F.expr("block = block2"), F.array(F.struct(F.lit(0).alias("side"), F.col("members")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("members")), F.struct(F.lit(1).alias("side"), F.col("members2").alias("members"))))).alias("x"))
-    crossed = crossed.select("bid", "x.side", F.explode("x.members").alias("rep"))
-    tested = single.union(crossed).join(reps.select("rep", "n", "bits"), "rep").repartition("bid").sortWithinPartitions("bid", "side", "rep")
+    crossed = crossed.select("bid", F.col("sig").alias("bid2"), F.explode(F.when(F.expr("block = block2"), F.array(F.struct(F.lit(0).alias("side"), F.col("members")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("members")), F.struct(F.lit(1).alias("side"), F.col("members2").alias("members"))))).alias("x"))
+    crossed = crossed.select("bid", "bid2", "x.side", F.explode("x.members").alias("rep"))
+    tested = single.union(crossed).join(reps.select("rep", "n", "bits"), "rep").repartition("bid", "bid2").sortWithinPartitions("bid", "bid2", "side", "rep")
     weak = connected_components(tested.mapInArrow(partial(weak_edges, num=num, den=den), "a long, b long"))
-    # Sets of each weak cluster, in blocks, every two of which meet once.
+    # Sets of each weak cluster, in blocks.
     size = weak.join(reps.select("rep", "n"), F.col("node") == F.col("rep")).groupBy("label").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / ELEMENTS)).cast("int").alias("nb"))
     cluster = weak.join(size, "label").select(F.col("label").alias("cid"), F.col("node").alias("rep"), "nb", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("block"))
     wanted = stored(cluster.join(reps.select("rep", "rep_doc", "sh1", "sh2"), "rep"), "wanted")
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep_doc")))
     sets = texts.select("cid", "nb", "block", "rep", "sh1", "sh2", "text").mapInArrow(partial(sets_of, k=k), "cid long, nb int, block int, rep long, elements binary")
-    dealt = sets.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumns({"b1": F.least("block", "o"), "b2": F.greatest("block", "o")})
-    dealt = dealt.select("cid", "b1", "b2", "block", "rep", "elements").repartition("cid", "b1", "b2").sortWithinPartitions("cid", "b1", "b2", "rep")
-    label = connected_components(dealt.mapInArrow(partial(exact_edges, num=num, den=den), "a long, b long"))
+    sets = stored(sets, "sets")
+    links = met(sets.select("cid", F.col("block").alias("b1"), F.col("block").alias("b2"), F.lit(0).alias("side"), "rep", "elements"), num, den)
+    if not (several := sets.where("nb > 1")).isEmpty():
+        links = links.union(across(several, links, num, den))
+    label = connected_components(links)
     release(spark)
     # Back to rows, by class.
     named = reps.select("sh1", "sh2", "rep", "least").join(label, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("label", "rep"))

@@ -62,6 +62,30 @@ def test_buckets_and_blocks_split(docs, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 2)
     monkeypatch.setattr(jaccard_join, "ELEMENTS", 300)
     assert sorted(map(str, jaccard_join.jaccard_components(docs, 4, 85, 100).collect())) == want
+    monkeypatch.setattr(jaccard_join.buckets, "__defaults__", (2,))
+    assert sorted(map(str, jaccard_join.jaccard_components(docs, 4, 85, 100).collect())) == want
+
+
+def test_blocks_of_linked_and_apart_sets(spark, monkeypatch):
+    """A chain, a dense group and loose sets, all in one weak cluster of many blocks."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    rng = random.Random(9)
+    base = [f"c{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[: 60 - rng.randrange(4)], f"own{i}"])) for i in range(25)]
+    rows += [(100 + i, " ".join(f"d{j}" for j in range(4 * i, 4 * i + 60))) for i in range(14)]
+    rows += [(200 + i, " ".join([*base[: 44 - i], *(f"e{i}{j}" for j in range(9))])) for i in range(8)]
+    sets = {d: shingles(t, 3) for d, t in rows}
+    part = {d: d for d in sets}
+    for a, b in combinations(sets, 2):
+        if 4 * len(sets[a] | sets[b]) <= 5 * len(sets[a] & sets[b]):
+            old, new = max(part[a], part[b]), min(part[a], part[b])
+            part = {d: new if p == old else p for d, p in part.items()}
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 4, 5).collect()
+    assert {r.doc_id: r.component_id for r in got} == part and len(set(part.values())) > 5
+
+
+def test_join_of_an_empty_table(none):
+    assert jaccard_join.jaccard_components(none).count() == 0 and jaccard_join.first_of_each(none).count() == 0
 
 
 def test_first_of_each_keeps_columns(docs):
