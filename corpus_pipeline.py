@@ -41,7 +41,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language", language), ("near_copies", near_copies), ("benchmark", benchmark), ("mix", mix), ("tokens", tokens)]
-#: Language models, components and token files have no SQL; tests/llm holds a brute-force version against run().
+#: Language models, components and token files have no SQL; tests/llm/test_pipeline.py holds a brute-force version of every stage and of run().
 ORACLE_SQL = None
 
 

@@ -77,9 +77,9 @@ def grams(column: pa.Array) -> list[np.ndarray]:
     return [x[a:b] for _, _, x, first in byte_grams(column, BITS, K) for a, b in zip(first, first[1:], strict=False)]
 
 
-def fit(docs: DataFrame, labelled: DataFrame, label: str = "lang", most: int = SAMPLE, c: float = 10.0) -> Model:
-    """docs(doc_id, text) and labelled(doc_id, label); at most about `most` rows of each language are used."""
-    labels, x = sample(docs, labelled, label, most, grams)
+def fit(labelled: DataFrame, label: str = "lang", most: int = SAMPLE, c: float = 10.0) -> Model:
+    """labelled(doc_id, text, label): at most about `most` rows of each language are used, each under its own label."""
+    labels, x = sample(None, labelled, label, most, grams)
     languages = sorted(set(labels))
     code = codewords(len(languages))
     bits = code.shape[1] if len(languages) else 0
@@ -123,7 +123,7 @@ def identified(docs: DataFrame, model: Model, lead: float = 0.2) -> DataFrame:
 
 def learnt(docs: DataFrame) -> Model:
     small_batches(docs.sparkSession)
-    return fit(docs, docs.where(F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0)).select("doc_id", "lang"))
+    return fit(docs.where(F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0)).select("doc_id", "text", "lang"))
 
 
 def known_language(docs: DataFrame) -> DataFrame:

@@ -360,17 +360,3 @@ def test_urls(spark):
     entries = spark.sql("SELECT * FROM VALUES ('a.org', 'block', timestamp '2024-01-01'), ('a.org', 'allow', timestamp '2024-03-01'), ('x.a.org/p/', 'block', timestamp '2024-02-01'), (null, 'block', timestamp '2024-01-01') AS t(pattern, action, since)")
     pages = spark.sql("SELECT * FROM VALUES (1, 'http://x.a.org/q', timestamp '2024-02-10'), (2, 'http://x.a.org/q', timestamp '2024-03-01'), (3, 'https://X.A.org:80/p/z', timestamp '2024-05-01'), (4, null, timestamp '2024-05-01'), (5, 'http://a.org', null), (6, 'http://ba.org/', timestamp '2024-02-10'), (7, 'http://a.org', timestamp '2023-12-31') AS t(page_id, url, fetched)")
     assert {r.page_id: r.verdict for r in url_filter.filtered(pages, entries).collect()} == {1: "block", 2: "allow", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow"}
-
-
-def test_pipeline_stages(spark):
-    pipeline = pytest.importorskip("corpus_pipeline")
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    got = pipeline.run(spark, sf).collect()
-    kept = {r.doc_id for r in got}
-    rows = {r.doc_id: r.text for r in docs.collect()}
-    sets = {d: shingles(t, 5) for d, t in rows.items()}
-    assert kept <= set(rows)
-    assert not any(5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) for a, b in combinations(sorted(kept), 2) if sets[a] and sets[b])
-    bad = {r.doc_id for r in decontaminate.op8(spark, sf).collect() if r.contaminated}
-    assert not kept & bad and len(kept) > 0.6 * len(rows)
