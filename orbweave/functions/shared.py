@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir; a temporary folder is set there only if the session has none."""
+    """A new path in the folder of spark.checkpoint.dir; a temporary folder is set there only on one machine without it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="orbweave-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

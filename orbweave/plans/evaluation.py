@@ -11,7 +11,8 @@ CONT = f"{NEAR}, t AS (SELECT label, cluster, cast(count(*) AS DOUBLE) AS n FROM
 SQL = {
     "v01_nearest_centroid_f1": f"WITH {NEAR}, c2 AS (SELECT label AS cls, sum(CASE WHEN label = cluster THEN 1 ELSE 0 END) AS tp, count(*) AS n FROM a GROUP BY label), p AS (SELECT cluster AS cls, count(*) AS n FROM a GROUP BY cluster) SELECT c2.cls, round(2.0 * tp / (c2.n + coalesce(p.n, 0)), 6) AS f1 FROM c2 LEFT JOIN p ON p.cls = c2.cls",
     "v02_nmi": f"WITH {CONT}, m AS (SELECT sum(t.n / w.n * ln(t.n * w.n / (l.n * k.n))) AS mi FROM t JOIN l ON l.label = t.label JOIN k ON k.cluster = t.cluster CROSS JOIN w), hl AS (SELECT -sum(l.n / w.n * ln(l.n / w.n)) AS h FROM l CROSS JOIN w), hk AS (SELECT -sum(k.n / w.n * ln(k.n / w.n)) AS h FROM k CROSS JOIN w) SELECT round(2 * mi / (hl.h + hk.h), 6) AS nmi, round(mi / hl.h, 6) AS homogeneity, round(mi / hk.h, 6) AS completeness FROM m CROSS JOIN hl CROSS JOIN hk",
-    "v03_link_auc": f"WITH {KNN}, s AS (SELECT q, b, CASE WHEN ql = bl THEN 1 ELSE 0 END AS y, rank() OVER (ORDER BY round(d, 5) DESC) AS lo, count(*) OVER (PARTITION BY round(d, 5)) AS ties FROM d) SELECT round((sum(CASE WHEN y = 1 THEN lo + (ties - 1) / 2.0 ELSE 0 END) - sum(y) * (sum(y) + 1) / 2.0) / (cast(sum(y) AS DOUBLE) * (count(*) - sum(y))), 6) AS auc FROM s",
+    "v03_link_auc": f"""WITH {KNN}, g AS (SELECT round(d, 5) AS d, cast(floor(round(d, 5) * 20) AS BIGINT) AS cell, sum(CASE WHEN ql = bl THEN 1.0 ELSE 0.0 END) AS p, sum(CASE WHEN ql = bl THEN 0.0 ELSE 1.0 END) AS q FROM d GROUP BY 1, 2), gc AS (SELECT cell, sum(q) AS q FROM g GROUP BY cell), gb AS (SELECT cell, sum(q) OVER (ORDER BY cell DESC) - q AS above FROM gc),
+a AS (SELECT p, g.q, gb.above + sum(g.q) OVER (PARTITION BY g.cell ORDER BY d DESC) - g.q / 2.0 AS above FROM g JOIN gb ON gb.cell = g.cell) SELECT round(sum(p * above) / (sum(p) * sum(q)), 6) AS auc FROM a""",
     "v04_k_precision": f"WITH {KNN} SELECT ql AS label, round(avg(p), 6) AS k_precision FROM (SELECT q, ql, avg(CASE WHEN ql = bl THEN 1.0 ELSE 0.0 END) AS p FROM r WHERE k <= 5 GROUP BY q, ql) t GROUP BY ql",
     "v05_k_precision_grid": f"WITH {KNN}, g AS (SELECT 5 AS top UNION ALL SELECT 10 UNION ALL SELECT 25 UNION ALL SELECT 50 UNION ALL SELECT 100) SELECT top, round(avg(CASE WHEN ql = bl THEN 1.0 ELSE 0.0 END), 6) AS k_precision FROM r JOIN g ON r.k <= g.top GROUP BY top",
     "v08_knn_vote": f"WITH {KNN}, c AS (SELECT q, ql, bl, count(*) AS n FROM r WHERE k <= 3 GROUP BY q, ql, bl), b AS (SELECT q, ql, bl, row_number() OVER (PARTITION BY q ORDER BY n DESC, bl) AS k FROM c) SELECT q, ql AS label, bl AS predicted FROM b WHERE k = 1",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orbweave.functions.dialect import graph, oracle, query
+from orbweave.functions.dialect import graph, oracle, query, ranked
 
 G = graph()
 EVENTS = "SELECT event_type, value FROM events WHERE value IS NOT NULL"
@@ -34,17 +34,21 @@ FROM x JOIN m ON m.u = x.u GROUP BY x.u""",
     "r22_quantile_bins": f"{G}, q AS (SELECT percentile_cont(0.25) WITHIN GROUP (ORDER BY deg) AS a, percentile_cont(0.5) WITHIN GROUP (ORDER BY deg) AS b, percentile_cont(0.75) WITHIN GROUP (ORDER BY deg) AS c FROM n) SELECT id, CASE WHEN deg <= a THEN 0 WHEN deg <= b THEN 1 WHEN deg <= c THEN 2 ELSE 3 END AS bin FROM n CROSS JOIN q",
     "r23_one_hot": f"{G} SELECT id, CASE WHEN deg < 10 THEN 1 ELSE 0 END AS b0, CASE WHEN deg >= 10 AND deg < 20 THEN 1 ELSE 0 END AS b1, CASE WHEN deg >= 20 AND deg < 40 THEN 1 ELSE 0 END AS b2, CASE WHEN deg >= 40 THEN 1 ELSE 0 END AS b3 FROM n",
     "r24_histograms": f"{G}, x AS (SELECT id, cast(floor(ln(deg) / ln(2)) AS BIGINT) AS log_bin, cast(floor(deg / 5.0) AS BIGINT) AS bin FROM n) SELECT log_bin, bin, count(*) AS n FROM x GROUP BY 1, 2",
-    "r25_exact_split": "SELECT vec_id, row_number() OVER (ORDER BY md5(concat('s', vec_id)), vec_id) <= floor(0.7 * count(*) OVER ()) AS train FROM embeddings",
+    "r25_exact_split": f"WITH h AS (SELECT vec_id, md5(concat('s', vec_id)) AS h, substr(md5(concat('s', vec_id)), 1, 3) AS cell FROM embeddings), {ranked('h', 'cell', 'x.h, x.vec_id')} SELECT vec_id, r <= floor(0.7 * total) AS train FROM rk",
     "r26_weighted_sample": f"{G}, x AS (SELECT adj.u, adj.v, n.deg, -ln(@u(concat('w', adj.u, ':', adj.v))@ + 1e-12) / (n.deg + 0.01) AS key FROM adj JOIN n ON n.id = adj.v), r AS (SELECT u, v, deg, row_number() OVER (PARTITION BY u ORDER BY key, v) AS k FROM x) SELECT u, v, row_number() OVER (PARTITION BY u ORDER BY deg, v) AS pos FROM r WHERE k <= 10",
     "r27_uniform_neighbours": f"{G}, r AS (SELECT u, v, row_number() OVER (PARTITION BY u ORDER BY md5(concat('u', u, ':', v)), v) AS k FROM adj) SELECT u, v, k FROM r WHERE k < 50 UNION ALL SELECT id, id, 0 FROM n",
     "r28_mean_and_deviation": f"SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd FROM ({EVENTS}) t GROUP BY event_type",
     "r29_correlation": f"{G}, x AS (SELECT adj.u, cast(max(a.deg) AS DOUBLE) AS d, cast(sum(b.deg) AS DOUBLE) AS s, avg(b.deg) AS m FROM adj JOIN n a ON a.id = adj.u JOIN n b ON b.id = adj.v GROUP BY adj.u) SELECT round(corr(d, s), 6) AS ds, round(corr(d, m), 6) AS dm, round(corr(s, m), 6) AS sm FROM x",
     "r31_jaccard": f"{G}, c AS (SELECT a.v AS x, b.v AS y, count(*) AS c FROM adj a JOIN adj b ON a.u = b.u WHERE a.v < b.v GROUP BY a.v, b.v) SELECT x, y, c, round(c / cast(p.deg + q.deg - c AS DOUBLE), 6) AS j FROM c JOIN n p ON p.id = x JOIN n q ON q.id = y",
     "r33_induced_subgraph": f"{G}, s AS (SELECT id FROM n WHERE deg >= 20) SELECT e.src, e.dst FROM e JOIN s a ON a.id = e.src JOIN s b ON b.id = e.dst",
-    "s18_dense_ids": f"{G} SELECT id, dense_rank() OVER (ORDER BY id) - 1 AS new_id FROM n",
+    "s18_dense_ids": f"{G}, q AS (SELECT id, cast(floor(id / 4096.0) AS BIGINT) AS cell FROM n), {ranked('q', 'cell', 'x.id')} SELECT id, r - 1 AS new_id FROM rk",
+    "r07_theta_join": f"{G}, d AS (SELECT deg, count(*) AS c FROM n GROUP BY deg) SELECT a.deg AS lower, b.deg AS higher, CASE WHEN a.deg = b.deg THEN a.c * (a.c - 1) / 2.0 ELSE a.c * b.c * 1.0 END AS pairs FROM d a JOIN d b ON b.deg >= a.deg",
+    "r24_fixed_bins": f"{G}, m AS (SELECT max(deg) AS m FROM n), x AS (SELECT id, deg / cast(m AS DOUBLE) AS x FROM n CROSS JOIN m), b AS (SELECT least(cast(floor(x * 20) AS BIGINT), 19) AS bin, count(*) AS c FROM x GROUP BY 1), t AS (SELECT sum(c) AS t FROM b) SELECT bin, c, round(-(c / cast(t AS DOUBLE)) * ln(c / cast(t AS DOUBLE)), 6) AS entropy_part FROM b CROSS JOIN t",
+    "r30_concatenated_rounds": f"{G}, a AS (SELECT adj.u AS id, cast(sum(n.deg) AS BIGINT) AS s FROM adj JOIN n ON n.id = adj.v GROUP BY adj.u), b AS (SELECT adj.u AS id, cast(sum(a.s) AS BIGINT) AS s FROM adj JOIN a ON a.id = adj.v GROUP BY adj.u) SELECT n.id, n.deg, a.s AS round_1, b.s AS round_2 FROM n JOIN a ON a.id = n.id JOIN b ON b.id = n.id",
+    "r32_prefixes": f"{G}, r AS (SELECT adj.u, adj.v, row_number() OVER (PARTITION BY adj.u ORDER BY n.deg DESC, adj.v) AS k FROM adj JOIN n ON n.id = adj.v) SELECT u, v, k FROM r WHERE k <= 10",
     "s07_temporal_bounds": "SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM events GROUP BY user_id",
     "w10_temporal_neighbours": "SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events",
 }
-RANKS = {"r18_neighbours_by_degree": "pos", "r19_top_k_per_group": "k", "r26_weighted_sample": "pos", "r27_uniform_neighbours": "k", "s18_dense_ids": "new_id", "w10_temporal_neighbours": "pos"}
+RANKS = {"r18_neighbours_by_degree": "pos", "r19_top_k_per_group": "k", "r26_weighted_sample": "pos", "r27_uniform_neighbours": "k", "r32_prefixes": "k", "w10_temporal_neighbours": "pos"}
 QUERIES = {k: query(v, RANKS.get(k)) for k, v in SQL.items()}
 ORACLES = {k: oracle(v) for k, v in SQL.items()}

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from orbweave.functions.dialect import graph, oracle, query
+from orbweave.functions.dialect import graph, oracle, query, ranked
 from orbweave.plans.features import BFS, WL0, wl
 
 G = graph()
-#: Candidate pairs: each node with its next nodes in the order of degrees.
-CAND = "o AS (SELECT id, deg, row_number() OVER (ORDER BY deg, id) AS r FROM n), cand AS (SELECT a.id AS x, b.id AS y, a.deg AS dx, b.deg AS dy FROM o a JOIN o b ON b.r > a.r AND b.r <= a.r + 8)"
+#: Candidate pairs: each node with the 2 log2(n) nodes after it in the order of degrees, so that a node has as many on
+#: both sides. Ranks are cut into cells of that length, and pairs stand in one cell or in neighbouring ones.
+CAND = (
+    f"dq AS (SELECT id, deg, cast(floor(id / 4096.0) AS BIGINT) AS cell FROM n), {ranked('dq', 'deg, cell', 'x.id')}, kk AS (SELECT cast(ceil(2 * ln(count(*)) / ln(2)) AS BIGINT) AS k FROM n), "
+    "oc AS (SELECT id, deg, r, k, cast(floor(r / cast(k AS DOUBLE)) AS BIGINT) AS c FROM rk CROSS JOIN kk), "
+    "cand AS (SELECT a.id AS x, b.id AS y, a.deg AS dx, b.deg AS dy FROM (SELECT oc.*, c + t AS t FROM oc CROSS JOIN (SELECT 0 AS t UNION ALL SELECT 1) s) a JOIN oc b ON b.c = a.t AND b.r > a.r AND b.r <= a.r + a.k)"
+)
 LAYER = f"{BFS}, lay AS (SELECT root, d, avg(deg) AS m FROM hop JOIN n ON n.id = node GROUP BY root, d), g AS (SELECT x, y, p.d, greatest(p.m, q.m) / least(p.m, q.m) - 1 AS c FROM cand JOIN lay p ON p.root = x JOIN lay q ON q.root = y AND q.d = p.d), f AS (SELECT x, y, d, sum(c) OVER (PARTITION BY x, y ORDER BY d) AS f FROM g), w AS (SELECT x AS u, y AS v, d, exp(-f) AS w FROM f UNION ALL SELECT y, x, d, exp(-f) FROM f)"
 SQL = {
     "m02_degree_ratio_init": f"{G}, {CAND} SELECT x, y, round(least(dx, dy) / cast(greatest(dx, dy) AS DOUBLE), 6) AS s FROM cand",
@@ -25,7 +30,7 @@ SQL = {
     "m18_wl_kernel": f"{G}, {CAND}, {WL0}, {wl(1)}, l AS (SELECT adj.u AS root, w1.l, count(*) AS c FROM adj JOIN w1 ON w1.id = adj.v GROUP BY adj.u, w1.l) SELECT x, y, cast(sum(p.c * q.c) AS BIGINT) AS kernel FROM cand JOIN l p ON p.root = x JOIN l q ON q.root = y AND q.l = p.l GROUP BY x, y",
     "m20_normalised_kernel": f"{G}, c AS (SELECT a.v AS x, b.v AS y, count(*) AS c FROM adj a JOIN adj b ON a.u = b.u GROUP BY a.v, b.v) SELECT c.x, c.y, round(coalesce(c.c / nullif(sqrt(cast(p.deg AS DOUBLE) * q.deg), 0), 0), 6) AS k FROM c JOIN n p ON p.id = c.x JOIN n q ON q.id = c.y WHERE c.x < c.y",
     "m21_vector_distance": "SELECT a.vec_id AS x, b.vec_id AS y, round(sqrt(@sq_dist(a.embedding, b.embedding)@), 4) AS d FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id",
-    "f17_second_order_similarity": f"{G}, c AS (SELECT a.v AS x, b.v AS y, count(*) AS c FROM adj a JOIN adj b ON a.u = b.u WHERE a.v < b.v GROUP BY a.v, b.v) SELECT x, y, round(c / cast(p.deg + q.deg - c AS DOUBLE), 6) AS s FROM c JOIN n p ON p.id = x JOIN n q ON q.id = y WHERE c >= 2",
+    "f17_second_order_similarity": f"{G}, c AS (SELECT a.v AS x, b.v AS y, count(*) AS c FROM adj a JOIN adj b ON a.u = b.u WHERE a.v < b.v GROUP BY a.v, b.v) SELECT x, y, round(c / cast(p.deg + q.deg - c AS DOUBLE), 6) AS s FROM c JOIN n p ON p.id = x JOIN n q ON q.id = y",
     "f20_feature_gram": f"{G}, c AS (SELECT a.v AS x, b.v AS y, count(*) AS c FROM adj a JOIN adj b ON a.u = b.u GROUP BY a.v, b.v) SELECT x, y, c FROM c WHERE x <= y",
     "f27_pyramid_match": f"{G}, {CAND}, h AS (SELECT adj.u AS id, l.l, cast(floor(n.deg / power(2, l.l)) AS BIGINT) AS b, count(*) AS c FROM adj JOIN n ON n.id = adj.v CROSS JOIN (SELECT 0 AS l UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) l GROUP BY 1, 2, 3) SELECT x, y, cast(sum(CASE WHEN p.l = 3 THEN least(p.c, q.c) ELSE 0 END) AS BIGINT) AS coarse, cast(sum(CASE WHEN p.l = 0 THEN least(p.c, q.c) ELSE 0 END) AS BIGINT) AS fine FROM cand JOIN h p ON p.id = x JOIN h q ON q.id = y AND q.l = p.l AND q.b = p.b GROUP BY x, y",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orbweave.functions.dialect import graph, oracle, query
+from orbweave.functions.dialect import graph, oracle, query, ranked
 
 G = graph()
 NB = "nb AS (SELECT adj.u, adj.v, row_number() OVER (PARTITION BY adj.u ORDER BY adj.v) - 1 AS i, n.deg FROM adj JOIN n ON n.id = adj.u)"
@@ -25,18 +25,22 @@ SQL = {
     "w02_second_order_step": f"{G}, {BIASED} SELECT walk, c0, c1, min(v) AS c2 FROM y WHERE upto >= @u(concat('second:', walk))@ * total GROUP BY walk, c0, c1",
     "w03_inverse_cdf": f"{G}, {BIASED} SELECT walk, v, round(upto / total, 6) AS upto FROM y",
     "w04_rooted_step": f"{G}, {first_order(2)} SELECT walk, c0, c1, CASE WHEN @u(concat('root:', walk))@ < 0.5 THEN c2 ELSE c0 END AS c2 FROM s2",
-    "w06_walk_batch": f"{G} SELECT id, k, row_number() OVER (PARTITION BY k ORDER BY md5(concat(k, ':', id)), id) AS turn FROM n CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) r",
+    "w06_walk_batch": f"{G}, h AS (SELECT id, k, md5(concat(k, ':', id)) AS h, substr(md5(concat(k, ':', id)), 1, 3) AS cell FROM n CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) t), {ranked('h', 'k, cell', 'x.h, x.id')}, m AS (SELECT k, min(before) AS m FROM cb GROUP BY k) SELECT id, rk.k, cast(r - m AS BIGINT) AS turn FROM rk JOIN m ON m.k = rk.k",
     "w07_walk_contexts": f"{G}, {W5}, {LONG} SELECT a.node, b.k - a.k AS hop, b.node AS context, count(*) AS n FROM pos a JOIN pos b ON b.walk = a.walk AND b.k > a.k AND b.k <= a.k + 3 GROUP BY 1, 2, 3",
     "w08_temporal_walk_step": f"WITH {TIMED} SELECT x.event_id, y.event_id AS following, y.event_type FROM f x JOIN f y ON y.user_id = x.user_id AND y.r = x.r + 1",
     "w09_edge_starts": f"WITH {TIMED}, m AS (SELECT max(t) AS hi, min(t) AS lo FROM f) SELECT event_id FROM f CROSS JOIN m WHERE t >= lo + 0.9 * (hi - lo) AND @u(concat('late:', event_id))@ < 0.25",
     "w11_anonymous_walks": f"{G}, {W5}, {LONG}, fst AS (SELECT walk, node, min(k) AS k0 FROM pos GROUP BY walk, node), rk AS (SELECT walk, node, row_number() OVER (PARTITION BY walk ORDER BY k0) - 1 AS a FROM fst) SELECT pos.walk, pos.k, rk.a FROM pos JOIN rk ON rk.walk = pos.walk AND rk.node = pos.node",
     "w13_walk_type_scores": f"{G}, {W5}, x AS (SELECT c0 AS id, CASE WHEN c2 = c0 THEN 1.0 ELSE 0.0 END AS back, CASE WHEN c3 = c0 THEN 1.0 ELSE 0.0 END AS loop FROM s5), m AS (SELECT avg(back) AS mb, greatest(stddev_pop(back), 0.001) AS sb, avg(loop) AS ml, greatest(stddev_pop(loop), 0.001) AS sl FROM x) SELECT id, round((back - mb) / sb, 5) AS z_back, round((loop - ml) / sl, 5) AS z_loop FROM x CROSS JOIN m",
     "w14_walk_radius": f"{G}, {W5}, {LONG} SELECT walk, cast(floor(2 * 6 / cast(count(DISTINCT node) AS DOUBLE)) AS BIGINT) AS radius FROM pos GROUP BY walk",
-    "w15_negative_samples": f"{G}, o AS (SELECT id, sum(ceil(power(deg, 0.75))) OVER (ORDER BY id) AS upto, sum(ceil(power(deg, 0.75))) OVER () AS total, ceil(power(deg, 0.75)) AS w FROM n), d AS (SELECT id AS i, @u(concat('neg:', id))@ AS x FROM n) SELECT d.i, o.id AS neg FROM d JOIN o ON o.upto > d.x * o.total AND o.upto - o.w <= d.x * o.total WHERE NOT EXISTS (SELECT 1 FROM adj WHERE adj.u = d.i AND adj.v = o.id)",
+    "w15_negative_samples": f"""{G}, o1 AS (SELECT id, cast(floor(id / 4096.0) AS BIGINT) AS cell, ceil(power(deg, 0.75)) AS w FROM n), o2 AS (SELECT cell, sum(w) AS s FROM o1 GROUP BY cell), o3 AS (SELECT cell, sum(s) OVER (ORDER BY cell) - s AS before, sum(s) OVER () AS total FROM o2),
+mw AS (SELECT max(w) AS mw FROM o1), o AS (SELECT o1.id, o1.w, o3.before + sum(w) OVER (PARTITION BY o1.cell ORDER BY o1.id) AS upto FROM o1 JOIN o3 ON o3.cell = o1.cell),
+c AS (SELECT o.id, w, upto, cast(floor((upto - w) / mw) AS BIGINT) + t AS t FROM o CROSS JOIN mw CROSS JOIN (SELECT 0 AS t UNION ALL SELECT 1) s),
+x AS (SELECT id AS i, @u(concat('neg:', id))@ * total AS x, mw FROM n CROSS JOIN (SELECT max(total) AS total FROM o3) t CROSS JOIN mw)
+SELECT x.i, c.id AS neg FROM x JOIN c ON c.t = cast(floor(x.x / x.mw) AS BIGINT) AND c.upto > x.x AND c.upto - c.w <= x.x LEFT JOIN adj ON adj.u = x.i AND adj.v = c.id WHERE adj.u IS NULL""",
     "w17_fixed_size_neighbours": f"{G}, {NB} SELECT n.id, k.k, nb.v FROM n CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) k JOIN nb ON nb.u = n.id AND nb.i = cast(floor(@u(concat('fix:', n.id, ':', k.k))@ * n.deg) AS BIGINT)",
     "w19_cooccurrence": f"{G}, {W5}, {LONG} SELECT least(a.node, b.node) AS x, greatest(a.node, b.node) AS y, count(*) AS n FROM pos a JOIN pos b ON b.walk = a.walk AND b.k > a.k AND b.k <= a.k + 5 GROUP BY 1, 2",
     "f22_edge_visits": f"{G}, {W5}, v AS (" + " UNION ALL ".join(f"SELECT c0 AS id, least(c{k}, c{k + 1}) AS x, greatest(c{k}, c{k + 1}) AS y FROM s5" for k in range(5)) + ") SELECT id, x, y, count(*) AS visits FROM v GROUP BY id, x, y",
 }
-RANKS = {"w06_walk_batch": "turn", "w11_anonymous_walks": "a"}
+RANKS = {"w11_anonymous_walks": "a"}
 QUERIES = {k: query(v, RANKS.get(k)) for k, v in SQL.items()}
 ORACLES = {k: oracle(v) for k, v in SQL.items()}
