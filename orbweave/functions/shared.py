@@ -4,9 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, whose Python workers need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        top = Path(__file__).resolve().parents[1]
+        path = Path(tempfile.mkdtemp(prefix="orbweave-code-")) / f"{top.name}-graph.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for p in sorted(top.rglob("*.py")):
+                z.write(p, p.relative_to(top.parent).as_posix())
+        context.addPyFile(str(path))
+        _shipped.add(context.applicationId)
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path in the folder of spark.checkpoint.dir; a temporary folder is set there only on one machine without it."""

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.functions.shared import written
+from orbweave.functions.shared import ship, written
 
 
 def best_matching(w: np.ndarray) -> float:
@@ -51,6 +51,7 @@ def matched_similarity(spark: SparkSession, adj: DataFrame, rounds: int, beta: f
     Pairs whose ratio of degrees is below theta are not kept and count as alpha times that ratio (iceberg form).
     A group of a pair holds the product of two degrees, so theta > 0 suits graphs with hubs.
     """
+    ship(spark)
     n = adj.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("deg"))
     p, q = n.select(F.col("id").alias("x"), F.col("deg").alias("dx")), n.select(F.col("id").alias("y"), F.col("deg").alias("dy"))
     ratio = F.least("dx", "dy") / F.greatest("dx", "dy")

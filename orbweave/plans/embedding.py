@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from orbweave.functions.dialect import graph, oracle, query
 from orbweave.functions.shared import written
 from orbweave.plans.diffusion import HEAT
-from orbweave.plans.features import REFEX
+from orbweave.plans.iterative import refex_bins
 from orbweave.plans.similarity import CAND, LAYER
 from orbweave.plans.walks import LONG, W5
 
@@ -76,12 +76,12 @@ def projected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def factorised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles of nodes: non-negative factors of the quantised recursive features, by alternating least squares."""
-    r = query(f"{G}, {REFEX} SELECT id, s1, m1, s2, m2 FROM r1")(spark, sf_dir)
-    names = ["s1", "m1", "s2", "m2"]
-    edges = r.agg(*[F.percentile(c, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)])).alias(f"q_{c}") for c in names])
-    wide = r.crossJoin(F.broadcast(edges))
-    bins = [F.struct(F.lit(4 * i).alias("first"), F.expr(f"size(filter(q_{c}, q -> q < {c}))").alias("bin")) for i, c in enumerate(names)]
-    hot = wide.select("id", F.explode(F.array(*bins)).alias("b")).select("id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"), "b").select(F.col("id").cast("int").alias("id"), (F.col("b.first") + F.col("k")).alias("fid"), (F.col("k") == F.col("b.bin")).cast("double").alias("value"))
+    bins = refex_bins(spark, sf_dir)
+    # One row per column name: as many as features were kept.
+    cols = {c: 4 * i for i, c in enumerate(sorted(r["col"] for r in bins.select("col").distinct().collect()))}
+    first = F.element_at(F.create_map(*[F.lit(x) for kv in cols.items() for x in kv]), F.col("col")) if cols else F.lit(0)
+    hot = bins.select(F.col("id").cast("int").alias("id"), first.alias("first"), "bin", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    hot = written(hot.select("id", (F.col("first") + F.col("k")).alias("fid"), (F.col("k") == F.col("bin")).cast("double").alias("value")), spark, "one-hot")
     model = ALS(rank=4, maxIter=10, regParam=0.01, nonnegative=True, userCol="id", itemCol="fid", ratingCol="value", seed=SEED).fit(hot)
     return model.userFactors.select(F.col("id").cast("bigint").alias("id"), *[F.col("features")[i].cast("double").alias(f"role_{i}") for i in range(4)])
 
