@@ -11,11 +11,7 @@ HEAT = f"{NORM}, z AS (SELECT id AS i, id AS j, cast(0.625 AS DOUBLE) AS x FROM
 SQL = {
     "h01_normalised_laplacian": f"{G}, {NORM} SELECT u, v, round(-w, 6) AS x FROM p UNION ALL SELECT id, id, cast(1 AS DOUBLE) FROM n",
     "h02_row_normalised": f"{G} SELECT adj.u, adj.v, round(1 / cast(n.deg AS DOUBLE), 6) AS w FROM adj JOIN n ON n.id = adj.u",
-    "h04_heat": f"{G}, {HEAT} SELECT i, j, round(x + 1e-9, 5) AS x FROM heat CROSS JOIN (SELECT count(*) AS n FROM n) c WHERE x > 1e-4 / c.n",
     "h05_scales": f"{G}, c AS (SELECT count(*) AS n FROM n) SELECT round(-ln(0.95) * sqrt(0.5 * n), 6) AS s_min, round(-ln(0.8) * sqrt(0.5 * n), 6) AS s_max FROM c",
-    "h06_characteristic": f"{G}, {HEAT}, t AS (SELECT 0 AS t UNION ALL SELECT 25 UNION ALL SELECT 50 UNION ALL SELECT 75 UNION ALL SELECT 100), c AS (SELECT count(*) AS n FROM n) SELECT heat.j AS id, t.t, round((max(c.n) - count(*) + sum(cos(t.t * x))) / max(c.n) + 1e-9, 5) AS re, round(sum(sin(t.t * x)) / max(c.n) + 1e-9, 5) AS im FROM heat CROSS JOIN t CROSS JOIN c GROUP BY heat.j, t.t",
-    "h08_entropy": f"{G}, {HEAT} SELECT j AS id, round(-sum(x * ln(x)) + 1e-9, 5) AS entropy, round(var_pop(CASE WHEN i <> j THEN x END) + 1e-9, 5) AS variance FROM heat GROUP BY j",
-    "h09_angle": f"{G}, {HEAT} SELECT j AS id, round(atan(sum(sin(x)) / sum(cos(x))), 5) AS angle FROM heat GROUP BY j",
 }
 QUERIES = {k: query(v) for k, v in SQL.items()}
 ORACLES = {k: oracle(v) for k, v in SQL.items()}

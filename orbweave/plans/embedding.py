@@ -95,8 +95,7 @@ def walk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MOVE = "CASE WHEN @u(concat('stay:', u))@ < 0.3 THEN 1 ELSE 0 END"
 SQL = {
-    "e03_wavelet_signatures": f"{G}, {HEAT}, t AS (SELECT id * 4 AS t FROM @range(25)@), c AS (SELECT count(*) AS n FROM n) SELECT heat.j AS id, t.t, round((max(c.n) - count(*) + sum(cos(t.t * x))) / max(c.n) + 1e-9, 5) AS re, round(sum(sin(t.t * x)) / max(c.n) + 1e-9, 5) AS im FROM heat CROSS JOIN t CROSS JOIN c GROUP BY heat.j, t.t",
-    "h03_chebyshev_coefficients": "SELECT k, s, round(sum(2.0 / 1000 * cos(k * y) * exp(-s * (cos(y) + 1))) + 1e-9, 6) + 0.0 AS c FROM (SELECT k.id AS k, s.id + 19 AS s, 3.141592653589793 * (j.id + 0.5) / 1000 AS y FROM @range(31)@ k CROSS JOIN @range(2)@ s CROSS JOIN @range(1000)@ j) x GROUP BY k, s",
+    "h03_chebyshev_coefficients": "SELECT k, s, round(sum(2.0 / 30 * cos(k * y) * exp(-s * (cos(y) + 1))) * max(CASE WHEN k = 0 THEN 0.5 ELSE 1.0 END) + 1e-9, 6) + 0.0 AS c FROM (SELECT k.id AS k, s.id + 19 AS s, 3.141592653589793 * (j.id + 0.5) / 30 AS y FROM @range(31)@ k CROSS JOIN @range(2)@ s CROSS JOIN @range(30)@ j) x GROUP BY k, s",
     "m22_heat_profiles": f"{G}, {HEAT}, {CAND}, prof AS (SELECT j, row_number() OVER (PARTITION BY j ORDER BY round(x, 9) DESC, i) AS r, x FROM heat) SELECT cand.x, cand.y, round(max(abs(a.x - b.x)) + 1e-9, 5) AS ks, round(sum(abs(a.x - b.x)) + 1e-9, 5) AS area FROM cand JOIN prof a ON a.j = cand.x JOIN prof b ON b.j = cand.y AND b.r = a.r GROUP BY cand.x, cand.y",
     "w05_layer_step": f"{G}, {CAND}, {LAYER}, y AS (SELECT u, v, sum(w) OVER (PARTITION BY u ORDER BY v) AS upto, sum(w) OVER (PARTITION BY u) AS total FROM w WHERE d = 1) SELECT u, min(v) AS following, max({MOVE}) AS climbs FROM y WHERE upto >= @u(concat('layer:', u))@ * total GROUP BY u",
     "w12_anonymous_dictionary": "SELECT 0 AS a0, 1 AS a1, b.id AS a2, c.id AS a3, d.id AS a4 FROM @range(3)@ b JOIN @range(4)@ c ON c.id <> b.id AND c.id <= greatest(1, b.id) + 1 JOIN @range(5)@ d ON d.id <> c.id AND d.id <= greatest(1, b.id, c.id) + 1 WHERE b.id <> 1",
