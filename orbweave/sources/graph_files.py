@@ -32,6 +32,26 @@ def edge_list(spark: SparkSession, path: str, sep: str | None = None, shift: int
     return e if loops else e.where("src <> dst")
 
 
+def rejected_lines(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+    """(reason, n): how many lines of an edge list give no edge, as nodes alone or as malformed."""
+    t = _tokens(spark, path, sep)
+    first, second = F.expr("try_cast(get(t, 0) AS BIGINT)"), F.expr("try_cast(get(t, 1) AS BIGINT)")
+    bad = t.where(first.isNull() | second.isNull())
+    return bad.groupBy(F.when(first.isNotNull() & (F.size("t") == 1), "node alone").otherwise("malformed").alias("reason")).agg(F.count("*").alias("n"))
+
+
+def from_neighbours(spark: SparkSession, neighbours: dict[int, list[int]], directed: bool = False) -> DataFrame:
+    """adj(u, v) of a mapping held by the driver; both directions unless directed, each once."""
+    pairs = {(a, b) for a, bs in neighbours.items() for b in bs}
+    pairs |= set() if directed else {(b, a) for a, b in pairs}
+    return spark.createDataFrame(sorted(pairs), "u BIGINT, v BIGINT")
+
+
+def from_matrix(cells: DataFrame) -> DataFrame:
+    """adj(u, v) of the cells (i, j, s) of a matrix that are not 0."""
+    return cells.where("s <> 0").select(F.col("i").alias("u"), F.col("j").alias("v"))
+
+
 def nodes_of(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     """Every node id of an edge list, those that stand alone on their line too."""
     return _tokens(spark, path, sep).select(F.explode("t").alias("x")).select(F.expr("try_cast(x AS BIGINT)").alias("id")).where("id IS NOT NULL").distinct()
@@ -102,3 +122,20 @@ def write_gephi(edges: DataFrame, nodes: DataFrame, folder: str) -> None:
     """Two CSV folders: edges (Source, Target) and nodes (Id, Label)."""
     edges.select(F.col("src").alias("Source"), F.col("dst").alias("Target")).write.mode("overwrite").option("header", True).csv(f"{folder}/edges")
     nodes.select(F.col("id").alias("Id"), F.col("label").alias("Label")).write.mode("overwrite").option("header", True).csv(f"{folder}/nodes")
+
+
+def write_word2vec(vectors: DataFrame, path: str, dim: int) -> None:
+    """Lines `id v1 .. vd` in ascending id after the line `n d`, over the files of the folder."""
+    n = vectors.count()
+    lines = vectors.select(F.col("id").alias("k"), F.concat_ws(" ", F.col("id").cast("string"), F.array_join(F.col("x").cast("array<string>"), " ")).alias("value"), F.lit(1).alias("o"))
+    head = vectors.sparkSession.createDataFrame([(0, f"{n} {dim}", 0)], "k BIGINT, value STRING, o INT")
+    head.unionByName(lines).orderBy("o", "k").select("value").write.mode("overwrite").text(path)
+
+
+def write_scores(scores: DataFrame, path: str) -> None:
+    """Tab-separated `id score` of centralities, in ascending id."""
+    scores.select("id", "score").orderBy("id").write.mode("overwrite").option("sep", "\t").csv(path)
+
+
+def scores(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("id BIGINT, score DOUBLE").option("sep", "\t").csv(path)
