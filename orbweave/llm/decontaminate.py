@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm.bytetext import ALNUM, U, Words, windows, words
-from orbweave.llm.common import small_batches, stored, table, with_row_id
+from orbweave.llm.common import small_batches, stored, table
 
 HITS = "rid long, doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>"
 
@@ -194,11 +194,24 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, size: int = 10, bl
     return found.select("doc_id", "n_words", hit.alias("n_hit"), spans.alias("spans"), F.col("items").alias("item_ids"))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """docs without the rows that hold an occurrence."""
-    rows = with_row_id(docs, "_orb_row")
-    bad = contaminated_spans(rows.select(F.col("_orb_row").alias("doc_id"), "text"), benchmark, size).where("n_hit > 0").select(F.col("doc_id").alias("_orb_row"))
-    return rows.join(bad.hint("shuffle_hash"), "_orb_row", "left_anti").select(*docs.columns)
+def clean(batches: Iterator[pa.RecordBatch], held: Broadcast) -> Iterator[pa.RecordBatch]:
+    """The rows without an occurrence, as they are."""
+    for batch in batches:
+        keep = np.ones(batch.num_rows, bool)
+        for w in words(batch["text"], ALNUM, True):
+            spans, _ = held.value.search(w, w.hashes())
+            keep[w.lo : w.hi] = [not s for s in spans]
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
+    """docs without the rows that hold an occurrence; each block of items is one pass that passes on what it leaves."""
+    small_batches(docs.sparkSession)
+    out = docs
+    for block in item_blocks(benchmark, block_bytes):
+        held = docs.sparkSession.sparkContext.broadcast(Patterns(block, size))
+        out = out.mapInArrow(partial(clean, held=held), docs.schema)
+    return out
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

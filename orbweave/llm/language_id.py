@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import fold, small_batches, table, with_row_id
+from orbweave.llm.common import fold, small_batches, table
 from orbweave.llm.linear import byte_grams, dual_descent, sample
 
 #: Rows of each language that the bits are fitted on, about.
@@ -73,6 +73,16 @@ class Model:
         return near.argmax(axis=1), order[:, -1], order[:, -1] - (order[:, -2] if near.shape[1] > 1 else 0)
 
 
+    def named(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score and lead of every text; `und`, 0 and 0 without a letter or a learnt language."""
+        names = np.array([*self.languages, "und"], object)
+        letters = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+        if not self.languages:
+            return np.full(len(letters), "und", object), np.zeros(len(letters)), np.zeros(len(letters))
+        best, share, ahead = self.decode(self.margins(column))
+        return names[np.where(letters, best, len(names) - 1)], np.where(letters, share, 0.0), np.where(letters, ahead, 0.0)
+
+
 def grams(column: pa.Array) -> list[np.ndarray]:
     return [x[a:b] for _, _, x, first in byte_grams(column, BITS, K) for a, b in zip(first, first[1:], strict=False)]
 
@@ -106,17 +116,9 @@ def identified(docs: DataFrame, model: Model, lead: float = 0.2) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS numbers a bit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        names = np.array([*m.languages, "und"], object)
         for b in batches:
-            letters = pc.fill_null(pc.match_substring_regex(b["text"], r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            if m.languages:
-                best, share, ahead = m.decode(m.margins(b["text"]))
-            else:
-                best, share, ahead = np.zeros(len(letters), int), np.zeros(len(letters)), np.zeros(len(letters))
-                letters &= False
-            best, share = np.where(letters, best, len(names) - 1), np.where(letters, share, 0.0)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(names[best], pa.string()), pa.array(share), pa.array((ahead < lead) | ~letters)], names=["doc_id", "lang_pred", "score", "ambiguous"])
+            best, share, ahead = held.value.named(b["text"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(best, pa.string()), pa.array(share), pa.array(ahead < lead)], names=["doc_id", "lang_pred", "score", "ambiguous"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
 
@@ -127,10 +129,15 @@ def learnt(docs: DataFrame) -> Model:
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose language can't be told."""
-    rows = with_row_id(docs, "_orb_row")
-    bad = identified(rows.select(F.col("_orb_row").alias("doc_id"), "text"), learnt(docs)).where("lang_pred = 'und'").select(F.col("doc_id").alias("_orb_row"))
-    return rows.join(bad.hint("shuffle_hash"), "_orb_row", "left_anti").select(*docs.columns)
+    """docs without the rows whose language can't be told; rows are judged and passed on in one pass over the texts."""
+    small_batches(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(learnt(docs))  # 2 ** BITS numbers a bit
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(held.value.named(b["text"])[0] != "und", pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -350,7 +350,9 @@ def test_stages_decide_by_row(spark):
     kept = sorted(s for s in got if s[:3] not in ("n-b", "3-d"))
     assert kept == ["1", "2-c", "4-b", "4-c", "5", "n", "n2"] and len(got) == 9 and {s[:3] for s in got} >= {"n-b", "3-d"}
     items = spark.createDataFrame([("x", " ".join(a[5:20]))], "item_id string, text string")
-    assert sorted(r.source for r in decontaminate.decontaminated(docs, items).collect()) == sorted(s for _, t, s in rows if t != a)
+    for size in (4 << 20, 1):
+        assert sorted(r.source for r in decontaminate.decontaminated(docs, items.union(items.limit(0)).union(spark.createDataFrame([("y", "nowhere at all")], items.schema)), block_bytes=size).collect()) == sorted(s for _, t, s in rows if t != a)
+    assert decontaminate.decontaminated(docs, items.limit(0)).count() == len(rows)
     docs = docs.unionByName(spark.createDataFrame([(i, " ".join(t), "en", f"l{i}") for i, t in enumerate((a, b, c, d), 100)], docs.schema)).drop("lang").withColumn("lang", F.when(F.col("doc_id") >= 100, "en"))
     out = language_id.known_language(docs)
     assert out.columns == docs.columns and sorted(r.source for r in out.collect()) == sorted([s for _, t, s in rows if t] + ["l100", "l101", "l102", "l103"])
