@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import fold, small_batches, table
+from orbweave.llm.common import fold, release, small_batches, table
 from orbweave.llm.linear import byte_grams, dual_descent, sample
 
 #: Rows of each language that the bits are fitted on, about.
@@ -132,6 +132,7 @@ def known_language(docs: DataFrame) -> DataFrame:
     """docs without the rows whose language can't be told; rows are judged and passed on in one pass over the texts."""
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(learnt(docs))  # 2 ** BITS numbers a bit
+    release(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

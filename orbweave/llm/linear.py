@@ -71,6 +71,7 @@ def sample(docs: DataFrame | None, labelled: DataFrame, label: str, most: int, e
     The texts are those of docs(doc_id, text) with the same doc_id, or, without docs, those of labelled's own rows.
     A row is in if the hash of its doc_id is below the label's share, so that reruns agree and the sample is bounded;
     only its ids meet the texts. Null texts and labels are left out.
+    Without docs, rows that repeat teach each; partitions reach the driver one by one.
     """
     own = [F.col("text")] if docs is None else []
     rows = labelled.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("string").alias("label"), *own)
@@ -78,10 +79,10 @@ def sample(docs: DataFrame | None, labelled: DataFrame, label: str, most: int, e
     if not counts:
         return [], []
     share = F.create_map(*[F.lit(v) for k, n in sorted(counts.items()) for v in (k, int(min(1.0, most / n) * 2**31))])
-    rows = rows.withColumn("o", F.xxhash64("doc_id", F.lit(5))).where(F.pmod("o", F.lit(2**31)) < share[F.col("label")]).distinct()
+    rows = rows.withColumn("o", F.xxhash64("doc_id", F.lit(5))).where(F.pmod("o", F.lit(2**31)) < share[F.col("label")])
     if docs is not None:
         texts = docs.select(F.col("doc_id").alias("id"), "text")
-        rows = texts.join(F.broadcast(rows), F.col("id") == F.col("doc_id"))  # about `most` ids a label
+        rows = texts.join(F.broadcast(rows.distinct()), F.col("id") == F.col("doc_id"))  # about `most` ids a label
     rows = rows.where("text IS NOT NULL")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

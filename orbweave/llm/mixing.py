@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import stored, table, with_row_id
+from orbweave.llm.common import release, stored, table, with_row_id
 
 WEIGHTS = (5, 2, 1)
 #: Tokens of a slot at most, where slots need not be more than MOST; slots at least, where there are as many tokens.
@@ -136,10 +136,12 @@ def mixture(docs: DataFrame, **parameters) -> DataFrame:
     turn of its source's stream in which tokens of it are taken, at the slot that takes the first of them; a row that is
     not taken goes. A row that the end of a source's slots cuts stands whole.
     """
+    release(docs.sparkSession)
     rows = with_row_id(docs, "_orb_row")
     _, spans, n = mixed_spans(rows.select("_orb_row", "doc_id", "text", "source"), F.col("_orb_row"), **parameters)
     places = spans.groupBy(F.col("rid").alias("_orb_row"), F.col("turn").alias("_orb_turn")).agg(F.min("slot").alias("_orb_slot"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    release(docs.sparkSession)
     out = rows.join(places.hint("shuffle_hash"), "_orb_row")
     out = out.repartitionById(parts, F.least(F.floor(F.col("_orb_slot") * parts / max(n, 1)), F.lit(parts - 1)).cast("int"))
     return out.sortWithinPartitions("_orb_slot", "_orb_row", "_orb_turn").select(*docs.columns)

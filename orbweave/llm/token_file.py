@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import fresh_dir, small_batches, stored, table
+from orbweave.llm.common import fresh_dir, release, small_batches, stored, table
 from orbweave.llm.shards import boundaries, dealt
 
 # Fixed values of the public zstd seekable format.
@@ -298,6 +298,7 @@ def tokens_written(docs: DataFrame, path: str, uri: str | None = None, end: int
     """Encode docs(doc_id, text), write the shards to the folder uri, and return their manifest with `start`."""
     spark = docs.sparkSession
     small_batches(spark, 2048, 4)
+    release(spark)
     uri = uri or fresh_dir(spark, "tokens")
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     firsts = boundaries(rows.select(F.col("doc_id").alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n")))
