@@ -12,8 +12,21 @@ SHAPES = {
     "tree": ("cast(floor((i - 1) / 2.0) AS BIGINT)", "i", "i BETWEEN 1 AND {n} - 1", "cast(floor(ln(i + 1) / ln(2) + 1e-9) AS BIGINT)"),
 }
 #: The edges and roles of the shapes of a constant size.
-DIAMOND = ([(0, 1), (1, 2), (2, 3), (3, 0), (0, 4), (1, 4), (2, 4), (3, 4), (0, 5), (1, 5), (2, 5), (3, 5)], [0, 0, 0, 0, 1, 1])
-HOUSE = ([(0, 1), (1, 2), (2, 3), (3, 0), (0, 4), (1, 4)], [1, 1, 0, 0, 2])
+DIAMOND = ([(0, 1), (1, 2), (2, 3), (3, 0), (0, 4), (1, 4), (2, 4), (3, 4), (0, 5), (1, 5), (2, 5), (3, 5)], [0] * 6)
+HOUSE = ([(0, 1), (1, 2), (2, 3), (3, 0), (0, 2), (1, 3), (0, 4), (1, 4)], [0, 0, 1, 1, 2])
+HOLLOW = (
+    [(0, 1), (1, 2), (2, 3), (3, 4), (4, 0)]
+    + [(5, 6), (6, 7), (7, 8), (8, 9), (9, 10), (10, 11), (11, 12), (12, 13), (13, 14), (14, 5)]
+    + [(0, 5), (1, 7), (2, 9), (3, 11), (4, 13), (0, 6), (1, 6), (1, 8), (2, 8), (2, 10), (3, 10), (3, 12), (4, 12), (4, 14), (0, 14)],
+    [0] * 15,
+)
+#: The friendships of Zachary's karate club, members by the smaller neighbour, as far as there are any.
+KARATE = {
+    0: (1, 2, 3, 4, 5, 6, 7, 8, 10, 11, 12, 13, 17, 19, 21, 31), 1: (2, 3, 7, 13, 17, 19, 21, 30), 2: (3, 7, 8, 9, 13, 27, 28, 32),
+    3: (7, 12, 13), 4: (6, 10), 5: (6, 10, 16), 6: (16,), 8: (30, 32, 33), 9: (33,), 13: (33,), 14: (32, 33), 15: (32, 33),
+    18: (32, 33), 19: (33,), 20: (32, 33), 22: (32, 33), 23: (25, 27, 29, 32, 33), 24: (25, 27, 31), 25: (31,), 26: (29, 33),
+    27: (33,), 28: (31, 33), 29: (32, 33), 30: (32, 33), 31: (32, 33), 32: (33,),
+}
 
 
 def shape_edges(kind: str, n: int, start: int = 0) -> str:
@@ -31,6 +44,40 @@ def fixed_edges(shape: tuple[list[tuple[int, int]], list[int]], start: int = 0)
     return " UNION ALL ".join(f"SELECT cast({a + start} AS BIGINT) AS src, cast({b + start} AS BIGINT) AS dst" for a, b in shape[0])
 
 
+def fixed_roles(shape: tuple[list[tuple[int, int]], list[int]], start: int = 0) -> str:
+    return " UNION ALL ".join(f"SELECT cast({i + start} AS BIGINT) AS id, cast({r} AS BIGINT) AS role" for i, r in enumerate(shape[1]))
+
+
+def fan(branches: int, start: int = 0) -> str:
+    """A star whose neighbouring branches are joined, but for the last branch."""
+    chain = f"SELECT id + {start} AS src, id + {start + 1} AS dst FROM @range({branches - 1})@ WHERE id >= 1"
+    return f"{shape_edges('star', branches + 1, start)} UNION ALL {chain}"
+
+
+def fan_roles(branches: int, start: int = 0) -> str:
+    """The hub is 0, a branch 1 and one more for each joined neighbour."""
+    role = f"CASE WHEN id = 0 THEN 0 ELSE 1 + CASE WHEN id BETWEEN 2 AND {branches - 1} THEN 1 ELSE 0 END + CASE WHEN id <= {branches - 2} THEN 1 ELSE 0 END END"
+    return f"SELECT id + {start} AS id, cast({role} AS BIGINT) AS role FROM @range({branches + 1})@"
+
+
+def cavemen(cliques: int, size: int) -> str:
+    """A ring of cliques of `size` nodes; the last node of each meets the first of the next."""
+    inside = f"SELECT c.id * {size} + a.id AS src, c.id * {size} + b.id AS dst FROM @range({cliques})@ c CROSS JOIN @range({size})@ a JOIN @range({size})@ b ON b.id > a.id"
+    ring = f"SELECT id * {size} + {size - 1} AS src, ((id + 1) % {cliques}) * {size} AS dst FROM @range({cliques})@"
+    return f"{inside} UNION ALL {ring}"
+
+
+def cavemen_roles(cliques: int, size: int) -> str:
+    """1 for the nodes that meet another clique."""
+    return f"SELECT id, cast(CASE WHEN id % {size} IN (0, {size - 1}) THEN 1 ELSE 0 END AS BIGINT) AS role FROM @range({cliques * size})@"
+
+
+def mirrored_karate() -> str:
+    """Two copies of the club of 34 members and one edge between them."""
+    own = [(a, b) for a, later in KARATE.items() for b in later]
+    return fixed_edges((own + [(a + 34, b + 34) for a, b in own] + [(0, 36)], []))
+
+
 def clique(n: int, start: int = 0, dropped: int = 0) -> str:
     """All pairs of n nodes but the first `dropped` of them by hash."""
     pairs = f"SELECT a.id + {start} AS src, b.id + {start} AS dst, row_number() OVER (ORDER BY md5(concat('clique:', a.id, ':', b.id)), a.id, b.id) AS k FROM @range({n})@ a JOIN @range({n})@ b ON b.id > a.id"
@@ -106,6 +153,14 @@ SQL = {
     "g02_clique": clique(12, dropped=4),
     "g02_diamond": fixed_edges(DIAMOND),
     "g02_house": fixed_edges(HOUSE),
+    "g02_house_roles": fixed_roles(HOUSE),
+    "g02_fan": fan(20),
+    "g02_fan_roles": fan_roles(20),
+    "g02_hollow": fixed_edges(HOLLOW),
+    "g02_cavemen": cavemen(6, 5),
+    "g02_cavemen_roles": cavemen_roles(6, 5),
+    "g02_mirrored_karate": mirrored_karate(),
+    "g02_mirrored_karate_roles": "SELECT id, id % 34 AS role FROM @range(68)@",
     "g03_structure_edges": composed(24, ["star", "tree", "string"], 7),
     "g03_structure_roles": composed_roles(24, ["star", "tree", "string"], 7),
     "g04_bricks": bricks(["star", "cycle", "tree"], 7),
