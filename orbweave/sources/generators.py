@@ -7,9 +7,9 @@ from orbweave.functions.dialect import oracle, query
 #: Shapes as (nodes, edges (a, b) as functions of id i, condition on i, role of node i) for a size n.
 SHAPES = {
     "cycle": ("i", "(i + 1) % {n}", "i < {n}", "0"),
-    "string": ("i", "i + 1", "i < {n} - 1", "least(i, {n} - 1 - i)"),
+    "string": ("i", "i + 1", "i < {n} - 1", "CASE WHEN i IN (0, {n} - 1) THEN 1 ELSE 0 END"),
     "star": ("0", "i", "i BETWEEN 1 AND {n} - 1", "least(i, 1)"),
-    "tree": ("cast(floor((i - 1) / 2.0) AS BIGINT)", "i", "i BETWEEN 1 AND {n} - 1", "cast(floor(ln(i + 1) / ln(2) + 1e-9) AS BIGINT)"),
+    "tree": ("cast(floor((i - 1) / 2.0) AS BIGINT)", "i", "i BETWEEN 1 AND {n} - 1", "CASE WHEN i = 0 THEN 0 WHEN 2 * i + 1 < {n} THEN 1 ELSE 2 END"),
 }
 #: The edges and roles of the shapes of a constant size.
 DIAMOND = ([(0, 1), (1, 2), (2, 3), (3, 0), (0, 4), (1, 4), (2, 4), (3, 4), (0, 5), (1, 5), (2, 5), (3, 5)], [0] * 6)
@@ -153,6 +153,9 @@ SQL = {
     "g02_clique": clique(12, dropped=4),
     "g02_diamond": fixed_edges(DIAMOND),
     "g02_house": fixed_edges(HOUSE),
+    "g02_star_roles": shape_roles("star", 20),
+    "g02_string_roles": shape_roles("string", 20),
+    "g02_tree_roles": shape_roles("tree", 31),
     "g02_house_roles": fixed_roles(HOUSE),
     "g02_fan": fan(20),
     "g02_fan_roles": fan_roles(20),

@@ -25,6 +25,13 @@ def test_fan(spark):
     assert roles(spark, "g02_fan_roles") == want
 
 
+def test_roles_of_stars_strings_and_trees(spark):
+    """Hub and branches; ends and what is between; root, inner nodes and leaves."""
+    assert roles(spark, "g02_star_roles") == [0] + [1] * 19
+    assert roles(spark, "g02_string_roles") == [1] + [0] * 18 + [1]
+    assert roles(spark, "g02_tree_roles") == [0] + [1] * 14 + [2] * 16
+
+
 def test_house_and_hollow(spark):
     house = edges(spark, "g02_house")
     degree = Counter(x for e in house for x in e)
