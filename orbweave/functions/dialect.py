@@ -61,9 +61,9 @@ _views: dict[tuple[str, str], str] = {}
 
 
 def parts(sql: str) -> tuple[list[tuple[str, str]], str]:
-    """The common table expressions of a text (name, body), in order, and the statement after them."""
+    """The common table expressions of a text (name, body), in order, and the statement after them; recursive ones stay in the statement."""
     out, at = [], 0
-    if not (m := re.match(r"\s*WITH\s+", sql)):
+    if not (m := re.match(r"\s*WITH\s+(?!RECURSIVE\b)", sql)):
         return out, sql
     at = m.end()
     while m := re.compile(r"(\w+) AS \(").match(sql, at):
