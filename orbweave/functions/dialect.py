@@ -56,7 +56,7 @@ def graph() -> str:
 
 
 #: Common table expressions that Spark writes once per session and folder; all later users read the Parquet files.
-KEPT = {"e", "adj", "n", "t3", "ego", "nb", "s5", "pos", "hop", "cand", "heat", "w1", "w2", "d"}
+KEPT = {"e", "adj", "n", "t3", "ego", "nb", "s5", "pos", "hop", "cand", "heat", "w1", "w2", "d", "ee", "orb", "hw", "l1", "l2", "l3", "l4"}
 _views: dict[tuple[str, str], str] = {}
 
 
@@ -120,4 +120,11 @@ def query(sql: str, ranks: str | None = None) -> Callable[[SparkSession, str], D
 
 
 def oracle(sql: str) -> str:
-    return written(sql, _ORACLE)
+    """The oracle's text, in which shared parts are computed once as well."""
+    text = written(sql, _ORACLE)
+    if "MATERIALIZED" in text:
+        return text
+    ctes, rest = parts(text)
+    if not ctes:
+        return rest
+    return "WITH " + ", ".join(f"{n} AS {'MATERIALIZED ' * (n in KEPT)}({b})" for n, b in ctes) + " " + rest

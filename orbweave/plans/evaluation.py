@@ -16,7 +16,8 @@ a AS (SELECT p, g.q, gb.above + sum(g.q) OVER (PARTITION BY g.cell ORDER BY d DE
     "v04_k_precision": f"WITH {KNN} SELECT ql AS label, round(avg(p), 6) AS k_precision FROM (SELECT q, ql, avg(CASE WHEN ql = bl THEN 1.0 ELSE 0.0 END) AS p FROM r WHERE k <= 5 GROUP BY q, ql) t GROUP BY ql",
     "v05_k_precision_grid": f"WITH {KNN}, g AS (SELECT 5 AS top UNION ALL SELECT 10 UNION ALL SELECT 25 UNION ALL SELECT 50 UNION ALL SELECT 100) SELECT top, round(avg(CASE WHEN ql = bl THEN 1.0 ELSE 0.0 END), 6) AS k_precision FROM r JOIN g ON r.k <= g.top GROUP BY top",
     "v08_knn_vote": f"WITH {KNN}, c AS (SELECT q, ql, bl, count(*) AS n FROM r WHERE k <= 3 GROUP BY q, ql, bl), b AS (SELECT q, ql, bl, row_number() OVER (PARTITION BY q ORDER BY n DESC, bl) AS k FROM c) SELECT q, ql AS label, bl AS predicted FROM b WHERE k = 1",
-    "v10_density": f"WITH {X}, o AS (SELECT k, avg(x) AS m FROM x GROUP BY k), wi AS (SELECT sum((x.x - c.m) * (x.x - c.m)) AS s FROM x JOIN c ON c.label = x.label AND c.k = x.k), be AS (SELECT sum((c.m - o.m) * (c.m - o.m)) AS s FROM x JOIN c ON c.label = x.label AND c.k = x.k JOIN o ON o.k = x.k), z AS (SELECT count(*) AS n, count(DISTINCT label) AS g FROM embeddings) SELECT round(wi.s / (z.n - z.g), 4) AS within, round(be.s / (z.g - 1), 4) AS between_groups FROM wi CROSS JOIN be CROSS JOIN z",
+    "v08_ten_folds": f"WITH {KNN}, t AS (SELECT 0 AS turn UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4), fo AS (SELECT vec_id, turn, cast(floor(10 * @u(concat('fold:', turn, ':', vec_id))@) AS BIGINT) AS fold FROM embeddings CROSS JOIN t), o AS (SELECT r.q, ql, bl, f.turn, f.fold, row_number() OVER (PARTITION BY r.q, f.turn ORDER BY r.k) AS k FROM r JOIN fo f ON f.vec_id = r.q JOIN fo g ON g.vec_id = r.b AND g.turn = f.turn WHERE g.fold <> f.fold), c AS (SELECT turn, fold, q, ql, bl, count(*) AS n FROM o WHERE k <= 3 GROUP BY turn, fold, q, ql, bl), b AS (SELECT turn, fold, CASE WHEN ql = bl THEN 1.0 ELSE 0.0 END AS hit, row_number() OVER (PARTITION BY turn, q ORDER BY n DESC, bl) AS k FROM c), s AS (SELECT turn, fold, avg(hit) AS hit FROM b WHERE k = 1 GROUP BY turn, fold) SELECT turn, count(*) AS folds, round(avg(hit), 6) AS accuracy, round(stddev_samp(hit), 6) AS deviation FROM s GROUP BY turn",
+    "v10_density": f"WITH {X}, o AS (SELECT k, avg(x) AS m FROM x GROUP BY k), wi AS (SELECT sum((x.x - c.m) * (x.x - c.m)) AS s FROM x JOIN c ON c.label = x.label AND c.k = x.k), be AS (SELECT sum((c.m - o.m) * (c.m - o.m)) AS s FROM x JOIN c ON c.label = x.label AND c.k = x.k JOIN o ON o.k = x.k), z AS (SELECT count(*) AS n, count(DISTINCT label) AS g FROM embeddings) SELECT round(wi.s / (z.n - z.g), 4) AS within, round(be.s / (z.g - 1), 4) AS between_groups, round((be.s / (z.g - 1)) / (wi.s / (z.n - z.g)), 4) AS f, z.g - 1 AS free_between, z.n - z.g AS free_within FROM wi CROSS JOIN be CROSS JOIN z",
     "v11_purity": f"WITH {KNN} SELECT q, k, round(avg(CASE WHEN ql = bl THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY q ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS purity FROM r WHERE k <= 20",
     "v14_squared_error": f"WITH {X} SELECT x.label, round(avg((x.x - c.m) * (x.x - c.m)), 6) AS mse FROM x JOIN c ON c.label = x.label AND c.k = x.k GROUP BY x.label",
     "e08_sign_sketch": f"WITH {X}, b AS (SELECT 0 AS bit UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7) SELECT vec_id, bit, (sign(y) * least(floor(abs(y)), 1) + 1) / 2.0 AS value FROM (SELECT vec_id, bit, sum(CASE WHEN @u(concat('bit:', bit, ':', k))@ < 0.5 THEN -x ELSE x END) AS y FROM x CROSS JOIN b GROUP BY vec_id, bit) t",

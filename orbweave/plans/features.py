@@ -28,6 +28,18 @@ def powers(k: int) -> str:
     return "x0 AS (SELECT id, cast(1 AS DOUBLE) AS x FROM n), " + ", ".join(f"x{i} AS (SELECT adj.u AS id, sum(x{i - 1}.x) AS x FROM adj JOIN x{i - 1} ON x{i - 1}.id = adj.v GROUP BY adj.u)" for i in range(1, k + 1))
 
 
+
+def propagated() -> str:
+    """Seven egonet features F, (A + I) F and D^-1 (A + I) F, each divided by the column's maximum."""
+    cols = ("deg", "t", "inside", "overall", "inside_ratio", "outside_ratio", "clustering")
+    base = "SELECT id, deg, t, inside, overall, inside / cast(overall AS DOUBLE) AS inside_ratio, (overall - inside) / cast(overall AS DOUBLE) AS outside_ratio, CASE WHEN deg < 2 THEN 0.0 ELSE 2.0 * t / (deg * (deg - 1)) END AS clustering FROM ego"
+    sums = ", ".join(f"max(o.{c}) AS a_{c}, cast(max(o.{c}) + sum(b.{c}) AS DOUBLE) AS s_{c}, cast(max(o.{c}) + sum(b.{c}) AS DOUBLE) / max(o.deg) AS m_{c}" for c in cols)
+    names = [f"{k}_{c}" for k in "asm" for c in cols]
+    most = ", ".join(f"max({c}) AS x_{c}" for c in names)
+    out = ", ".join(f"round(coalesce({c} / nullif(cast(x_{c} AS DOUBLE), 0), 0) + 1e-9, 5) AS {c}" for c in names)
+    return f"{G}, {EGO}, fb AS ({base}), fs AS (SELECT o.id, {sums} FROM fb o JOIN adj ON adj.u = o.id JOIN fb b ON b.id = adj.v GROUP BY o.id), fm AS (SELECT {most} FROM fs) SELECT id, {out} FROM fs CROSS JOIN fm"
+
+
 SQL = {
     "f01_degree": f"{G} SELECT id, deg FROM n",
     "f02_egonet_features": f"{G}, {EGO} {EGO_OUT}",
@@ -36,15 +48,7 @@ SQL = {
     "f05_recursive_round": f"{G}, {REFEX} SELECT id, s1, round(m1, 6) AS m1, s2, round(m2, 6) AS m2 FROM r1",
     "f06_pruning_correlations": f"{G}, {REFEX} SELECT round(corr(ego.deg, s1), 6) AS deg_s1, round(corr(ego.deg, m1), 6) AS deg_m1, round(corr(ego.inside, s2), 6) AS inside_s2, round(corr(ego.inside, m2), 6) AS inside_m2 FROM r1 JOIN ego ON ego.id = r1.id",
     "f07_binarised": f"{G}, {REFEX}, q AS (SELECT {BINS.format('s1')} FROM r1) SELECT id, CASE WHEN s1 <= a THEN 1 ELSE 0 END AS b0, CASE WHEN s1 > a AND s1 <= b THEN 1 ELSE 0 END AS b1, CASE WHEN s1 > b AND s1 <= c THEN 1 ELSE 0 END AS b2, CASE WHEN s1 > c THEN 1 ELSE 0 END AS b3 FROM r1 CROSS JOIN q WHERE lo < a AND a < b AND b < c AND c < hi",
-    "f08_propagated": f"{G}, f AS (SELECT adj.u AS id, n.deg + sum(b.deg) AS s, n.deg FROM adj JOIN n ON n.id = adj.u JOIN n b ON b.id = adj.v GROUP BY adj.u, n.deg), m AS (SELECT max(deg) AS d, max(s) AS s, max(s / cast(deg AS DOUBLE)) AS r FROM f) SELECT id, round(deg / cast(m.d AS DOUBLE), 6) AS own, round(f.s / cast(m.s AS DOUBLE), 6) AS total, round((f.s / cast(deg AS DOUBLE)) / m.r, 6) AS mean FROM f CROSS JOIN m",
-    "f09_motif_orbits": f"""{G}, {TRI}, s AS (SELECT adj.u AS id, cast(sum(b.deg - 1) AS BIGINT) AS w FROM adj JOIN n b ON b.id = adj.v GROUP BY adj.u),
-p AS (SELECT a.v AS x, b.v AS y, count(*) AS c FROM adj a JOIN adj b ON a.u = b.u WHERE a.v <> b.v GROUP BY a.v, b.v), q AS (SELECT x AS id, sum(c * (c - 1) / 2) AS cyc FROM p GROUP BY x),
-k4 AS (SELECT t.x, t.y, t.z, a.dst AS w FROM t3 t JOIN e a ON a.src = t.z JOIN e b ON b.src = t.x AND b.dst = a.dst JOIN e c ON c.src = t.y AND c.dst = a.dst),
-k AS (SELECT id, count(*) AS k4 FROM (SELECT x AS id FROM k4 UNION ALL SELECT y FROM k4 UNION ALL SELECT z FROM k4 UNION ALL SELECT w FROM k4) t GROUP BY id)
-SELECT n.id, deg AS edge, cast(w - 2 * coalesce(t, 0) AS BIGINT) AS path_end, cast(deg * (deg - 1) / 2 - coalesce(t, 0) AS BIGINT) AS path_middle, coalesce(t, 0) AS triangle, cast(coalesce(cyc, 0) AS BIGINT) AS four_cycles, coalesce(k4, 0) AS four_cliques, cast(deg * (deg - 1) * (deg - 2) / 6 AS BIGINT) AS stars
-FROM n JOIN s ON s.id = n.id LEFT JOIN tri ON tri.id = n.id LEFT JOIN q ON q.id = n.id LEFT JOIN k ON k.id = n.id""",
-    "f10_motif_labels": f"{G}, x AS (SELECT id, ln(deg + 1) AS x FROM n), q AS (SELECT {BINS.format('x')} FROM x) SELECT id, 0 * 5 + (CASE WHEN a > lo AND x > a THEN 1 ELSE 0 END) + (CASE WHEN b > a AND x > b THEN 1 ELSE 0 END) + (CASE WHEN c > b AND x > c THEN 1 ELSE 0 END) AS token FROM x CROSS JOIN q",
-    "f11_joined_labels": f"{G}, {TRI} SELECT n.id, concat('0:', deg, '_1:', coalesce(t, 0)) AS label FROM n LEFT JOIN tri ON tri.id = n.id",
+    "f08_propagated": propagated(),
     "f12_wl_labels": f"{G}, {WL0}, {wl(1)}, {wl(2)} SELECT w0.id, w0.l AS l0, w1.l AS l1, w2.l AS l2 FROM w0 JOIN w1 ON w1.id = w0.id JOIN w2 ON w2.id = w0.id",
     "f13_degree_label": f"{G} SELECT id, cast(deg AS VARCHAR(20)) AS label FROM n",
     "f14_layer_degrees": f"{G}, {BFS} SELECT root, d, count(*) AS size, cast(sum(deg) AS BIGINT) AS total, max(deg) AS most FROM hop JOIN n ON n.id = node GROUP BY root, d",

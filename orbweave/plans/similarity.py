@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from orbweave.functions.dialect import graph, oracle, query, ranked
-from orbweave.plans.features import BFS, WL0, wl
+from orbweave.plans.features import BFS
 
 G = graph()
 #: Candidate pairs: each node with the 2 log2(n) nodes after it in the order of degrees, so that a node has as many on
@@ -27,7 +27,6 @@ SQL = {
     "m14_layer_weights": f"{G}, {CAND}, {LAYER} SELECT d, u, v, round(w / sum(w) OVER (PARTITION BY d, u) + 1e-9, 5) AS p FROM w",
     "m15_layer_gamma": f"{G}, {CAND}, {LAYER}, a AS (SELECT d, avg(w) AS m FROM w GROUP BY d) SELECT w.d, w.u, count(CASE WHEN w.w > a.m + 1e-9 THEN 1 END) AS gamma FROM w JOIN a ON a.d = w.d GROUP BY w.d, w.u",
     "m17_shortest_path_kernel": f"{G}, {CAND}, {BFS}, h AS (SELECT root, d, count(*) AS c FROM hop GROUP BY root, d), k AS (SELECT x, y, sum(p.c * q.c) AS xy FROM cand JOIN h p ON p.root = x JOIN h q ON q.root = y AND q.d = p.d GROUP BY x, y), s AS (SELECT root, sum(c * c) AS k FROM h GROUP BY root) SELECT x, y, round(xy / sqrt(cast(a.k AS DOUBLE) * b.k), 6) AS kernel FROM k JOIN s a ON a.root = x JOIN s b ON b.root = y",
-    "m18_wl_kernel": f"{G}, {CAND}, {WL0}, {wl(1)}, l AS (SELECT adj.u AS root, w1.l, count(*) AS c FROM adj JOIN w1 ON w1.id = adj.v GROUP BY adj.u, w1.l) SELECT x, y, cast(sum(p.c * q.c) AS BIGINT) AS kernel FROM cand JOIN l p ON p.root = x JOIN l q ON q.root = y AND q.l = p.l GROUP BY x, y",
     "m20_normalised_kernel": f"{G}, c AS (SELECT a.v AS x, b.v AS y, count(*) AS c FROM adj a JOIN adj b ON a.u = b.u GROUP BY a.v, b.v) SELECT c.x, c.y, round(coalesce(c.c / nullif(sqrt(cast(p.deg AS DOUBLE) * q.deg), 0), 0), 6) AS k FROM c JOIN n p ON p.id = c.x JOIN n q ON q.id = c.y WHERE c.x < c.y",
     "m21_vector_distance": "SELECT a.vec_id AS x, b.vec_id AS y, round(sqrt(@sq_dist(a.embedding, b.embedding)@), 4) AS d FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id",
     "f17_second_order_similarity": f"{G}, c AS (SELECT a.v AS x, b.v AS y, count(*) AS c FROM adj a JOIN adj b ON a.u = b.u WHERE a.v < b.v GROUP BY a.v, b.v) SELECT x, y, round(c / cast(p.deg + q.deg - c AS DOUBLE), 6) AS s FROM c JOIN n p ON p.id = x JOIN n q ON q.id = y",

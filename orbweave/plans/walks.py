@@ -19,10 +19,23 @@ def first_order(steps: int) -> str:
 W5 = first_order(5)
 LONG = "pos AS (" + " UNION ALL ".join(f"SELECT walk, {k} AS k, c{k} AS node FROM s5" for k in range(6)) + ")"
 BIASED = f"{first_order(1)}, x AS (SELECT s.walk, s.c0, s.c1, nb.v, CASE WHEN nb.v = s.c0 THEN 0.25 WHEN c.u IS NOT NULL THEN 1.0 ELSE 4.0 END AS w FROM s1 s JOIN nb ON nb.u = s.c1 LEFT JOIN adj c ON c.u = s.c0 AND c.v = nb.v), y AS (SELECT walk, c0, c1, v, sum(w) OVER (PARTITION BY walk ORDER BY v) AS upto, sum(w) OVER (PARTITION BY walk) AS total FROM x)"
+
+
+def second_order(steps: int) -> str:
+    """z2 .. z{steps}: walks whose next node weighs 1/4 where it is the one before, 1 where it is next to that, 4 otherwise."""
+    out = [first_order(1), "z1 AS (SELECT walk, c0, c1 FROM s1)"]
+    for k in range(2, steps + 1):
+        cols = ", ".join(f"c{j}" for j in range(k))
+        out.append(f"x{k} AS (SELECT s.*, nb.v, CASE WHEN nb.v = s.c{k - 2} THEN 0.25 WHEN c.u IS NOT NULL THEN 1.0 ELSE 4.0 END AS w FROM z{k - 1} s JOIN nb ON nb.u = s.c{k - 1} LEFT JOIN adj c ON c.u = s.c{k - 2} AND c.v = nb.v)")
+        out.append(f"y{k} AS (SELECT walk, {cols}, v, sum(w) OVER (PARTITION BY walk ORDER BY v) AS upto, sum(w) OVER (PARTITION BY walk) AS total FROM x{k})")
+        out.append(f"z{k} AS (SELECT walk, {cols}, min(v) AS c{k} FROM y{k} WHERE upto >= @u(concat('second:', walk, ':{k}'))@ * total GROUP BY walk, {cols})")
+    return ", ".join(out)
+
+
 TIMED = "a AS (SELECT user_id, event_type, event_id, ts, @epoch(ts)@ AS t FROM events), f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM a)"
 SQL = {
     "w01_first_order_walks": f"{G}, {W5} SELECT walk, c0, c1, c2, c3, c4, c5 FROM s5",
-    "w02_second_order_step": f"{G}, {BIASED} SELECT walk, c0, c1, min(v) AS c2 FROM y WHERE upto >= @u(concat('second:', walk))@ * total GROUP BY walk, c0, c1",
+    "w02_second_order_walks": f"{G}, {second_order(10)} SELECT * FROM z10",
     "w03_inverse_cdf": f"{G}, {BIASED} SELECT walk, v, round(upto / total, 6) AS upto FROM y",
     "w04_rooted_step": f"{G}, {first_order(2)} SELECT walk, c0, c1, CASE WHEN @u(concat('root:', walk))@ < 0.5 THEN c2 ELSE c0 END AS c2 FROM s2",
     "w06_walk_batch": f"{G}, h AS (SELECT id, k, md5(concat(k, ':', id)) AS h, substr(md5(concat(k, ':', id)), 1, 3) AS cell FROM n CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) t), {ranked('h', 'k, cell', 'x.h, x.id')}, m AS (SELECT k, min(before) AS m FROM cb GROUP BY k) SELECT id, rk.k, cast(r - m AS BIGINT) AS turn FROM rk JOIN m ON m.k = rk.k",

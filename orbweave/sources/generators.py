@@ -110,11 +110,14 @@ def preferential(n: int, m: int) -> str:
     )
 
 
-def random_regular(n: int, d: int) -> str:
-    """Union of d / 2 random cycles, and for an odd d one perfect matching of an even n; repeats vanish."""
-    order = f"o AS (SELECT c.id AS c, a.id, row_number() OVER (PARTITION BY c.id ORDER BY md5(concat(c.id, ':rr:', a.id)), a.id) - 1 AS r FROM @range({n})@ a CROSS JOIN @range({(d + 1) // 2})@ c)"
-    step = f"a.c = b.c AND b.r = (a.r + 1) % {n}" + (f" AND (a.c < {d // 2} OR a.r % 2 = 0)" if d % 2 else "")
-    return f"WITH {order} SELECT DISTINCT least(a.id, b.id) AS src, greatest(a.id, b.id) AS dst FROM o a JOIN o b ON {step}"
+def random_regular(n: int, d: int, tries: int = 32) -> str:
+    """d / 2 random cycles, and for an odd d one perfect matching of an even n: the first of `tries` draws in which no
+    edge repeats, so that every node has d neighbours (for d = 3 a draw succeeds with probability 1 / e)."""
+    order = f"o AS (SELECT t.id AS t, c.id AS c, a.id, row_number() OVER (PARTITION BY t.id, c.id ORDER BY md5(concat(t.id, ':', c.id, ':rr:', a.id)), a.id) - 1 AS r FROM @range({n})@ a CROSS JOIN @range({(d + 1) // 2})@ c CROSS JOIN @range({tries})@ t)"
+    step = f"b.t = a.t AND a.c = b.c AND b.r = (a.r + 1) % {n}" + (f" AND (a.c < {d // 2} OR a.r % 2 = 0)" if d % 2 else "")
+    drawn = f"x AS (SELECT a.t, least(a.id, b.id) AS src, greatest(a.id, b.id) AS dst FROM o a JOIN o b ON {step})"
+    simple = "y AS (SELECT t, src, dst, count(*) AS k FROM x GROUP BY t, src, dst), z AS (SELECT t FROM y GROUP BY t HAVING max(k) = 1)"
+    return f"WITH {order}, {drawn}, {simple} SELECT src, dst FROM x WHERE t = (SELECT min(t) FROM z)"
 
 
 def composed(width: int, shapes: list[str], size: int) -> str:

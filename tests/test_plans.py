@@ -6,11 +6,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from orbweave.plans import diffusion, embedding, evaluation, features, iterative, relational, similarity, sources, streams, walks, wavelets
+from orbweave.plans import diffusion, embedding, evaluation, features, iterative, kernels, motifs, relational, similarity, sources, streams, walks, wavelets
 from orbweave.sources import generators
 
 SF = "/root/testdata/sf0.001"
-MODULES = (relational, features, similarity, diffusion, wavelets, walks, embedding, evaluation, sources, streams, generators, iterative)
+MODULES = (relational, features, motifs, similarity, kernels, diffusion, wavelets, walks, embedding, evaluation, sources, streams, generators, iterative)
 PLANS = {n: (q, m.ORACLES[n]) for m in MODULES for n, q in m.QUERIES.items() if n in m.ORACLES}
 
 
