@@ -10,14 +10,16 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orbweave.functions.dialect import graph, oracle, query
+from orbweave.functions.dialect import graph, oracle, query, ranked
 from orbweave.functions.shared import written
 from orbweave.plans.diffusion import HEAT
+from orbweave.plans.features import BFS
 from orbweave.plans.iterative import refex_bins
-from orbweave.plans.similarity import CAND, LAYER
+from orbweave.plans.motifs import LABELS
+from orbweave.plans.similarity import CAND
 from orbweave.plans.walks import LONG, W5
 
 G = graph()
@@ -86,27 +88,97 @@ def factorised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.userFactors.select(F.col("id").cast("bigint").alias("id"), *[F.col("features")[i].cast("double").alias(f"role_{i}") for i in range(4)])
 
 
-def walk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Skip-gram vectors with hierarchical softmax over the walks."""
-    walks = query(f"{G}, {W5} SELECT array(cast(c0 AS STRING), cast(c1 AS STRING), cast(c2 AS STRING), cast(c3 AS STRING), cast(c4 AS STRING), cast(c5 AS STRING)) AS words FROM s5")(spark, sf_dir)
-    model = Word2Vec(vectorSize=16, minCount=0, windowSize=5, maxIter=1, seed=SEED, inputCol="words").fit(written(walks, spark, "walks"))
-    return model.getVectors().select(F.col("word").cast("bigint").alias("id"), vector_to_array("vector").alias("x"))
-
-
-MOVE = "CASE WHEN @u(concat('stay:', u))@ < 0.3 THEN 1 ELSE 0 END"
+def repeated_scores(spark: SparkSession, sf_dir: str, repeats: int = 2) -> DataFrame:
+    """Mean and sample deviation of the scores of multinomial regression for train shares of 10% to 90%, each drawn `repeats` times."""
+    v = written(_vectors(spark, sf_dir).drop("train"), spark, "vectors")
+    learner, out = LogisticRegression(featuresCol="x", maxIter=20, regParam=0.01, family="multinomial"), None
+    for ratio in range(1, 10):
+        for turn in range(repeats):
+            split = v.withColumn("train", F.pmod(F.crc32(F.concat_ws(":", F.lit(turn), "id").cast("binary")), F.lit(1000)) < 100 * ratio)
+            s = _scores(learner.fit(split.where("train")).transform(split.where("NOT train")).select("label", "prediction"))
+            s = s.select(F.lit(ratio / 10).alias("ratio"), "f1_micro", "f1_macro")
+            out = s if out is None else out.unionByName(s)
+    stats = [f(c).alias(f"{c}_{n}") for c in ("f1_micro", "f1_macro") for n, f in (("mean", F.avg), ("deviation", F.stddev_samp))]
+    return out.groupBy("ratio").agg(*[F.round(x, 4).alias(n) for x, n in zip(stats, ("f1_micro", "f1_micro_deviation", "f1_macro", "f1_macro_deviation"), strict=True)])
+
+
+def cluster_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mutual information of clusters and labels over the mean of their entropies."""
+    t = written(clustered(spark, sf_dir).groupBy("label", "cluster").agg(F.count("*").alias("n")), spark, "contingency")
+    total = F.lit(max(1, t.agg(F.sum("n")).head()[0] or 1)).cast("double")
+    entropy = lambda c: t.groupBy(c).agg((F.sum("n") / total).alias("p")).agg((-F.sum(F.col("p") * F.log("p"))).alias(f"h_{c}"))
+    of = lambda c: t.groupBy(c).agg((F.sum("n") / total).alias(f"p_{c}"))
+    both = F.col("n") / total
+    mi = t.join(of("label"), "label").join(of("cluster"), "cluster").agg(F.sum(both * F.log(both / (F.col("p_label") * F.col("p_cluster")))).alias("mi"))
+    rows = mi.crossJoin(entropy("label")).crossJoin(entropy("cluster"))
+    return rows.select(F.round(F.try_divide(2 * F.col("mi"), F.col("h_label") + F.col("h_cluster")), 6).alias("nmi"))
+
+
+def link_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out edges against as many pairs without an edge, by logistic regression on pairs of node features; the
+    features see only the edges that are kept. One row for each way to join two nodes: auc, precision average and f1."""
+    held = written(query(SQL["w18_held_out_edges"])(spark, sf_dir), spark, "held")
+    kept = held.where("held = 0").select(F.explode(F.array(F.struct(F.col("src").alias("u"), F.col("dst").alias("v")), F.struct(F.col("dst").alias("u"), F.col("src").alias("v")))).alias("e")).select("e.*")
+    deg = kept.groupBy("u").agg(F.count("*").alias("deg"))
+    near = kept.join(deg.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.count("*").alias("deg"), F.sum("deg").alias("total"), F.avg("deg").alias("mean"), F.stddev_pop("deg").alias("spread"), F.max("deg").alias("most"), F.min("deg").alias("least"))
+    feats = written(near.select("u", F.array(*[F.log1p(F.col(c).cast("double")) for c in near.columns[1:]]).alias("f")), spark, "node-features")
+    yes = written(held.where("held = 1").select("src", "dst"), spark, "held-edges")
+    no = query(SQL["w18_negative_edges"])(spark, sf_dir).orderBy(F.md5(F.concat_ws(":", "src", "dst")), "src", "dst").limit(yes.count())
+    pairs = yes.withColumn("label", F.lit(1.0)).unionByName(no.withColumn("label", F.lit(0.0)))
+    pairs = pairs.join(feats.select(F.col("u").alias("src"), F.col("f").alias("a")), "src").join(feats.select(F.col("u").alias("dst"), F.col("f").alias("b")), "dst")
+    pairs = written(pairs.withColumn("train", F.pmod(F.crc32(F.concat_ws(":", "src", "dst").cast("binary")), F.lit(10)) < 7), spark, "pairs")
+    out = None
+    for name, joined in (("hadamard", F.zip_with("a", "b", lambda x, y: x * y)), ("average", F.zip_with("a", "b", lambda x, y: (x + y) / 2))):
+        rows = pairs.withColumn("x", array_to_vector(joined))
+        got = written(LogisticRegression(featuresCol="x", maxIter=50, regParam=0.01).fit(rows.where("train")).transform(rows.where("NOT train")).select("label", F.round(vector_to_array("probability")[1], 6).alias("p")), spark, "scored")
+        s = ranking_scores(got).withColumn("features", F.lit(name))
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+def ranking_scores(scored: DataFrame) -> DataFrame:
+    """auc (ties count half), step-wise average precision and f1 at 0.5 of (label 0 or 1, p rounded to 6 places).
+
+    Windows run over counts of the values of p: at most 1,000 cells, and 1,001 values within a cell.
+    """
+    g = scored.groupBy(F.floor(F.col("p") * 1000).alias("cell"), "p").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
+    cells = g.groupBy("cell").agg(F.sum("pos").alias("cp"), F.sum("neg").alias("cn"))
+    above = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("cell", F.coalesce(F.sum("cp").over(above), F.lit(0.0)).alias("p0"), F.coalesce(F.sum("cn").over(above), F.lit(0.0)).alias("n0"))
+    upto = Window.partitionBy("cell").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    r = g.withColumns({"tp": F.sum("pos").over(upto), "fp": F.sum("neg").over(upto)}).join(cells, "cell").withColumns({"tp": F.col("tp") + F.col("p0"), "fp": F.col("fp") + F.col("n0")})
+    hit, wrong = F.sum(F.when(F.col("p") > 0.5, F.col("pos")).otherwise(0)), F.sum(F.when(F.col("p") > 0.5, F.col("neg")).otherwise(0))
+    auc = 1 - F.try_divide(F.sum(F.col("pos") * (F.col("fp") - F.col("neg") / 2)), F.sum("pos") * F.sum("neg"))
+    ap = F.try_divide(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.sum("pos"))
+    return r.agg(F.round(auc, 6).alias("auc"), F.round(ap, 6).alias("average_precision"), F.round(F.try_divide(2 * hit, hit + wrong + F.sum("pos")), 6).alias("f1"))
+
+
+def role_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraph vectors of nodes: a skip-gram in which a node is next to the motif tokens of the nodes that its walk meets."""
+    words = query(f"{G}, {W5}, {LONG}, {LABELS} SELECT array(concat('n', walk), concat('t', token)) AS words FROM pos JOIN lab ON lab.id = pos.node")(spark, sf_dir)
+    model = Word2Vec(vectorSize=16, minCount=0, windowSize=1, maxIter=1, seed=SEED, inputCol="words").fit(written(words, spark, "node-words"))
+    return model.getVectors().where("word LIKE 'n%'").select(F.substring("word", 2, 20).cast("bigint").alias("id"), vector_to_array("vector").alias("x"))
+
+
+HOPS = f"{G}, {BFS}, hg AS (SELECT root, concat(d, ':', cast(floor(ln(deg) / ln(2)) AS BIGINT)) AS part, count(*) AS freq FROM hop JOIN n ON n.id = node WHERE d > 0 GROUP BY 1, 2), sk AS (SELECT root, b.id AS bit, sum(CASE WHEN @u(concat('hop:', b.id, ':', part))@ < 0.5 THEN -freq ELSE freq END) AS y FROM hg CROSS JOIN @range(16)@ b GROUP BY root, b.id)"
 SQL = {
+    "w18_negative_edges": f"{G}, nc AS (SELECT id, cast(floor(id / 4096.0) AS BIGINT) AS cell FROM n), {ranked('nc', 'cell', 'x.id')}, pr AS (SELECT cast(floor(@u(concat('na:', n.id, ':', k.id))@ * t.m) AS BIGINT) + 1 AS ra, cast(floor(@u(concat('nb:', n.id, ':', k.id))@ * t.m) AS BIGINT) + 1 AS rb FROM n CROSS JOIN @range(16)@ k CROSS JOIN (SELECT max(total) AS m FROM rk) t), ng AS (SELECT DISTINCT least(a.id, b.id) AS src, greatest(a.id, b.id) AS dst FROM pr JOIN rk a ON a.r = pr.ra JOIN rk b ON b.r = pr.rb WHERE a.id <> b.id) SELECT ng.src, ng.dst FROM ng LEFT JOIN e ON e.src = ng.src AND e.dst = ng.dst WHERE e.src IS NULL",
+    "e08_hop_sketch": f"{HOPS} SELECT root AS id, cast(bit AS BIGINT) AS bit, (sign(y) + 1) / 2.0 AS value FROM sk",
+    "n04_band_tables": f"{HOPS} SELECT cast(floor(bit / 4.0) AS BIGINT) AS band, cast(sum(CASE WHEN y > 0 THEN 1 ELSE 0 END * power(2, bit % 4)) AS BIGINT) AS bucket, root AS id FROM sk GROUP BY root, floor(bit / 4.0)",
     "h03_chebyshev_coefficients": "SELECT k, s, round(sum(2.0 / 30 * cos(k * y) * exp(-s * (cos(y) + 1))) * max(CASE WHEN k = 0 THEN 0.5 ELSE 1.0 END) + 1e-9, 6) + 0.0 AS c FROM (SELECT k.id AS k, s.id + 19 AS s, 3.141592653589793 * (j.id + 0.5) / 30 AS y FROM @range(31)@ k CROSS JOIN @range(2)@ s CROSS JOIN @range(30)@ j) x GROUP BY k, s",
     "m22_heat_profiles": f"{G}, {HEAT}, {CAND}, prof AS (SELECT j, row_number() OVER (PARTITION BY j ORDER BY round(x, 9) DESC, i) AS r, x FROM heat) SELECT cand.x, cand.y, round(max(abs(a.x - b.x)) + 1e-9, 5) AS ks, round(sum(abs(a.x - b.x)) + 1e-9, 5) AS area FROM cand JOIN prof a ON a.j = cand.x JOIN prof b ON b.j = cand.y AND b.r = a.r GROUP BY cand.x, cand.y",
-    "w05_layer_step": f"{G}, {CAND}, {LAYER}, y AS (SELECT u, v, sum(w) OVER (PARTITION BY u ORDER BY v) AS upto, sum(w) OVER (PARTITION BY u) AS total FROM w WHERE d = 1) SELECT u, min(v) AS following, max({MOVE}) AS climbs FROM y WHERE upto >= @u(concat('layer:', u))@ * total GROUP BY u",
     "w12_anonymous_dictionary": "SELECT 0 AS a0, 1 AS a1, b.id AS a2, c.id AS a3, d.id AS a4 FROM @range(3)@ b JOIN @range(4)@ c ON c.id <> b.id AND c.id <= greatest(1, b.id) + 1 JOIN @range(5)@ d ON d.id <> c.id AND d.id <= greatest(1, b.id, c.id) + 1 WHERE b.id <> 1",
     "w16_walk_triplets": f"{G}, {W5}, {LONG}, z AS (SELECT walk, node, count(*) AS c FROM pos WHERE k > 0 GROUP BY walk, node), r AS (SELECT walk, node, row_number() OVER (PARTITION BY walk ORDER BY c DESC, node) AS hi, row_number() OVER (PARTITION BY walk ORDER BY c, node DESC) AS lo FROM z) SELECT a.walk AS i, a.node AS near, b.node AS far FROM r a JOIN r b ON b.walk = a.walk AND a.hi = 1 AND b.lo = 1 WHERE a.node <> b.node",
     "w18_held_out_edges": f"{G}, h AS (SELECT u, v, md5(concat(least(u, v), ':', greatest(u, v))) AS h FROM adj), k AS (SELECT u, min(h) AS h FROM h GROUP BY u), f AS (SELECT e.src, e.dst, md5(concat(e.src, ':', e.dst)) AS h FROM e) SELECT f.src, f.dst, CASE WHEN f.h <> a.h AND f.h <> b.h AND @u(concat('held:', f.src, ':', f.dst))@ < 0.3 THEN 1 ELSE 0 END AS held FROM f JOIN k a ON a.u = f.src JOIN k b ON b.u = f.dst",
 }
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: query(v) for k, v in SQL.items()} | {
     "e01_role_factors": factorised,
-    "e05_walk_vectors": walk_vectors,
     "v01_one_versus_rest": classified,
     "v13_multinomial": multinomial,
+    "e07_role_vectors": role_vectors,
+    "v01_repeated_scores": repeated_scores,
+    "v02_cluster_agreement": cluster_agreement,
+    "v03_link_prediction": link_scores,
     "v02_kmeans": lambda spark, sf_dir: clustered(spark, sf_dir).select("id", F.col("label").cast("int"), "cluster"),
     "v02_silhouette": silhouette,
     "v06_projection": projected,

@@ -13,7 +13,6 @@ CAND = (
     "oc AS (SELECT id, deg, r, k, cast(floor(r / cast(k AS DOUBLE)) AS BIGINT) AS c FROM rk CROSS JOIN kk), "
     "cand AS (SELECT a.id AS x, b.id AS y, a.deg AS dx, b.deg AS dy FROM (SELECT oc.*, c + t AS t FROM oc CROSS JOIN (SELECT 0 AS t UNION ALL SELECT 1) s) a JOIN oc b ON b.c = a.t AND b.r > a.r AND b.r <= a.r + a.k)"
 )
-LAYER = f"{BFS}, lay AS (SELECT root, d, avg(deg) AS m FROM hop JOIN n ON n.id = node GROUP BY root, d), g AS (SELECT x, y, p.d, greatest(p.m, q.m) / least(p.m, q.m) - 1 AS c FROM cand JOIN lay p ON p.root = x JOIN lay q ON q.root = y AND q.d = p.d), f AS (SELECT x, y, d, sum(c) OVER (PARTITION BY x, y ORDER BY d) AS f FROM g), w AS (SELECT x AS u, y AS v, d, exp(-f) AS w FROM f UNION ALL SELECT y, x, d, exp(-f) FROM f)"
 SQL = {
     "m02_degree_ratio_init": f"{G}, {CAND} SELECT x, y, round(least(dx, dy) / cast(greatest(dx, dy) AS DOUBLE), 6) AS s FROM cand",
     "m02_binary_init": f"{G}, {CAND} SELECT x, y, CASE WHEN dx = dy THEN 1.0 ELSE 0.0 END AS s FROM cand",
@@ -23,9 +22,6 @@ SQL = {
     "m08_sampled_pairs": f"{G}, {CAND}, s AS (SELECT x, y, least(dx, dy) / cast(greatest(dx, dy) AS DOUBLE) AS s FROM cand), r AS (SELECT x, y, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS hi, row_number() OVER (PARTITION BY x ORDER BY md5(concat(x, '-', y))) AS k FROM s) SELECT p.x AS i, p.y AS pos, q.y AS neg FROM r p JOIN r q ON q.x = p.x AND q.hi > 4 AND q.k = p.hi WHERE p.hi BETWEEN 2 AND 4",
     "m09_ranked_pairs": f"{G}, {CAND}, s AS (SELECT x, y, least(dx, dy) / cast(greatest(dx, dy) AS DOUBLE) AS s FROM cand), r AS (SELECT x, y, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS hi, row_number() OVER (PARTITION BY x ORDER BY s, y) AS lo FROM s) SELECT p.x AS i, p.y AS pos, q.y AS neg FROM r p JOIN r q ON q.x = p.x AND q.lo = p.hi WHERE p.hi <= 3",
     "m12_degree_candidates": f"{G}, {CAND} SELECT x, y FROM cand",
-    "m13_cumulative_distance": f"{G}, {CAND}, {LAYER} SELECT x, y, d, round(f, 6) AS f FROM f",
-    "m14_layer_weights": f"{G}, {CAND}, {LAYER} SELECT d, u, v, round(w / sum(w) OVER (PARTITION BY d, u) + 1e-9, 5) AS p FROM w",
-    "m15_layer_gamma": f"{G}, {CAND}, {LAYER}, a AS (SELECT d, avg(w) AS m FROM w GROUP BY d) SELECT w.d, w.u, count(CASE WHEN w.w > a.m + 1e-9 THEN 1 END) AS gamma FROM w JOIN a ON a.d = w.d GROUP BY w.d, w.u",
     "m17_shortest_path_kernel": f"{G}, {CAND}, {BFS}, h AS (SELECT root, d, count(*) AS c FROM hop GROUP BY root, d), k AS (SELECT x, y, sum(p.c * q.c) AS xy FROM cand JOIN h p ON p.root = x JOIN h q ON q.root = y AND q.d = p.d GROUP BY x, y), s AS (SELECT root, sum(c * c) AS k FROM h GROUP BY root) SELECT x, y, round(xy / sqrt(cast(a.k AS DOUBLE) * b.k), 6) AS kernel FROM k JOIN s a ON a.root = x JOIN s b ON b.root = y",
     "m20_normalised_kernel": f"{G}, c AS (SELECT a.v AS x, b.v AS y, count(*) AS c FROM adj a JOIN adj b ON a.u = b.u GROUP BY a.v, b.v) SELECT c.x, c.y, round(coalesce(c.c / nullif(sqrt(cast(p.deg AS DOUBLE) * q.deg), 0), 0), 6) AS k FROM c JOIN n p ON p.id = c.x JOIN n q ON q.id = c.y WHERE c.x < c.y",
     "m21_vector_distance": "SELECT a.vec_id AS x, b.vec_id AS y, round(sqrt(@sq_dist(a.embedding, b.embedding)@), 4) AS d FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id",

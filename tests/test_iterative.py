@@ -1,6 +1,7 @@
 """Iterative operators against brute force."""
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -40,10 +41,13 @@ def test_warping_equals_recursion():
         return c + min(slow(p, q, fp, fq, a, b) for a, b in ((i - 1, j), (i, j - 1), (i - 1, j - 1)) if a >= 0 and b >= 0)
 
     rng = np.random.default_rng(5)
-    for n, m in [(1, 1), (1, 4), (4, 1), (5, 6), (6, 3)] * 4:
-        p, q = np.sort(rng.integers(1, 40, n)).astype(float), np.sort(rng.integers(1, 40, m)).astype(float)
-        fp, fq = rng.integers(1, 5, n).astype(float), rng.integers(1, 5, m).astype(float)
-        assert abs(warped(p, q, fp, fq) - slow(p, q, fp, fq, n - 1, m - 1)) < 1e-9
+    sizes = [(1, 1), (1, 4), (4, 1), (5, 6), (6, 3)] * 4
+    p, q = ([np.sort(rng.integers(1, 40, x[k])).astype(float) for x in sizes] for k in (0, 1))
+    fp, fq = ([rng.integers(1, 5, x[k]).astype(float) for x in sizes] for k in (0, 1))
+    got = warped(p, q, fp, fq)
+    assert all(abs(got[i] - slow(p[i], q[i], fp[i], fq[i], n - 1, m - 1)) < 1e-9 for i, (n, m) in enumerate(sizes))
+    none = np.empty(0)
+    assert warped([none, none, p[0]], [none, q[0], none]).tolist() == [0.0, math.inf, math.inf]
 
 
 def test_cores_equal_peeling(spark):

@@ -1,12 +1,13 @@
 """Every registered plan against its oracle on the smallest tables."""
 
 import math
+import random
 from pathlib import Path
 
 import duckdb
 import pytest
 
-from orbweave.plans import diffusion, embedding, evaluation, features, iterative, kernels, motifs, relational, similarity, sources, streams, walks, wavelets
+from orbweave.plans import diffusion, embedding, evaluation, features, iterative, kernels, layered, motifs, relational, similarity, sources, streams, walks, wavelets
 from orbweave.sources import generators
 
 SF = "/root/testdata/sf0.001"
@@ -49,4 +50,21 @@ def test_learners(spark):
     nodes = features.QUERIES["f01_degree"](spark, SF).count()
     roles = embedding.QUERIES["e01_role_factors"](spark, SF)
     assert roles.count() == nodes and roles.where("least(role_0, role_1, role_2, role_3) < 0").isEmpty()
-    assert embedding.QUERIES["e05_walk_vectors"](spark, SF).count() == nodes
+    assert layered.QUERIES["e05_walk_vectors"](spark, SF).count() == embedding.QUERIES["e07_role_vectors"](spark, SF).count() == nodes
+    assert 0 <= embedding.QUERIES["v02_cluster_agreement"](spark, SF).head().nmi <= 1
+    scores = embedding.repeated_scores(spark, SF).collect()
+    assert sorted(r["ratio"] for r in scores) == [k / 10 for k in range(1, 10)] and all(0 <= r["f1_macro"] <= 1 and 0 <= r["f1_micro"] <= 1 for r in scores)
+    links = {r["features"]: r for r in embedding.QUERIES["v03_link_prediction"](spark, SF).collect()}
+    assert set(links) == {"hadamard", "average"} and all(0 <= r["auc"] <= 1 and 0 <= r["average_precision"] <= 1 for r in links.values())
+
+
+def test_ranking_scores(spark):
+    rng = random.Random(3)
+    rows = [(float(rng.random() < 0.4), round(rng.random(), 2)) for _ in range(300)] + [(1.0, 1.0), (0.0, 0.0)]
+    got = embedding.ranking_scores(spark.createDataFrame(rows, "label DOUBLE, p DOUBLE")).head()
+    pos, neg = [p for y, p in rows if y], [p for y, p in rows if not y]
+    auc = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / len(pos) / len(neg)
+    precision = sum(sum(a >= p for a in pos) / sum(q >= p for _, q in rows) for p in pos) / len(pos)
+    hits = sum(p > 0.5 for p in pos)
+    assert abs(got.auc - auc) < 2e-6 and abs(got.average_precision - precision) < 2e-6
+    assert abs(got.f1 - 2 * hits / (sum(p > 0.5 for _, p in rows) + len(pos))) < 2e-6

@@ -9,7 +9,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from orbweave.plans import features, kernels, motifs, walks
+from orbweave.operators.warping import warped
+from orbweave.plans import features, kernels, layered, motifs, walks
 from orbweave.sources import generators
 
 
@@ -135,6 +136,63 @@ def test_second_order_walks(spark, small):
             assert path[k] == v
 
 
+def layers(near):
+    """Degrees with their counts at distances 0, 1 and 2 from every node."""
+    out = {}
+    for x in near:
+        two = {z for y in near[x] for z in near[y]} - near[x] - {x}
+        out[x] = [sorted(Counter(len(near[z]) for z in ring).items()) for ring in ({x}, near[x], two) if ring]
+    return out
+
+
+def test_layered_graph_and_walks(spark, small):
+    folder, near = small
+    rings = layers(near)
+    far = {(r["x"], r["y"], r["d"]): r["f"] for r in layered.QUERIES["m13_cumulative_distance"](spark, folder).collect()}
+    assert len(far) > 3 * len(near)
+    for (x, y, d), f in far.items():
+        want = 0.0
+        for k in range(d + 1):
+            a, b = (np.array(rings[v][k], float) for v in (x, y))
+            want += warped([a[:, 0]], [b[:, 0]], [a[:, 1]], [b[:, 1]])[0]
+        assert abs(f - want) < 2e-6
+    assert {(x, y) for x, y, _ in far} == {(x, y) for x, y, d in far if d == 0}
+    gaps = {(r["x"], r["y"], r["d"]): r["c"] for r in layered.QUERIES["m11_layer_distances"](spark, folder).collect()}
+    assert all(abs(far[x, y, d] - sum(gaps[x, y, k] for k in range(d + 1))) < 1e-5 for x, y, d in far)
+    w = {}
+    for (x, y, d), f in far.items():
+        w.setdefault((x, d), {})[y] = w.setdefault((y, d), {})[x] = math.exp(-f)
+    for r in layered.QUERIES["m14_layer_weights"](spark, folder).collect():
+        assert abs(r["p"] - w[r["u"], r["d"]][r["v"]] / sum(w[r["u"], r["d"]].values())) < 1e-5
+    mean = {d: np.mean([x for (_, k), z in w.items() if k == d for x in z.values()]) for d in range(3)}
+    gamma = {(r["u"], r["d"]): r["gamma"] for r in layered.QUERIES["m15_layer_gamma"](spark, folder).collect()}
+    assert gamma == {(u, d): sum(x > mean[d] for x in z.values()) for (u, d), z in w.items()}
+
+    def draw(*parts):
+        return int(hashlib.md5(":".join(map(str, ("layer", *parts))).encode()).hexdigest()[:8], 16) / 4294967296
+
+    paths = layered.QUERIES["w05_layered_walks"](spark, folder).collect()
+    assert len(paths) == len(near)
+    for r in paths:
+        now, layer, climbed = r["walk"], 0, 0
+        assert r["path"][0] == now and len(r["path"]) == 11
+        for k in range(1, 11):
+            for i in range(1, math.floor(math.log(draw(now0 := r["walk"], r["turn"], k)) / math.log(0.7)) + 1):
+                x = math.log(gamma[now, layer] + math.e)
+                if draw(now0, r["turn"], k, i) <= x / (x + 1):
+                    layer += (now, layer + 1) in w
+                else:
+                    layer = max(0, layer - 1)
+                climbed = max(climbed, layer)
+            goal, upto = draw(now0, r["turn"], k, "to") * sum(w[now, layer].values()), 0.0
+            for v, x in sorted(w[now, layer].items()):
+                upto += x
+                if upto > goal:
+                    break
+            assert r["path"][k] == v
+            now = v
+
+
 def test_random_regular_is_regular(spark):
     edges = [(r["src"], r["dst"]) for r in generators.QUERIES["g01_random_regular"](spark, "").collect()]
     degree = Counter(x for e in edges for x in e)
