@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from orbweave.functions.dialect import graph, oracle, query, ranked
 from orbweave.functions.shared import written
+from orbweave.operators.factors import nonnegative_factors
 from orbweave.plans.diffusion import HEAT
 from orbweave.plans.features import BFS
-from orbweave.plans.iterative import refex_bins
-from orbweave.plans.motifs import LABELS
+from orbweave.plans.iterative import refex, refex_bins
+from orbweave.plans.motifs import LABELS, ORB, ORBITS
 from orbweave.plans.similarity import CAND
 from orbweave.plans.walks import LONG, W5
 
@@ -160,6 +161,24 @@ def role_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.getVectors().where("word LIKE 'n%'").select(F.substring("word", 2, 20).cast("bigint").alias("id"), vector_to_array("vector").alias("x"))
 
 
+def nmf_roles(spark: SparkSession, sf_dir: str, rank: int = 4) -> DataFrame:
+    """Weights of roles: non-negative factors of the recursive features, each column over its maximum."""
+    rows, names = refex(spark, sf_dir)
+    rows = written(rows, spark, "features")
+    most = rows.agg(*[F.max(c).alias(c) for c in names]).head()
+    f = F.array(*[F.coalesce(F.col(c).cast("double") / F.lit(float(most[c] or 1)), F.lit(0.0)) for c in names])
+    w, _ = nonnegative_factors(spark, rows.select("id", f.alias("f")), len(names), rank)
+    return w.select("id", *[F.round(F.col("w")[k], 4).alias(f"role_{k}") for k in range(rank)])
+
+
+def clustered_labels(spark: SparkSession, sf_dir: str, rank: int = 8, k: int = 50) -> DataFrame:
+    """Labels of nodes: clusters of non-negative factors of the logarithms of their orbit counts."""
+    orb = query(f"{G}, {ORB} SELECT * FROM orb")(spark, sf_dir)
+    w, _ = nonnegative_factors(spark, written(orb.select("id", F.array(*[F.log1p(F.col(c).cast("double")) for c in ORBITS]).alias("f")), spark, "orbits"), len(ORBITS), rank)
+    w = written(w.select("id", array_to_vector("w").alias("x")), spark, "weights")
+    return KMeans(k=k, seed=SEED, featuresCol="x", predictionCol="label").fit(w).transform(w).select("id", "label")
+
+
 HOPS = f"{G}, {BFS}, hg AS (SELECT root, concat(d, ':', cast(floor(ln(deg) / ln(2)) AS BIGINT)) AS part, count(*) AS freq FROM hop JOIN n ON n.id = node WHERE d > 0 GROUP BY 1, 2), sk AS (SELECT root, b.id AS bit, sum(CASE WHEN @u(concat('hop:', b.id, ':', part))@ < 0.5 THEN -freq ELSE freq END) AS y FROM hg CROSS JOIN @range(16)@ b GROUP BY root, b.id)"
 SQL = {
     "w18_negative_edges": f"{G}, nc AS (SELECT id, cast(floor(id / 4096.0) AS BIGINT) AS cell FROM n), {ranked('nc', 'cell', 'x.id')}, pr AS (SELECT cast(floor(@u(concat('na:', n.id, ':', k.id))@ * t.m) AS BIGINT) + 1 AS ra, cast(floor(@u(concat('nb:', n.id, ':', k.id))@ * t.m) AS BIGINT) + 1 AS rb FROM n CROSS JOIN @range(16)@ k CROSS JOIN (SELECT max(total) AS m FROM rk) t), ng AS (SELECT DISTINCT least(a.id, b.id) AS src, greatest(a.id, b.id) AS dst FROM pr JOIN rk a ON a.r = pr.ra JOIN rk b ON b.r = pr.rb WHERE a.id <> b.id) SELECT ng.src, ng.dst FROM ng LEFT JOIN e ON e.src = ng.src AND e.dst = ng.dst WHERE e.src IS NULL",
@@ -175,7 +194,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: query(v) for
     "e01_role_factors": factorised,
     "v01_one_versus_rest": classified,
     "v13_multinomial": multinomial,
+    "e02_nmf_roles": nmf_roles,
     "e07_role_vectors": role_vectors,
+    "f11_clustered_labels": clustered_labels,
     "v01_repeated_scores": repeated_scores,
     "v02_cluster_agreement": cluster_agreement,
     "v03_link_prediction": link_scores,

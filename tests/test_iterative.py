@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from orbweave.operators.cores import core_numbers
+from orbweave.operators.factors import nonnegative_factors, start
 from orbweave.operators.matching import best_matching, matched_similarity
 from orbweave.operators.warping import warped
 
@@ -62,3 +63,19 @@ def test_cores_equal_peeling(spark):
             left[y].discard(low)
     got = {r.id: r.core for r in core_numbers(spark, adjacency(spark, edges)).select("id", F.col("core")).collect()}
     assert got == want
+
+
+def test_factors_equal_plain_updates(spark):
+    """The replayed weights are those of the usual alternation, and a product of rank 2 is found again."""
+    rng = np.random.default_rng(1)
+    f = rng.random((30, 2)) @ rng.random((2, 5))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(f)], "id BIGINT, f ARRAY<DOUBLE>").repartition(3)
+    got, h = nonnegative_factors(spark, rows, 5, rank=2, iterations=12)
+    w = np.array([r["w"] for r in got.orderBy("id").collect()])
+    w2, h2 = start(np.arange(30), 2), np.random.default_rng(7).random((2, 5)) + 0.1
+    for _ in range(12):
+        w2 = w2 * (f @ h2.T) / (w2 @ h2 @ h2.T + 1e-12)
+        h2 = h2 * (w2.T @ f) / (w2.T @ w2 @ h2 + 1e-12)
+    w2 = w2 * (f @ h2.T) / (w2 @ h2 @ h2.T + 1e-12)
+    assert np.allclose(w, w2, atol=1e-8) and np.allclose(h, h2, atol=1e-8) and (w >= 0).all()
+    assert np.abs(w @ h - f).mean() < 0.05

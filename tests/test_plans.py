@@ -51,6 +51,10 @@ def test_learners(spark):
     roles = embedding.QUERIES["e01_role_factors"](spark, SF)
     assert roles.count() == nodes and roles.where("least(role_0, role_1, role_2, role_3) < 0").isEmpty()
     assert layered.QUERIES["e05_walk_vectors"](spark, SF).count() == embedding.QUERIES["e07_role_vectors"](spark, SF).count() == nodes
+    roles = embedding.QUERIES["e02_nmf_roles"](spark, SF)
+    assert roles.count() == nodes and roles.where("least(role_0, role_1, role_2, role_3) < 0").isEmpty()
+    labels = embedding.QUERIES["f11_clustered_labels"](spark, SF)
+    assert labels.count() == nodes and 1 < labels.select("label").distinct().count() <= 50
     assert 0 <= embedding.QUERIES["v02_cluster_agreement"](spark, SF).head().nmi <= 1
     scores = embedding.repeated_scores(spark, SF).collect()
     assert sorted(r["ratio"] for r in scores) == [k / 10 for k in range(1, 10)] and all(0 <= r["f1_macro"] <= 1 and 0 <= r["f1_micro"] <= 1 for r in scores)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from orbweave.operators.warping import warped
-from orbweave.plans import features, kernels, layered, motifs, walks
+from orbweave.plans import features, iterative, kernels, layered, motifs, walks
 from orbweave.sources import generators
 
 
@@ -193,6 +193,31 @@ def test_layered_graph_and_walks(spark, small):
             now = v
 
 
+def test_closeness_and_betweenness_equal_all_paths(spark, small):
+    """Distances by breadth, and every shortest path written out."""
+    folder, near = small
+    through, want = Counter(), {}
+    for root in near:
+        paths = {root: [(root,)]}
+        ring = [root]
+        while ring:
+            found = {}
+            for x in ring:
+                for y in near[x] - set(paths):
+                    found.setdefault(y, []).extend((*p, y) for p in paths[x])
+            paths |= found
+            ring = list(found)
+        for end, ps in paths.items():
+            for p in ps if end != root else ():
+                through.update({x: 1 / len(ps) for x in p[1:-1]})
+        far = [len(ps[0]) - 1 for ps in paths.values()]
+        want[root] = (len(paths) - 1, max(far), (len(paths) - 1) ** 2 / sum(far) / (len(near) - 1))
+    got = {r["id"]: r for r in iterative.closeness_of(spark, folder, every=1).collect()}
+    assert set(got) == set(near) and all((got[x]["reached"], got[x]["far"]) == want[x][:2] and abs(got[x]["closeness"] - want[x][2]) < 2e-6 for x in near)
+    b = {r["id"]: r["betweenness"] for r in iterative.betweenness_of(spark, folder, every=1).collect()}
+    assert set(b) == set(near) and all(abs(b[x] - through[x]) < 2e-5 for x in near)
+
+
 def test_random_regular_is_regular(spark):
     edges = [(r["src"], r["dst"]) for r in generators.QUERIES["g01_random_regular"](spark, "").collect()]
     degree = Counter(x for e in edges for x in e)
