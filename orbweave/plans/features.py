@@ -55,7 +55,7 @@ SQL = {
     "f15_compact_layers": f"{G}, {BFS} SELECT root, d, deg, count(*) AS freq FROM hop JOIN n ON n.id = node GROUP BY root, d, deg",
     "f16_egonets": f"{G}, h AS (SELECT id AS root, id AS node, 0 AS d FROM n UNION ALL SELECT u, v, 1 FROM adj) SELECT a.root, a.node AS x, b.node AS y, greatest(a.d, b.d) AS hop FROM h a JOIN e ON e.src = a.node JOIN h b ON b.root = a.root AND b.node = e.dst",
     "f18_branch_list": f"{G} SELECT adj.u AS id, round(sum(n.deg / cast(n.deg + 1 AS DOUBLE)), 6) AS leaf_mass, round(sum(1 / cast(n.deg + 1 AS DOUBLE)), 6) AS back_mass FROM adj JOIN n ON n.id = adj.v GROUP BY adj.u",
-    "f19_sorted_neighbour_degrees": f"{G}, r AS (SELECT adj.u, n.deg, row_number() OVER (PARTITION BY adj.u ORDER BY n.deg DESC, adj.v) AS k FROM adj JOIN n ON n.id = adj.v) SELECT u AS id, max(CASE WHEN k = 1 THEN deg ELSE 0 END) AS d1, max(CASE WHEN k = 2 THEN deg ELSE 0 END) AS d2, max(CASE WHEN k = 3 THEN deg ELSE 0 END) AS d3 FROM r GROUP BY u",
+    "f19_sorted_neighbour_degrees": f"{G} SELECT adj.u AS id, count(*) AS deg, @list(lpad(cast(n.deg AS VARCHAR(20)), 10, '0'))@ AS degrees FROM adj JOIN n ON n.id = adj.v GROUP BY adj.u",
     "f23_closeness_two_hops": f"{G}, {BFS} SELECT root AS id, count(*) - 1 AS reached, round((count(*) - 1) / nullif(cast(sum(d) AS DOUBLE), 0), 6) AS closeness FROM hop GROUP BY root",
     "f23_eigenvector_power": f"{G}, {powers(4)}, m AS (SELECT sqrt(sum(x * x)) AS l FROM x4) SELECT id, round(x / l + 1e-9, 5) AS x FROM x4 CROSS JOIN m",
     "f24_vertex_similarity_two_terms": f"{G}, a2 AS (SELECT a.u, b.v, count(*) AS c FROM adj a JOIN adj b ON b.u = a.v GROUP BY a.u, b.v) SELECT a2.u, a2.v, round((0.25 * c + 0.5 * (CASE WHEN adj.u IS NULL THEN 0 ELSE 1 END)) / (p.deg * q.deg) + 1e-9, 5) AS s FROM a2 LEFT JOIN adj ON adj.u = a2.u AND adj.v = a2.v JOIN n p ON p.id = a2.u JOIN n q ON q.id = a2.v",

@@ -102,7 +102,10 @@ QUERIES = {
     "f05_recursive_features": refex_long,
     "f07_recursive_bins": refex_bins,
 }
+#: Walks of up to eight edges from the roots; the least length of one is a distance, as far as distances go.
+_PATHS = f"{graph().replace('WITH ', 'WITH RECURSIVE ', 1)}, walked AS (SELECT id AS root, id AS node, 0 AS d FROM n WHERE id % 50 = 0 UNION SELECT root, v, d + 1 FROM walked JOIN adj ON adj.u = node WHERE d < 8), far AS (SELECT root, node, min(d) AS d FROM walked GROUP BY root, node)"
 ORACLES: dict[str, str] = {
+    "f23_closeness": oracle(f"{_PATHS} SELECT root AS id, count(*) - 1 AS reached, max(d) AS far, round(coalesce((count(*) - 1.0) * (count(*) - 1) / nullif(sum(d) * (SELECT count(*) - 1 FROM n), 0), 0), 6) AS closeness FROM far GROUP BY root"),
     "f05_recursive_features": oracle(f"{_refex_sql()} SELECT id, col, round(x + 1e-12, 9) AS x FROM f"),
     "f07_recursive_bins": oracle(f"{_refex_sql()}, q AS (SELECT col, min(x) AS lo, max(x) AS hi, quantile_cont(x, 0.25) AS a, quantile_cont(x, 0.5) AS b, quantile_cont(x, 0.75) AS c FROM f GROUP BY col) SELECT id, f.col, CASE WHEN x <= a THEN 0 WHEN x <= b THEN 1 WHEN x <= c THEN 2 ELSE 3 END AS bin FROM f JOIN q ON q.col = f.col WHERE lo < a AND a < b AND b < c AND c < hi"),
 }
