@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from orbweave.functions.dialect import graph, oracle, query, ranked
 from orbweave.functions.shared import written
 from orbweave.operators.factors import nonnegative_factors
+from orbweave.operators.regression import explained
 from orbweave.plans.diffusion import HEAT
-from orbweave.plans.features import BFS
-from orbweave.plans.iterative import refex, refex_bins
+from orbweave.plans.features import BFS, QUERIES as FEATURES
+from orbweave.plans.iterative import betweenness_of, cores, refex, refex_bins
 from orbweave.plans.motifs import LABELS, ORB, ORBITS
 from orbweave.plans.similarity import CAND
 from orbweave.plans.walks import LONG, W5
@@ -171,6 +172,15 @@ def nmf_roles(spark: SparkSession, sf_dir: str, rank: int = 4) -> DataFrame:
     return w.select("id", *[F.round(F.col("w")[k], 4).alias(f"role_{k}") for k in range(rank)])
 
 
+def roles_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the roles say of degree, clustering, core number and betweenness."""
+    roles = written(nmf_roles(spark, sf_dir), spark, "roles")
+    of = FEATURES["f02_egonet_features"](spark, sf_dir).select("id", "deg", "clustering")
+    rows = roles.join(of, "id").join(cores(spark, sf_dir).select("id", "core"), "id").join(betweenness_of(spark, sf_dir), "id")
+    out = explained(spark, rows, roles.columns[1:], ["deg", "clustering", "core", "betweenness"])
+    return out.select("measure", "role", F.round("weight", 3).alias("weight"), F.round("relative", 3).alias("relative"))
+
+
 def clustered_labels(spark: SparkSession, sf_dir: str, rank: int = 8, k: int = 50) -> DataFrame:
     """Labels of nodes: clusters of non-negative factors of the logarithms of their orbit counts."""
     orb = query(f"{G}, {ORB} SELECT * FROM orb")(spark, sf_dir)
@@ -197,6 +207,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: query(v) for
     "e02_nmf_roles": nmf_roles,
     "e07_role_vectors": role_vectors,
     "f11_clustered_labels": clustered_labels,
+    "f26_roles_explained": roles_explained,
     "v01_repeated_scores": repeated_scores,
     "v02_cluster_agreement": cluster_agreement,
     "v03_link_prediction": link_scores,

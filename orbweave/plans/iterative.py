@@ -11,6 +11,7 @@ from orbweave.operators.cores import core_numbers
 from orbweave.operators.matching import matched_similarity
 from orbweave.operators.paths import betweenness, closeness, levels
 from orbweave.operators.refex import quantile_bins, recursive_features
+from orbweave.operators.regression import regressive_features
 from orbweave.operators.warping import warping_distance
 from orbweave.plans.features import EGO
 from orbweave.plans.similarity import CAND
@@ -64,6 +65,19 @@ def refex(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     return recursive_features(spark, query(f"{graph()} SELECT u, v FROM adj")(spark, sf_dir), base)
 
 
+def regressive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Degree, edges inside the egonet and edges that leave it, and what two rounds add to them."""
+    ship(spark)
+    base = query(f"{graph()}, {EGO} SELECT id, deg, inside, overall - 2 * inside AS leaving FROM ego")(spark, sf_dir)
+    return regressive_features(spark, query(f"{graph()} SELECT u, v FROM adj")(spark, sf_dir), base.select("id", *[F.col(c).cast("double").alias(c) for c in ("deg", "inside", "leaving")]), 2)
+
+
+def regressive_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, names = regressive(spark, sf_dir)
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.round(F.coalesce(c, F.lit(0.0)), 6).alias("x")) for c in names])).alias("c")
+    return rows.select("id", cells).select("id", "c.col", "c.x")
+
+
 def refex_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, names = refex(spark, sf_dir)
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.round(F.col(c) + 1e-12, 9).alias("x")) for c in names])).alias("c")
@@ -101,6 +115,7 @@ QUERIES = {
     "m10_warping_distance": warping,
     "f05_recursive_features": refex_long,
     "f07_recursive_bins": refex_bins,
+    "f25_regressive_features": regressive_long,
 }
 #: Walks of up to eight edges from the roots; the least length of one is a distance, as far as distances go.
 _PATHS = f"{graph().replace('WITH ', 'WITH RECURSIVE ', 1)}, walked AS (SELECT id AS root, id AS node, 0 AS d FROM n WHERE id % 50 = 0 UNION SELECT root, v, d + 1 FROM walked JOIN adj ON adj.u = node WHERE d < 8), far AS (SELECT root, node, min(d) AS d FROM walked GROUP BY root, node)"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from orbweave.operators.cores import core_numbers
 from orbweave.operators.factors import nonnegative_factors, start
 from orbweave.operators.matching import best_matching, matched_similarity
+from orbweave.operators.regression import explained, independent, nonnegative_least_squares, regressive_features
 from orbweave.operators.warping import warped
 
 #: A graph of ten nodes with known similarities after any round.
@@ -79,3 +80,58 @@ def test_factors_equal_plain_updates(spark):
     w2 = w2 * (f @ h2.T) / (w2 @ h2 @ h2.T + 1e-12)
     assert np.allclose(w, w2, atol=1e-8) and np.allclose(h, h2, atol=1e-8) and (w >= 0).all()
     assert np.abs(w @ h - f).mean() < 0.05
+
+
+def test_independent_columns_equal_residuals():
+    rng = np.random.default_rng(4)
+    x = rng.random((50, 4))
+    x = np.column_stack((x[:, 0], 2 * x[:, 0], x[:, 1], x[:, 0] - 3 * x[:, 1], np.zeros(50), x[:, 2], x[:, 2] + 1e-3 * x[:, 3]))
+    want = []
+    for j in range(x.shape[1]):
+        left = x[:, j] - (x[:, want] @ np.linalg.lstsq(x[:, want], x[:, j], rcond=None)[0] if want else 0)
+        if np.linalg.norm(left) > 1e-5 * np.linalg.norm(x[:, j]) > 0:
+            want.append(j)
+    assert independent(x.T @ x) == want == [0, 2, 5, 6]
+
+
+def test_regressive_features_equal_loops(spark):
+    """On the graph of ten nodes, from degrees and a second column: the same columns and values as by plain residuals."""
+    near = {x: sorted({b for a, b in TEN if a == x} | {a for a, b in TEN if b == x}) for x in range(10)}
+    columns = {"a": [float(len(near[x])) for x in range(10)], "b": [float(x % 4) for x in range(10)]}
+
+    def spanned(kept, y):
+        left = y - (m := np.array([columns[c] for c in kept]).T) @ np.linalg.lstsq(m, y, rcond=None)[0] if kept else y
+        return np.linalg.norm(left) <= 1e-5 * np.linalg.norm(y)
+
+    kept, new = ["a", "b"], ["a", "b"]
+    for _ in range(2):
+        found = []
+        for c in new:
+            for name, f in (("_s", sum), ("_m", lambda z: sum(z) / len(z))):
+                columns[c + name] = [float(f([columns[c][y] for y in near[x]])) for x in range(10)]
+                if not spanned(kept + found, np.array(columns[c + name])):
+                    found.append(c + name)
+        kept, new = kept + found, found
+    base = spark.createDataFrame([(x, columns["a"][x], columns["b"][x]) for x in range(10)], "id BIGINT, a DOUBLE, b DOUBLE")
+    rows, names = regressive_features(spark, adjacency(spark, TEN), base, 2)
+    assert names == kept and len(kept) > 4
+    for r in rows.collect():
+        assert all(abs(r[c] - columns[c][r["id"]]) < 1e-9 for c in names)
+
+
+def test_nonnegative_weights_equal_best_subset(spark):
+    rng = np.random.default_rng(9)
+    for _ in range(10):
+        x, y = rng.random((20, 3)), rng.standard_normal(20)
+        best, least = np.zeros(3), y @ y
+        for k in (1, 2, 3):
+            for some in itertools.combinations(range(3), k):
+                w = np.linalg.lstsq(x[:, some], y, rcond=None)[0]
+                error = ((y - x[:, some] @ w) ** 2).sum()
+                if (w >= 0).all() and error < least:
+                    least, best = error, np.zeros(3)
+                    best[list(some)] = w
+        assert np.allclose(nonnegative_least_squares(x.T @ x, x.T @ y), best, atol=1e-6)
+    rows = spark.createDataFrame([(float(a), float(b), 2.0 * a + 3.0 * b) for a, b in [(1, 0), (0, 1), (1, 1), (2, 1)]], "p DOUBLE, q DOUBLE, m DOUBLE")
+    got = {r["role"]: r for r in explained(spark, rows, ["p", "q"], ["m"]).collect()}
+    assert abs(got["p"]["weight"] - 2) < 1e-6 and abs(got["q"]["weight"] - 3) < 1e-6 and abs(got["p"]["relative"] - 2 / 4.25) < 1e-6
