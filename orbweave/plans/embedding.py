@@ -20,6 +20,7 @@ from orbweave.operators.regression import explained
 from orbweave.plans.diffusion import HEAT
 from orbweave.plans.features import BFS, QUERIES as FEATURES
 from orbweave.plans.iterative import betweenness_of, cores, refex, refex_bins
+from orbweave.plans.layered import walk_vectors
 from orbweave.plans.motifs import LABELS, ORB, ORBITS
 from orbweave.plans.similarity import CAND
 from orbweave.plans.walks import LONG, W5
@@ -139,7 +140,7 @@ def link_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranking_scores(scored: DataFrame) -> DataFrame:
-    """auc (ties count half), step-wise average precision and f1 at 0.5 of (label 0 or 1, p rounded to 6 places).
+    """auc (ties count half), step-wise average precision, f1 and recall at 0.5 of (label 0 or 1, p rounded to 6 places).
 
     Windows run over counts of the values of p: at most 1,000 cells, and 1,001 values within a cell.
     """
@@ -152,7 +153,18 @@ def ranking_scores(scored: DataFrame) -> DataFrame:
     hit, wrong = F.sum(F.when(F.col("p") > 0.5, F.col("pos")).otherwise(0)), F.sum(F.when(F.col("p") > 0.5, F.col("neg")).otherwise(0))
     auc = 1 - F.try_divide(F.sum(F.col("pos") * (F.col("fp") - F.col("neg") / 2)), F.sum("pos") * F.sum("neg"))
     ap = F.try_divide(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.sum("pos"))
-    return r.agg(F.round(auc, 6).alias("auc"), F.round(ap, 6).alias("average_precision"), F.round(F.try_divide(2 * hit, hit + wrong + F.sum("pos")), 6).alias("f1"))
+    return r.agg(F.round(auc, 6).alias("auc"), F.round(ap, 6).alias("average_precision"), F.round(F.try_divide(2 * hit, hit + wrong + F.sum("pos")), 6).alias("f1"), F.round(F.try_divide(hit, F.sum("pos")), 6).alias("recall"))
+
+
+def dot_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out edges against as many pairs without an edge by the inner products of walk vectors, as probabilities."""
+    yes = written(query(SQL["w18_held_out_edges"])(spark, sf_dir).where("held = 1").select("src", "dst"), spark, "held-edges")
+    no = query(SQL["w18_negative_edges"])(spark, sf_dir).orderBy(F.md5(F.concat_ws(":", "src", "dst")), "src", "dst").limit(yes.count())
+    pairs = yes.withColumn("label", F.lit(1.0)).unionByName(no.withColumn("label", F.lit(0.0)))
+    v = written(walk_vectors(spark, sf_dir), spark, "walk-vectors")
+    pairs = pairs.join(v.select(F.col("id").alias("src"), F.col("x").alias("a")), "src").join(v.select(F.col("id").alias("dst"), F.col("x").alias("b")), "dst")
+    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return ranking_scores(written(pairs.select("label", F.round(1 / (1 + F.exp(-dot)), 6).alias("p")), spark, "scored"))
 
 
 def role_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,6 +223,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: query(v) for
     "v01_repeated_scores": repeated_scores,
     "v02_cluster_agreement": cluster_agreement,
     "v03_link_prediction": link_scores,
+    "v12_dot_scores": dot_scores,
     "v02_kmeans": lambda spark, sf_dir: clustered(spark, sf_dir).select("id", F.col("label").cast("int"), "cluster"),
     "v02_silhouette": silhouette,
     "v06_projection": projected,

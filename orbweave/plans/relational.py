@@ -36,6 +36,7 @@ FROM x JOIN m ON m.u = x.u GROUP BY x.u""",
     "r24_histograms": f"{G}, x AS (SELECT id, cast(floor(ln(deg) / ln(2)) AS BIGINT) AS log_bin, cast(floor(deg / 5.0) AS BIGINT) AS bin FROM n) SELECT log_bin, bin, count(*) AS n FROM x GROUP BY 1, 2",
     "r25_exact_split": f"WITH h AS (SELECT vec_id, md5(concat('s', vec_id)) AS h, substr(md5(concat('s', vec_id)), 1, 3) AS cell FROM embeddings), {ranked('h', 'cell', 'x.h, x.vec_id')} SELECT vec_id, r <= floor(0.7 * total) AS train FROM rk",
     "r26_weighted_sample": f"{G}, x AS (SELECT adj.u, adj.v, n.deg, -ln(@u(concat('w', adj.u, ':', adj.v))@ + 1e-12) / (n.deg + 0.01) AS key FROM adj JOIN n ON n.id = adj.v), r AS (SELECT u, v, deg, row_number() OVER (PARTITION BY u ORDER BY key, v) AS k FROM x) SELECT u, v, row_number() OVER (PARTITION BY u ORDER BY deg, v) AS pos FROM r WHERE k <= 10",
+    "w20_degree_sequences": f"{G}, x AS (SELECT adj.u, adj.v, n.deg, -ln(@u(concat('w', adj.u, ':', adj.v))@ + 1e-12) / (n.deg + 0.01) AS key FROM adj JOIN n ON n.id = adj.v), r AS (SELECT u, v, deg, row_number() OVER (PARTITION BY u ORDER BY key, v) AS k FROM x), sq AS (SELECT u, v, row_number() OVER (PARTITION BY u ORDER BY deg, v) AS pos FROM r WHERE k <= 10) SELECT n.id, p.id + 1 AS pos, coalesce(sq.v + 1, 0) AS token FROM n CROSS JOIN @range(10)@ p LEFT JOIN sq ON sq.u = n.id AND sq.pos = p.id + 1",
     "r27_uniform_neighbours": f"{G}, r AS (SELECT u, v, row_number() OVER (PARTITION BY u ORDER BY md5(concat('u', u, ':', v)), v) AS k FROM adj) SELECT u, v, k FROM r WHERE k < 50 UNION ALL SELECT id, id, 0 FROM n",
     "r28_mean_and_deviation": f"SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd FROM ({EVENTS}) t GROUP BY event_type",
     "r29_correlation": f"{G}, x AS (SELECT adj.u, cast(max(a.deg) AS DOUBLE) AS d, cast(sum(b.deg) AS DOUBLE) AS s, avg(b.deg) AS m FROM adj JOIN n a ON a.id = adj.u JOIN n b ON b.id = adj.v GROUP BY adj.u) SELECT round(corr(d, s), 6) AS ds, round(corr(d, m), 6) AS dm, round(corr(s, m), 6) AS sm FROM x",

@@ -32,6 +32,8 @@ def second_order(steps: int) -> str:
     return ", ".join(out)
 
 
+#: sub(id, kind): the anonymous form of every run of four nodes in a walk, which is itself a walk from its first node.
+KINDS = "sub AS (" + " UNION ALL ".join(f"SELECT c{k} AS id, CASE WHEN c{k + 2} = c{k} THEN (CASE WHEN c{k + 3} = c{k + 1} THEN '0101' ELSE '0102' END) WHEN c{k + 3} = c{k} THEN '0120' WHEN c{k + 3} = c{k + 1} THEN '0121' ELSE '0123' END AS kind FROM s5" for k in range(3)) + ")"
 TIMED = "a AS (SELECT user_id, event_type, event_id, ts, @epoch(ts)@ AS t FROM events), f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM a)"
 SQL = {
     "w01_first_order_walks": f"{G}, {W5} SELECT walk, c0, c1, c2, c3, c4, c5 FROM s5",
@@ -41,9 +43,9 @@ SQL = {
     "w06_walk_batch": f"{G}, h AS (SELECT id, k, md5(concat(k, ':', id)) AS h, substr(md5(concat(k, ':', id)), 1, 3) AS cell FROM n CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) t), {ranked('h', 'k, cell', 'x.h, x.id')}, m AS (SELECT k, min(before) AS m FROM cb GROUP BY k) SELECT id, rk.k, cast(r - m AS BIGINT) AS turn FROM rk JOIN m ON m.k = rk.k",
     "w07_walk_contexts": f"{G}, {W5}, {LONG} SELECT a.node, b.k - a.k AS hop, b.node AS context, count(*) AS n FROM pos a JOIN pos b ON b.walk = a.walk AND b.k > a.k AND b.k <= a.k + 3 GROUP BY 1, 2, 3",
     "w08_temporal_walk_step": f"WITH {TIMED} SELECT x.event_id, y.event_id AS following, y.event_type FROM f x JOIN f y ON y.user_id = x.user_id AND y.r = x.r + 1",
-    "w09_edge_starts": f"WITH {TIMED}, m AS (SELECT max(t) AS hi, min(t) AS lo FROM f) SELECT event_id FROM f CROSS JOIN m WHERE t >= lo + 0.9 * (hi - lo) AND @u(concat('late:', event_id))@ < 0.25",
+    "w09_edge_starts": f"WITH {TIMED}, m AS (SELECT max(t) AS hi, min(t) AS lo FROM f), p AS (SELECT event_id, 'early' AS side FROM f CROSS JOIN m WHERE t <= lo + 0.1 * (hi - lo) UNION ALL SELECT event_id, 'late' FROM f CROSS JOIN m WHERE t >= lo + 0.9 * (hi - lo)) SELECT event_id, side FROM p WHERE @u(concat(side, ':', event_id))@ < 0.25",
     "w11_anonymous_walks": f"{G}, {W5}, {LONG}, fst AS (SELECT walk, node, min(k) AS k0 FROM pos GROUP BY walk, node), rk AS (SELECT walk, node, row_number() OVER (PARTITION BY walk ORDER BY k0) - 1 AS a FROM fst) SELECT pos.walk, pos.k, rk.a FROM pos JOIN rk ON rk.walk = pos.walk AND rk.node = pos.node",
-    "w13_walk_type_scores": f"{G}, {W5}, x AS (SELECT c0 AS id, CASE WHEN c2 = c0 THEN 1.0 ELSE 0.0 END AS back, CASE WHEN c3 = c0 THEN 1.0 ELSE 0.0 END AS loop FROM s5), m AS (SELECT avg(back) AS mb, greatest(stddev_pop(back), 0.001) AS sb, avg(loop) AS ml, greatest(stddev_pop(loop), 0.001) AS sl FROM x) SELECT id, round((back - mb) / sb, 5) AS z_back, round((loop - ml) / sl, 5) AS z_loop FROM x CROSS JOIN m",
+    "w13_walk_type_scores": f"{G}, {W5}, {KINDS}, ct AS (SELECT id, kind, count(*) AS c FROM sub GROUP BY id, kind), tt AS (SELECT id, sum(c) AS t FROM ct GROUP BY id), ks AS (SELECT DISTINCT kind FROM ct), pk AS (SELECT tt.id, ks.kind, coalesce(c, 0) / cast(t AS DOUBLE) AS p FROM tt CROSS JOIN ks LEFT JOIN ct ON ct.id = tt.id AND ct.kind = ks.kind), mk AS (SELECT kind, avg(p) AS m, stddev_pop(p) AS s FROM pk GROUP BY kind) SELECT id, pk.kind, round((p - m) / (CASE WHEN s > 0 THEN s ELSE 0.001 END) + 1e-9, 5) AS z FROM pk JOIN mk ON mk.kind = pk.kind",
     "w14_walk_radius": f"{G}, {W5}, {LONG} SELECT walk, cast(floor(2 * 6 / cast(count(DISTINCT node) AS DOUBLE)) AS BIGINT) AS radius FROM pos GROUP BY walk",
     "w15_negative_samples": f"""{G}, o1 AS (SELECT id, cast(floor(id / 4096.0) AS BIGINT) AS cell, ceil(power(deg, 0.75)) AS w FROM n), o2 AS (SELECT cell, sum(w) AS s FROM o1 GROUP BY cell), o3 AS (SELECT cell, sum(s) OVER (ORDER BY cell) - s AS before, sum(s) OVER () AS total FROM o2),
 mw AS (SELECT max(w) AS mw FROM o1), o AS (SELECT o1.id, o1.w, o3.before + sum(w) OVER (PARTITION BY o1.cell ORDER BY o1.id) AS upto FROM o1 JOIN o3 ON o3.cell = o1.cell),

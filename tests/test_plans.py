@@ -59,6 +59,8 @@ def test_learners(spark):
     scores = embedding.repeated_scores(spark, SF).collect()
     assert sorted(r["ratio"] for r in scores) == [k / 10 for k in range(1, 10)] and all(0 <= r["f1_macro"] <= 1 and 0 <= r["f1_micro"] <= 1 for r in scores)
     links = {r["features"]: r for r in embedding.QUERIES["v03_link_prediction"](spark, SF).collect()}
+    dots = embedding.QUERIES["v12_dot_scores"](spark, SF).head()
+    assert 0 <= dots.auc <= 1 and 0 <= dots.recall <= 1
     assert set(links) == {"hadamard", "average"} and all(0 <= r["auc"] <= 1 and 0 <= r["average_precision"] <= 1 for r in links.values())
 
 
@@ -71,4 +73,5 @@ def test_ranking_scores(spark):
     precision = sum(sum(a >= p for a in pos) / sum(q >= p for _, q in rows) for p in pos) / len(pos)
     hits = sum(p > 0.5 for p in pos)
     assert abs(got.auc - auc) < 2e-6 and abs(got.average_precision - precision) < 2e-6
+    assert abs(got.recall - hits / len(pos)) < 2e-6
     assert abs(got.f1 - 2 * hits / (sum(p > 0.5 for _, p in rows) + len(pos))) < 2e-6
