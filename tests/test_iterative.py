@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from orbweave.operators.cores import core_numbers
 from orbweave.operators.factors import nonnegative_factors, start
 from orbweave.operators.matching import best_matching, matched_similarity
+from orbweave.operators.refex import exact_mean, exact_sum
 from orbweave.operators.regression import explained, independent, nonnegative_least_squares, regressive_features
 from orbweave.operators.warping import warped
 
@@ -135,3 +136,20 @@ def test_nonnegative_weights_equal_best_subset(spark):
     rows = spark.createDataFrame([(float(a), float(b), 2.0 * a + 3.0 * b) for a, b in [(1, 0), (0, 1), (1, 1), (2, 1)]], "p DOUBLE, q DOUBLE, m DOUBLE")
     got = {r["role"]: r for r in explained(spark, rows, ["p", "q"], ["m"]).collect()}
     assert abs(got["p"]["weight"] - 2) < 1e-6 and abs(got["q"]["weight"] - 3) < 1e-6 and abs(got["p"]["relative"] - 2 / 4.25) < 1e-6
+
+
+def test_halves_round_up_in_any_order(spark):
+    """Means and sums of values of six decimals are rounded as fractions are, whatever the order in which rows come."""
+    rng = random.Random(5)
+    rows, want = [], {}
+    for k, n in enumerate((2, 4, 8, 16, 20, 32, 40, 50, 64, 80) * 20):
+        units = [rng.randrange(1, 90000) for _ in range(n)]
+        units[0] += (n // 2 - sum(units)) % n
+        want[k] = (sum(units) / 1e6, (2 * sum(units) + n) // (2 * n) / 1e6)
+        rows += [(k, u / 1e6) for u in units]
+    for _ in range(2):
+        rng.shuffle(rows)
+        got = spark.createDataFrame(rows, "k INT, x DOUBLE").groupBy("k").agg(*[F.round(f(F.col("x")), 6).alias(n) for n, f in (("s", exact_sum), ("m", exact_mean))])
+        assert {r.k: (r.s, r.m) for r in got.collect()} == want
+    got = spark.createDataFrame([(-0.000001,), (-0.000002,), (None,)], "x DOUBLE").agg(exact_sum(F.col("x")).alias("s"), exact_mean(F.col("x")).alias("m")).head()
+    assert (got.s, got.m) == (-0.000003, -0.000002)
