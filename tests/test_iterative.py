@@ -5,10 +5,13 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from orbweave.operators.cores import core_numbers
 from orbweave.operators.factors import nonnegative_factors, start
+from orbweave.operators.graph_blocks import placed
+from orbweave.operators.heat import chebyshev, heat_columns
 from orbweave.operators.matching import best_matching, matched_similarity
 from orbweave.operators.refex import exact_mean, exact_sum
 from orbweave.operators.regression import explained, independent, nonnegative_least_squares, regressive_features
@@ -153,3 +156,28 @@ def test_halves_round_up_in_any_order(spark):
         assert {r.k: (r.s, r.m) for r in got.collect()} == want
     got = spark.createDataFrame([(-0.000001,), (-0.000002,), (None,)], "x DOUBLE").agg(exact_sum(F.col("x")).alias("s"), exact_mean(F.col("x")).alias("m")).head()
     assert (got.s, got.m) == (-0.000003, -0.000002)
+
+
+def test_heat_columns_equal_dense_polynomials(spark):
+    """More sources than a worker multiplies at once, over a graph in two parts, one of them a long string; nothing is shuffled but the graph and the sources."""
+    rng = random.Random(2)
+    edges = sorted({(a, b) for a in range(40) for b in range(a + 1, 40) if rng.random() < 0.15} | {(k, k + 1) for k in range(39)}) + [(k, k + 1) for k in range(100, 145)]
+    ids = sorted({x for e in edges for x in e})
+    a = np.zeros((len(ids), len(ids)))
+    for x, y in edges:
+        a[ids.index(x), ids.index(y)] = a[ids.index(y), ids.index(x)] = 1
+    p = a / np.sqrt(np.outer(a.sum(1), a.sum(1)))
+    t = [np.eye(len(ids)), -p]
+    while len(t) < 31:
+        t.append(-2 * p @ t[-1] - t[-2])
+    want = [sum(c * m for c, m in zip(chebyshev(tau), t)) for tau in (0.5, 3.0)]
+
+    def finish(j, s, i, x):
+        yield pa.RecordBatch.from_pydict({"j": [j] * len(i), "s": [s] * len(i), "i": i, "x": x})
+
+    out = heat_columns(spark, placed(spark, adjacency(spark, edges)), spark.createDataFrame([(x,) for x in ids], "id BIGINT"), [0.5, 3.0], finish, "j BIGINT, s BIGINT, i BIGINT, x DOUBLE")
+    assert "Join" not in out._jdf.queryExecution().toString()
+    got = [np.zeros(a.shape) for _ in want]
+    for r in out.collect():
+        got[r.s][ids.index(r.i), ids.index(r.j)] = r.x
+    assert all(np.abs(g - w).max() < 1e-12 for g, w in zip(got, want))
