@@ -13,6 +13,7 @@ from orbweave.operators.factors import nonnegative_factors, start
 from orbweave.operators.graph_blocks import placed
 from orbweave.operators.heat import chebyshev, heat_columns
 from orbweave.operators.matching import best_matching, matched_similarity
+from orbweave.operators.nearest import nearest_of_other_folds
 from orbweave.operators.refex import exact_mean, exact_sum
 from orbweave.operators.regression import explained, independent, nonnegative_least_squares, regressive_features
 from orbweave.operators.warping import warped
@@ -181,3 +182,23 @@ def test_heat_columns_equal_dense_polynomials(spark):
     for r in out.collect():
         got[r.s][ids.index(r.i), ids.index(r.j)] = r.x
     assert all(np.abs(g - w).max() < 1e-12 for g, w in zip(got, want))
+
+
+def test_nearest_of_other_folds_equal_sorting(spark):
+    """Copies, null vectors and more queries than a block; what is found holds the first three of every turn, and few more."""
+    rng = random.Random(4)
+    x = [[round(rng.random(), 3) for _ in range(3)] for _ in range(700)]
+    x[100:400] = [x[0]] * 300
+    x[5] = x[600] = None
+    folds = [[rng.randrange(10), rng.randrange(2)] for _ in x]
+    df = spark.createDataFrame(list(zip(range(700), x, folds)), "id BIGINT, x ARRAY<FLOAT>, folds ARRAY<INT>")
+    found = {}
+    for r in nearest_of_other_folds(spark, df, df.select("id"), 3).collect():
+        found.setdefault(r.q, []).append((r.d, r.b))
+    assert set(found) == set(range(700)) and max(map(len, found.values())) < 60
+    f = [None if v is None else np.array(v, np.float32).astype(float) for v in x]
+    for q in range(0, 700, 7):
+        far = sorted((math.inf if f[q] is None or f[b] is None else round(float(((f[q] - f[b]) ** 2).sum()), 5), b) for b in range(700) if b != q)
+        for t in range(2):
+            want = [b for _, b in far if folds[b][t] != folds[q][t]][:3]
+            assert [b for _, b in sorted((round(d, 5), b) for d, b in found[q]) if folds[b][t] != folds[q][t]][:3] == want
