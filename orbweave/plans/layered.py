@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from orbweave.functions.dialect import graph, query
 from orbweave.functions.shared import written
-from orbweave.operators.layered import cumulative, gamma, layer_gaps, layered_walks, walk_table, weights
-from orbweave.plans.features import BFS
-from orbweave.plans.similarity import CAND
+from orbweave.operators.graph_blocks import placed
+from orbweave.operators.layered import gamma, layer_gaps, layered_walks, rings, walk_table, weights
+from orbweave.plans.similarity import candidates
 
 G = graph()
 SEED = 7
@@ -25,14 +25,23 @@ def _kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
     return _tables[key]
 
 
-def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The compact degree sequences of layers of up to two hops of all nodes."""
+
+    def make() -> DataFrame:
+        path = placed(spark, query(f"{G} SELECT u, v, deg AS w FROM adj JOIN n ON n.id = v")(spark, sf_dir))
+        return rings(spark, path, query(f"{G} SELECT id FROM n")(spark, sf_dir))
+
+    return _kept(spark, sf_dir, "rings", make)
+
+
+def gaps(spark: SparkSession, sf_dir: str, both: bool = False) -> DataFrame:
     """Layers of up to two hops of all candidate pairs."""
-    layers = query(f"{G}, {BFS} SELECT root, d, deg, count(*) AS freq FROM hop JOIN n ON n.id = node GROUP BY root, d, deg")
-    return _kept(spark, sf_dir, "gaps", lambda: layer_gaps(spark, layers(spark, sf_dir), query(f"{G}, {CAND} SELECT x, y FROM cand")(spark, sf_dir)))
+    return layer_gaps(spark, candidates(spark, sf_dir), sequences(spark, sf_dir), both)
 
 
 def layer_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weights(cumulative(gaps(spark, sf_dir)))
+    return weights(_kept(spark, sf_dir, "gaps", lambda: gaps(spark, sf_dir).select("x", "y", "d", "f")))
 
 
 def walks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,9 +52,8 @@ def walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept(spark, sf_dir, "layered", make)
 
 
-def normalised(w: DataFrame) -> DataFrame:
-    total = w.groupBy("d", "u").agg(F.sum("w").alias("total"))
-    return w.join(total, ["d", "u"]).select("d", "u", "v", F.round(F.col("w") / F.col("total"), 6).alias("p"))
+def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gaps(spark, sf_dir, both=True).select("d", "u", "v", F.round(F.exp(-F.col("f")) / F.col("total"), 6).alias("p"))
 
 
 def walk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +65,8 @@ def walk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "m11_layer_distances": lambda spark, sf_dir: gaps(spark, sf_dir).select("x", "y", "d", F.round("c", 6).alias("c")),
-    "m13_cumulative_distance": lambda spark, sf_dir: cumulative(gaps(spark, sf_dir)).select("x", "y", "d", F.round("f", 6).alias("f")),
-    "m14_layer_weights": lambda spark, sf_dir: normalised(layer_weights(spark, sf_dir)),
+    "m13_cumulative_distance": lambda spark, sf_dir: gaps(spark, sf_dir).select("x", "y", "d", F.round("f", 6).alias("f")),
+    "m14_layer_weights": normalised,
     "m15_layer_gamma": lambda spark, sf_dir: gamma(layer_weights(spark, sf_dir)),
     "w05_layered_walks": walks,
     "e05_walk_vectors": walk_vectors,

@@ -16,7 +16,7 @@ from orbweave.operators.matching import best_matching, matched_similarity
 from orbweave.operators.nearest import nearest_of_other_folds
 from orbweave.operators.refex import exact_mean, exact_sum
 from orbweave.operators.regression import explained, independent, nonnegative_least_squares, regressive_features
-from orbweave.operators.warping import warped
+from orbweave.operators.warping import warped, warped_pairs
 
 #: A graph of ten nodes with known similarities after any round.
 TEN = [(0, 4), (1, 5), (2, 6), (3, 7), (4, 5), (4, 8), (5, 8), (6, 7), (6, 9), (7, 9), (8, 9)]
@@ -202,3 +202,15 @@ def test_nearest_of_other_folds_equal_sorting(spark):
         for t in range(2):
             want = [b for _, b in far if folds[b][t] != folds[q][t]][:3]
             assert [b for _, b in sorted((round(d, 5), b) for d, b in found[q]) if folds[b][t] != folds[q][t]][:3] == want
+
+
+def test_warped_pairs_equal_one_by_one():
+    """Padded rows of unequal lengths, in more pairs than are taken at once."""
+    rng = np.random.default_rng(8)
+    rows = [np.unique(rng.integers(1, 60, rng.integers(1, 30))) for _ in range(40)]
+    counts = [rng.integers(1, 9, len(r)) for r in rows]
+    g, f = (np.array([[*r, *[1] * (40 - len(r))] for r in x], float) for x in (rows, counts))
+    i, j = np.divmod(np.arange(1600), 40)
+    got = warped_pairs(g, f, np.array([len(r) for r in rows]), i, j, together=64)
+    want = [warped([rows[a].astype(float)], [rows[b].astype(float)], [counts[a].astype(float)], [counts[b].astype(float)])[0] for a, b in zip(i, j)]
+    assert np.allclose(got, want, rtol=1e-12, atol=1e-12)
