@@ -13,6 +13,7 @@ from orbweave.operators.factors import nonnegative_factors, start
 from orbweave.operators.graph_blocks import placed
 from orbweave.operators.heat import chebyshev, heat_columns
 from orbweave.operators.matching import best_matching, matched_similarity
+from orbweave.operators.paths import betweenness
 from orbweave.operators.nearest import nearest_of_other_folds
 from orbweave.operators.refex import exact_mean, exact_sum
 from orbweave.operators.regression import explained, independent, nonnegative_least_squares, regressive_features
@@ -214,3 +215,13 @@ def test_warped_pairs_equal_one_by_one():
     got = warped_pairs(g, f, np.array([len(r) for r in rows]), i, j, together=64)
     want = [warped([rows[a].astype(float)], [rows[b].astype(float)], [counts[a].astype(float)], [counts[b].astype(float)])[0] for a, b in zip(i, j)]
     assert np.allclose(got, want, rtol=1e-12, atol=1e-12)
+
+
+def test_betweenness_of_strings_and_stars(spark):
+    """More roots than a block, long distances and several parts: known values, and no join over roots and nodes."""
+    edges = [(k, k + 1) for k in range(59)] + [(100, 101 + k) for k in range(50)] + [(200, 201), (201, 203), (200, 202), (202, 203)]
+    adj = adjacency(spark, edges)
+    out = betweenness(spark, placed(spark, adj), adj, adj.select(F.col("u").alias("id")).distinct())
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = {k: 2.0 * k * (59 - k) for k in range(60)} | {100: 50.0 * 49} | {101 + k: 0.0 for k in range(50)} | {200 + k: 1.0 for k in range(4)}
+    assert {r.id: round(r.betweenness, 9) for r in out.collect()} == want
