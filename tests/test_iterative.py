@@ -16,6 +16,7 @@ from orbweave.operators.layered import rings
 from orbweave.operators.matching import best_matching, matched_similarity
 from orbweave.operators.nearest import nearest_of_other_folds
 from orbweave.operators.paths import betweenness
+from orbweave.operators.profiles import profile_distances
 from orbweave.operators.refex import exact_mean, exact_sum
 from orbweave.operators.regression import explained, independent, nonnegative_least_squares, regressive_features
 from orbweave.operators.warping import warped, warped_pairs
@@ -243,3 +244,24 @@ def test_rings_of_small_blocks(spark):
         for k, ring in enumerate(({r.id}, near[r.id], two)):
             degrees = sorted(len(near[x]) for x in ring)
             assert r[f"g{k}"] == sorted(set(degrees)) and r[f"f{k}"] == [degrees.count(x) for x in sorted(set(degrees))]
+
+
+def test_profile_distances_equal_dense_heat(spark):
+    """Groups of one cell, over parts that do not see each other, against dense matrices; only nodes are moved."""
+    rng = random.Random(6)
+    edges = [(k, k + 1) for k in range(12)] + [(30, 31 + k) for k in range(5)] + sorted({(a, b) for a in range(50, 70) for b in range(a + 1, 70) if rng.random() < 0.15})
+    ids = sorted({x for e in edges for x in e})
+    a = np.zeros((len(ids), len(ids)))
+    for x, y in edges:
+        a[ids.index(x), ids.index(y)] = a[ids.index(y), ids.index(x)] = 1
+    deg = a.sum(1)
+    p = a / np.sqrt(np.outer(deg, deg))
+    heat, two = 0.625 * np.eye(len(ids)) + 0.25 * p + 0.125 * p @ p, np.eye(len(ids)) + a + a @ a > 0
+    want = {x: sorted(heat[i][two[i]], reverse=True) for i, x in enumerate(ids)}
+    adj = spark.createDataFrame([(u, v, int(deg[ids.index(v)])) for e in edges for u, v in (e, e[::-1])], "u BIGINT, v BIGINT, w BIGINT")
+    line = rng.sample(ids, len(ids))
+    got = profile_distances(spark, placed(spark, adj), spark.createDataFrame([(x, r, 4, r // 4) for r, x in enumerate(line, 1)], "id BIGINT, r BIGINT, k BIGINT, c BIGINT"), cells=1).collect()
+    assert {(r.x, r.y) for r in got} == {(x, y) for i, x in enumerate(line) for y in line[i + 1 : i + 5]}
+    for r in got:
+        d = [abs(s - t) for s, t in zip(want[r.x], want[r.y])]
+        assert abs(r.ks - max(d)) < 1e-9 and abs(r.area - sum(d)) < 1e-8
