@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from orbweave.functions.dialect import graph, query
 from orbweave.functions.shared import written
 from orbweave.operators.graph_blocks import placed
-from orbweave.operators.layered import gamma, layer_gaps, layered_walks, rings, walk_table, weights
+from orbweave.operators.layered import gamma, layer_gaps, layered_walks, rings, weights
 from orbweave.plans.similarity import candidates
 
 G = graph()
@@ -45,11 +45,7 @@ def layer_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def walks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def make() -> DataFrame:
-        table = _kept(spark, sf_dir, "layers", lambda: walk_table(layer_weights(spark, sf_dir)))
-        return layered_walks(spark, table)
-
-    return _kept(spark, sf_dir, "layered", make)
+    return _kept(spark, sf_dir, "layered", lambda: layered_walks(spark, candidates(spark, sf_dir), sequences(spark, sf_dir)))
 
 
 def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
