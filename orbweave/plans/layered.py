@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from orbweave.functions.dialect import graph, query
 from orbweave.functions.shared import written
 from orbweave.operators.graph_blocks import placed
-from orbweave.operators.layered import gamma, layer_gaps, layered_walks, rings, weights
+from orbweave.operators.layered import gamma, kept_gaps, layer_gaps, layered_walks, rings, weights
 from orbweave.plans.similarity import candidates
 
 G = graph()
@@ -45,7 +45,10 @@ def layer_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def walks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _kept(spark, sf_dir, "layered", lambda: layered_walks(spark, candidates(spark, sf_dir), sequences(spark, sf_dir)))
+    def make() -> DataFrame:
+        return layered_walks(spark, kept_gaps(spark, candidates(spark, sf_dir), sequences(spark, sf_dir)))
+
+    return _kept(spark, sf_dir, "layered", make)
 
 
 def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
