@@ -243,34 +243,46 @@ def weak_edges(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterato
             yield ends(rep, forest.edges)
 
 
-def exact_edges(batches: Iterator[pa.RecordBatch], num: int, den: int, wide: int = 1 << 13) -> Iterator[pa.RecordBatch]:
-    """Per (cid, b1, b2): a forest of links by exact intersection sizes, of side 0 with side 1, or within where all are 0."""
+def repeated(elements: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Of sets of 64-bit elements: their sizes, and for the elements that occur more than once (row, col), ascending by col, and the number of cols."""
+    at = np.frombuffer(elements.buffers()[1], np.int32)[elements.offset : elements.offset + len(elements) + 1] // 8
+    flat = np.frombuffer(elements.buffers()[2], U, at[-1])[at[0] :]
+    order = np.argsort(flat, kind="stable")
+    flat = flat[order]
+    times = np.diff(np.append(np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])), len(flat)))
+    often = times > 1
+    row = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))[order][np.repeat(often, times)]
+    return np.diff(at).astype(np.int64), row, np.repeat(np.arange(often.sum(), dtype=np.int32), times[often]), int(often.sum())
+
+
+def exact_edges(batches: Iterator[pa.RecordBatch], num: int, den: int, cells: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Per (cid, b1, b2): a forest of links by exact intersection sizes, of side 0 with side 1, or within where all are 0.
+
+    Elements that several sets have are columns of matrices of `cells` cells at the most, one of either side at a time.
+    """
     for t in groups(batches, ["cid", "b1", "b2"]):
         rep, side = t["rep"].to_numpy(), t["side"].to_numpy()
-        sets = [np.frombuffer(x, U) for x in t["elements"].to_pylist()]
-        size = np.array([len(s) for s in sets])
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1) if side.any() else left
         if not len(left) or not len(right):
             continue
-        value, ids, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(len(sets)), size)
-        often = times > 1
-        col = np.cumsum(often) - 1
-        keep = often[ids]
-        row, col = row[keep], col[ids[keep]]
-        order = np.argsort(col, kind="stable")
-        row, col = row[order], col[order]
+        size, row, col, total = repeated(t["elements"].combine_chunks())
         both = np.zeros((len(left), len(right)), np.float32)
-        total = int(often.sum())
+        wide = max(1, cells // len(rep))
+        place = np.zeros(len(rep), np.int64)
+        place[left], place[right] = np.arange(len(left)), np.arange(len(right))
         for lo in range(0, total, wide):
             a, b = np.searchsorted(col, [lo, lo + wide])
-            part = np.zeros((len(sets), min(wide, total - lo)), np.float32)
-            part[row[a:b], col[a:b] - lo] = 1
-            both += part[left] @ part[right].T
+            r, c = row[a:b], col[a:b] - lo
+            one = np.zeros((len(left), min(wide, total - lo)), np.float32)
+            two = one if right is left else np.zeros((len(right), one.shape[1]), np.float32)
+            for own, to in ((0, one), (1, two))[: 1 + (right is not left)]:
+                some = side[r] == own
+                to[place[r[some]], c[some]] = 1
+            both += one @ two.T
         both = np.rint(both).astype(np.int64)
         linked = den * both >= num * (size[left][:, None] + size[right][None, :] - both)
-        forest = Forest(len(sets))
+        forest = Forest(len(rep))
         for i, x in enumerate(left):
             forest.link(int(x), right[linked[i]])
         if forest.edges:

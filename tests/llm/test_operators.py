@@ -362,3 +362,28 @@ def test_urls(spark):
     entries = spark.sql("SELECT * FROM VALUES ('a.org', 'block', timestamp '2024-01-01'), ('a.org', 'allow', timestamp '2024-03-01'), ('x.a.org/p/', 'block', timestamp '2024-02-01'), (null, 'block', timestamp '2024-01-01') AS t(pattern, action, since)")
     pages = spark.sql("SELECT * FROM VALUES (1, 'http://x.a.org/q', timestamp '2024-02-10'), (2, 'http://x.a.org/q', timestamp '2024-03-01'), (3, 'https://X.A.org:80/p/z', timestamp '2024-05-01'), (4, null, timestamp '2024-05-01'), (5, 'http://a.org', null), (6, 'http://ba.org/', timestamp '2024-02-10'), (7, 'http://a.org', timestamp '2023-12-31') AS t(page_id, url, fetched)")
     assert {r.page_id: r.verdict for r in url_filter.filtered(pages, entries).collect()} == {1: "block", 2: "allow", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow"}
+
+
+def test_exact_edges_hold_little(spark):
+    """Two full blocks: the same links as set by set, while what is held stays below 100 MB."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    sets = []
+    for i in range(2048):
+        new = {rng.getrandbits(64) for _ in range(1000 if i % 7 or not sets else 10)}
+        sets.append(np.array(sorted(new if i % 7 or not sets else new | set(sets[-1].tolist()[rng.randrange(300) :])), np.uint64))
+    side = np.arange(2048, dtype=np.int32) % 2
+    zero = np.zeros(2048, np.int64)
+    rows = pa.RecordBatch.from_arrays([pa.array(x) for x in (zero, zero, zero, side, np.arange(2048))] + [pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "b1", "b2", "side", "rep", "elements"])
+    tracemalloc.start()
+    (out,) = jaccard_join.exact_edges(iter([rows]), 4, 5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = {frozenset(x) for x in zip(*(out[c].to_pylist() for c in "ab"), strict=True)}
+    both = [(i - 1, i, len(np.intersect1d(sets[i - 1], sets[i], assume_unique=True))) for i in range(7, 2048, 7)]
+    assert got == {frozenset((i, j)) for i, j, c in both if 5 * c >= 4 * (len(sets[i]) + len(sets[j]) - c)} and len(got) > 50
+    assert most < 100e6
