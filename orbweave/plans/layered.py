@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.functions.dialect import graph, query
-from orbweave.functions.shared import written
+from orbweave.functions.shared import release, removed, written
 from orbweave.operators.graph_blocks import placed
 from orbweave.operators.layered import gamma, kept_gaps, layer_gaps, layered_walks, rings, weights
+from orbweave.operators.skipgram import skip_gram
 from orbweave.plans.similarity import candidates
 
 G = graph()
 SEED = 7
 _tables: dict[tuple[str, str, str], DataFrame] = {}
+_vectors: dict[tuple[str, str], str] = {}
 
 
 def _kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
@@ -45,21 +45,29 @@ def layer_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def walks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def make() -> DataFrame:
-        return layered_walks(spark, kept_gaps(spark, candidates(spark, sf_dir), sequences(spark, sf_dir)))
-
-    return _kept(spark, sf_dir, "layered", make)
+    key = (spark.sparkContext.applicationId, sf_dir, "layered")
+    if key not in _tables:
+        path = kept_gaps(spark, candidates(spark, sf_dir), sequences(spark, sf_dir))
+        release(spark)
+        _kept(spark, sf_dir, "layered", lambda: layered_walks(spark, path))
+        removed(spark, path)
+    return _tables[key]
 
 
 def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps(spark, sf_dir, both=True).select("d", "u", "v", F.round(F.exp(-F.col("f")) / F.col("total"), 6).alias("p"))
 
 
+def vectors_path(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of skip-gram vectors with hierarchical softmax over the layered walks."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _vectors:
+        _vectors[key] = skip_gram(spark, walks(spark, sf_dir), size=16, window=5, seed=SEED)
+    return _vectors[key]
+
+
 def walk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Skip-gram vectors with hierarchical softmax over the layered walks."""
-    words = walks(spark, sf_dir).select(F.col("path").cast("array<string>").alias("words"))
-    model = Word2Vec(vectorSize=16, minCount=0, windowSize=5, maxIter=1, seed=SEED, inputCol="words").fit(words)
-    return model.getVectors().select(F.col("word").cast("bigint").alias("id"), vector_to_array("vector").alias("x"))
+    return spark.read.parquet(vectors_path(spark, sf_dir))
 
 
 QUERIES = {
