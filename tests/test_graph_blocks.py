@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from orbweave.operators import heat, paths
+from orbweave.operators import cores, heat, paths
 from orbweave.operators.graph_blocks import Reached, blocks, cuts, gathered
 from orbweave.plans.wavelets import _entries_of, turned
 
@@ -132,3 +132,26 @@ def test_small_batches_are_gathered():
     got = list(gathered(iter(batches), 10))
     assert [b.num_rows for b in got] == [12, 12, 6]
     assert [v for b in got for v in b["a"].to_pylist()] == list(range(30))
+
+
+def test_blocks_of_nodes_settle_core_numbers(spark, monkeypatch):
+    """Blocks of about 100 edges, whose edges lead to other blocks, against peeling; a block that holds all settles at once."""
+    edges = Held(hub_graph(300, 9) + [(400 + i, 400 + j) for i in range(7) for j in range(i)] + [(500 + i, 501 + i) for i in range(40)])
+    near = {}
+    for u, v in zip(edges.u.tolist(), edges.v.tolist(), strict=True):
+        near.setdefault(u, set()).add(v)
+    left, want, k = {u: set(x) for u, x in near.items()}, {}, 0
+    while left:
+        u = min(left, key=lambda i: len(left[i]))
+        k = max(k, len(left[u]))
+        want[u] = k
+        for v in left.pop(u):
+            if v in left:
+                left[v].discard(u)
+    monkeypatch.setattr(cores, "EDGES", 100)
+    adj = spark.createDataFrame(list(zip(edges.u.tolist(), edges.v.tolist(), strict=True)), "u BIGINT, v BIGINT")
+    assert {r["id"]: r["core"] for r in cores.core_numbers(spark, adj).collect()} == want
+    ids, u = np.unique(edges.u, return_inverse=True)
+    to = np.searchsorted(ids, edges.v)
+    now = np.bincount(u)
+    assert cores.lowered(now, u, now[to], np.arange(len(to)), to).tolist() == [want[i] for i in ids.tolist()]
