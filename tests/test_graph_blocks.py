@@ -6,8 +6,9 @@ from decimal import ROUND_HALF_UP, Decimal
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from orbweave.operators import cores, heat, paths
+from orbweave.operators import cores, heat, paths, refex
 from orbweave.operators.graph_blocks import Reached, blocks, cuts, gathered
 from orbweave.plans.wavelets import _entries_of, turned
 
@@ -155,3 +156,13 @@ def test_blocks_of_nodes_settle_core_numbers(spark, monkeypatch):
     to = np.searchsorted(ids, edges.v)
     now = np.bincount(u)
     assert cores.lowered(now, u, now[to], np.arange(len(to)), to).tolist() == [want[i] for i in ids.tolist()]
+
+
+def test_split_millionths_add_up_to_exact_sums(spark):
+    """What edges add in two 64-bit numbers equals the sum in decimals, for either sign, nulls and beyond 64 bits."""
+    rows = [(k % 7, float(x)) for k, x in enumerate(np.random.default_rng(4).normal(size=200) * 10.0 ** (np.arange(200) % 13))] + [(9, 9e12), (9, 8e12), (9, 0.0000005), (8, None), (6, None)]
+    df = spark.createDataFrame(rows, "k INT, x DOUBLE")
+    cells = df.select("k", "x", *refex._split("x"))
+    for f, of in refex.TOTALS.items():
+        got = cells.groupBy("k").agg(of(refex._total("x"), F.count("x__hi")).alias("a"), f(F.col("x")).alias("b")).collect()
+        assert len(got) == 9 and all(r["a"] == r["b"] for r in got)
